@@ -52,7 +52,7 @@ def value_labels(column: Column, labels: Mapping[object, str], other: str | None
 def label_by_table(df: DataFrame, column: str, labels: DataFrame, value: str, label: str, name: str, *, max_broadcast_rows: int = 100_000) -> DataFrame:
     """A format kept in a table. It is broadcast only if counted small; else Spark picks the join."""
     lookup = labels.select(F.col(value).alias("__value"), F.col(label).alias(name))
-    if len(labels.select(value).take(max_broadcast_rows + 1)) <= max_broadcast_rows:
+    if labels.count() <= max_broadcast_rows:
         lookup = F.broadcast(lookup)
     return df.join(lookup, F.col(column) == F.col("__value"), "left").drop("__value")
 

@@ -15,6 +15,8 @@ from stepframe.semantics import StepError, names_of, require_columns
 
 # Dense d x d results go through one task; d*d doubles of this many columns are 128 MB.
 MAX_COLUMNS = 4096
+# Long-form matrices of up to this many entries (about 24 MB) are broadcast.
+MAX_BROADCAST_ENTRIES = 1_000_000
 
 
 def read_vector(df: DataFrame, row_key: str, variable: str) -> DataFrame:
@@ -64,9 +66,15 @@ def transpose(a: DataFrame) -> DataFrame:
 
 
 def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
-    """A * B in long form; products are summed before the shuffle on (i, j)."""
+    """A * B in long form; products are summed before the shuffle on (i, j).
+
+    The inner index may have few values, each with a large part of A: a B counted small is broadcast, so that A
+    need not be shuffled by it. Else Spark's skew join splits the large indexes.
+    """
     left = a.select("i", F.col("j").alias("k"), F.col("v").alias("x"))
     right = b.select(F.col("i").alias("k"), "j", F.col("v").alias("y"))
+    if b.count() <= MAX_BROADCAST_ENTRIES:
+        right = F.broadcast(right)
     return left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
 
 
