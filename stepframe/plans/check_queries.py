@@ -1 +1,225 @@
-"""Queries."""
+"""Reconciliation and streaming on the driver tables against deliberately damaged copies of them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stepframe.operators import reconcile as rc
+from stepframe.plans.catalog import query, table
+from stepframe.sizing import scratch_path
+from stepframe.streaming.batches import read_reports, reconcile_stream
+
+# Orders as a faulty job would write them: some prices off, some rows lost, some rows twice under a new key.
+_DAMAGED = """
+SELECT o_orderkey, o_custkey, CASE WHEN o_orderpriority = '3-MEDIUM' AND o_orderstatus = 'O' THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
+  CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' THEN o_totalprice + 1 WHEN o_orderpriority = '2-HIGH' THEN o_totalprice + 0.0000001 ELSE o_totalprice END AS o_totalprice
+FROM orders WHERE NOT (o_orderpriority = '5-LOW' AND o_orderstatus = 'F')
+UNION ALL SELECT o_orderkey + 1000000000000, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderpriority = '4-NOT SPECIFIED' AND o_orderstatus = 'O'"""
+_ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders"
+
+
+def orders_and_damaged(spark, d):
+    o = table(spark, d, "orders")
+    c, p, s = F.col, F.col("o_orderpriority"), F.col("o_orderstatus")
+    price = F.when((p == "1-URGENT") & (s == "P"), c("o_totalprice") + 1).when(p == "2-HIGH", c("o_totalprice") + 0.0000001).otherwise(c("o_totalprice"))
+    kept = o.filter(~((p == "5-LOW") & (s == "F"))).select(
+        "o_orderkey", "o_custkey", F.when((p == "3-MEDIUM") & (s == "O"), "X").otherwise(s).alias("o_orderstatus"), price.alias("o_totalprice"))
+    doubled = o.filter((p == "4-NOT SPECIFIED") & (s == "O")).select((c("o_orderkey") + 1000000000000).alias("o_orderkey"), "o_custkey", "o_orderstatus", "o_totalprice")
+    return o.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), kept.unionByName(doubled)
+
+
+@query("rc_1_schema_parity", """
+SELECT 1 AS seq, 'schema_parity' AS name, 'fail' AS status, 'missing=[''c_mktsegment''], extra=[''segment'']' AS detail, count(*) AS n_rows FROM customer
+UNION ALL SELECT 2, 'schema_parity', 'fail', 'c_acctbal: ref=numeric, actual=object', count(*) FROM customer
+UNION ALL SELECT 3, 'schema_parity', 'pass', NULL, count(*) FROM customer""")
+def rc_1(spark, d):
+    c = table(spark, d, "customer")
+    variants = [c.withColumnRenamed("c_mktsegment", "segment"), c.withColumn("c_acctbal", F.col("c_acctbal").cast("string")), c.select(*reversed(c.columns)).withColumn("c_nationkey", F.col("c_nationkey").cast("double"))]
+    found = None
+    for i, variant in enumerate(variants, 1):
+        row = rc.reconcile(c, variant).filter("name = 'schema_parity'").withColumn("seq", F.lit(i)).join(F.broadcast(variant.agg(F.count("*").alias("n_rows"))))
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
+@query("rc_2_row_count", f"""
+WITH a AS ({_DAMAGED}) SELECT 'row_count' AS name, CASE WHEN r.n = x.n THEN 'pass' ELSE 'fail' END AS status,
+  CASE WHEN r.n <> x.n THEN 'ref=' || r.n || ', actual=' || x.n END AS detail FROM (SELECT count(*) AS n FROM orders) r, (SELECT count(*) AS n FROM a) x""")
+def rc_2(spark, d):
+    return rc.reconcile(*orders_and_damaged(spark, d)).filter("name = 'row_count'").select("name", "status", "detail")
+
+
+_LINES_ACTUAL = """
+SELECT l_quantity, CASE WHEN l_returnflag = 'R' THEN l_extendedprice * 1.01 ELSE l_extendedprice END AS l_extendedprice,
+  CASE WHEN l_linestatus = 'O' AND l_returnflag = 'A' THEN NULL ELSE l_discount END AS l_discount FROM lineitem"""
+_MEASURES = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+def lines_and_actual(spark, d):
+    line = table(spark, d, "lineitem")
+    actual = line.select("l_quantity", F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice") * 1.01).otherwise(F.col("l_extendedprice")).alias("l_extendedprice"),
+                         F.when(~((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "A")), F.col("l_discount")).alias("l_discount"))
+    return line.select(*_MEASURES, "l_tax"), actual
+
+
+def _parity_sql(column: str) -> str:
+    return f"""SELECT '{column}' AS "column", round(r.s, 2) AS ref_sum, round(a.s, 2) AS actual_sum, round(abs(r.s - a.s) / abs(r.s), 8) AS rel_diff, r.n AS ref_count, a.n AS actual_count,
+  round(r.s / r.n, 6) AS ref_avg, round(a.s / a.n, 6) AS actual_avg, CASE WHEN abs(r.s - a.s) / abs(r.s) > 0.001 THEN 'fail' ELSE 'pass' END AS sum_status,
+  CASE WHEN r.n <> a.n THEN 'fail' ELSE 'pass' END AS count_status, CASE WHEN abs(r.s / r.n - a.s / a.n) / abs(r.s / r.n) > 0.001 THEN 'fail' ELSE 'pass' END AS avg_status
+  FROM (SELECT sum({column}) AS s, count({column}) AS n FROM lineitem) r, (SELECT sum({column}) AS s, count({column}) AS n FROM act) a"""
+
+
+_PARITY = f"WITH act AS ({_LINES_ACTUAL}) " + " UNION ALL ".join(_parity_sql(c) for c in _MEASURES)
+
+
+def _rounded_parity(spark, d):
+    found = rc.aggregate_comparison(*lines_and_actual(spark, d))
+    digits = {"ref_sum": 2, "actual_sum": 2, "rel_diff": 8, "ref_avg": 6, "actual_avg": 6}
+    return found.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
+@query("rc_3_aggregate_parity", f"""
+SELECT "column", ref_sum, actual_sum, rel_diff, sum_status FROM ({_PARITY}) UNION ALL SELECT 'l_tax', NULL, NULL, NULL, 'missing' FROM (SELECT count(*) FROM lineitem)""")
+def rc_3(spark, d):
+    return _rounded_parity(spark, d).select("column", "ref_sum", "actual_sum", "rel_diff", "sum_status")
+
+
+@query("rc_4_report", f"""
+WITH a AS ({_DAMAGED}), r AS (SELECT sum(CAST(o_orderkey AS DOUBLE)) AS k, sum(CAST(o_custkey AS DOUBLE)) AS c, sum(o_totalprice) AS p, count(*) AS n FROM orders),
+  x AS (SELECT sum(CAST(o_orderkey AS DOUBLE)) AS k, sum(CAST(o_custkey AS DOUBLE)) AS c, sum(o_totalprice) AS p, count(*) AS n FROM a)
+SELECT 1 AS seq, 'schema_parity' AS name, 'pass' AS status FROM r UNION ALL SELECT 2, 'row_count', CASE WHEN r.n = x.n THEN 'pass' ELSE 'fail' END FROM r, x
+UNION ALL SELECT 3, 'aggregate_parity', CASE WHEN abs(r.k - x.k) / abs(r.k) > 0.001 OR abs(r.c - x.c) / abs(r.c) > 0.001 OR abs(r.p - x.p) / abs(r.p) > 0.001 THEN 'fail' ELSE 'pass' END FROM r, x""")
+def rc_4(spark, d):
+    return rc.reconcile(*orders_and_damaged(spark, d)).select("seq", "name", "status")
+
+
+def _several_reports(spark, d):
+    """Check rows of four reports: equal tables, lost rows, renamed column, retyped and scaled column."""
+    ref, damaged = orders_and_damaged(spark, d)
+    actuals = {"same": ref, "damaged": damaged, "renamed": ref.withColumnRenamed("o_custkey", "customer"),
+               "retyped": ref.withColumn("o_custkey", F.col("o_custkey").cast("string")).withColumn("o_totalprice", F.col("o_totalprice") * 2)}
+    checks = None
+    for name, actual in actuals.items():
+        found = rc.reconcile(ref, actual).withColumn("report", F.lit(name))
+        checks = found if checks is None else checks.unionByName(found)
+    return checks
+
+
+@query("rc_5_summary", f"""
+WITH a AS ({_DAMAGED}), n AS (SELECT (SELECT count(*) FROM orders) AS r, (SELECT count(*) FROM a) AS x)
+SELECT 'same' AS report, 3 AS total, 3 AS passed, 0 AS failed, true AS all_passed, true AS row_count_match, true AS column_match FROM n
+UNION ALL SELECT 'damaged', 3, CASE WHEN r = x THEN 2 ELSE 1 END, CASE WHEN r = x THEN 1 ELSE 2 END, false, r = x, true FROM n
+UNION ALL SELECT 'renamed', 3, 1, 2, false, true, false FROM n UNION ALL SELECT 'retyped', 3, 1, 2, false, true, false FROM n""")
+def rc_5(spark, d):
+    return rc.summarize_checks(_several_reports(spark, d), "report").drop("diff_summary")
+
+
+@query("rc_6_count_avg_parity", f"""SELECT "column", ref_count, actual_count, ref_avg, actual_avg, count_status, avg_status FROM ({_PARITY})""")
+def rc_6(spark, d):
+    found = _rounded_parity(spark, d).filter("sum_status <> 'missing'")
+    return found.select("column", "ref_count", "actual_count", "ref_avg", "actual_avg", "count_status", "avg_status")
+
+
+@query("rc_7_hash_diff", f"""
+WITH r AS ({_ORDERS}), a AS ({_DAMAGED})
+SELECT coalesce(r.o_orderkey, a.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'missing' WHEN r.o_orderkey IS NULL THEN 'extra' ELSE 'changed' END AS difference
+FROM r FULL JOIN a ON r.o_orderkey = a.o_orderkey
+WHERE a.o_orderkey IS NULL OR r.o_orderkey IS NULL OR r.o_custkey <> a.o_custkey OR r.o_orderstatus <> a.o_orderstatus OR r.o_totalprice <> a.o_totalprice""")
+def rc_7(spark, d):
+    return rc.hash_diff(*orders_and_damaged(spark, d), "o_orderkey")
+
+
+@query("rc_8_multiset_diff", """
+WITH r AS (SELECT l_returnflag, l_linestatus, l_linenumber, l_quantity, count(*) AS n FROM lineitem GROUP BY 1, 2, 3, 4),
+  a AS (SELECT l_returnflag, l_linestatus, l_linenumber, CASE WHEN l_tax = 0.08 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity, count(*) AS n FROM lineitem GROUP BY 1, 2, 3, 4)
+SELECT l_returnflag, l_linestatus, l_linenumber, l_quantity, coalesce(r.n, 0) AS ref_copies, coalesce(a.n, 0) AS actual_copies
+FROM r FULL JOIN a USING (l_returnflag, l_linestatus, l_linenumber, l_quantity) WHERE coalesce(r.n, 0) <> coalesce(a.n, 0)""")
+def rc_8(spark, d):
+    line = table(spark, d, "lineitem")
+    columns = ["l_returnflag", "l_linestatus", "l_linenumber", "l_quantity"]
+    actual = line.withColumn("l_quantity", F.when(F.col("l_tax") == 0.08, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    return rc.multiset_diff(line.select(*columns), actual.select(*columns))
+
+
+def _quantile_sql(p: float) -> str:
+    return f"""SELECT 'o_totalprice' AS "column", {p}::DOUBLE AS p, round(r, 4) AS ref_value, round(a, 4) AS actual_value, CASE WHEN abs(r - a) / abs(r) > 0.001 THEN 'fail' ELSE 'pass' END AS status
+  FROM (SELECT quantile_cont(o_totalprice, {p}) AS r, quantile_cont(CASE WHEN o_totalprice > 400000 THEN o_totalprice * 1.05 ELSE o_totalprice END, {p}) AS a FROM orders)"""
+
+
+@query("rc_9_distribution", " UNION ALL ".join(_quantile_sql(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)))
+def rc_9(spark, d):
+    o = table(spark, d, "orders").select("o_totalprice")
+    price = F.col("o_totalprice")
+    found = rc.distribution_comparison(o, o.select(F.when(price > 400000, price * 1.05).otherwise(price).alias("o_totalprice")))
+    return found.withColumns({c: F.round(c, 4) for c in ("ref_value", "actual_value")})
+
+
+_RECORDS = f"""
+WITH r AS ({_ORDERS}), a AS ({_DAMAGED}), j AS (SELECT r.o_orderkey, r.o_orderstatus AS rs, a.o_orderstatus AS xs, r.o_totalprice AS rp, a.o_totalprice AS xp FROM r JOIN a ON r.o_orderkey = a.o_orderkey)
+SELECT o_orderkey, 'o_orderstatus' AS "column", rs AS ref_value, xs AS actual_value, CAST(NULL AS DOUBLE) AS delta FROM j WHERE rs <> xs
+UNION ALL SELECT o_orderkey, 'o_totalprice', CAST(round(rp, 2) AS VARCHAR), CAST(round(xp, 2) AS VARCHAR), round(xp - rp, 4) FROM j WHERE abs(xp - rp) > 0.001"""
+
+
+def _records(spark, d):
+    found = rc.record_diff(*orders_and_damaged(spark, d), "o_orderkey", atol=0.001)
+    number = F.col("column") == "o_totalprice"
+    tidy = {c: F.when(number, F.round(F.col(c).try_cast("double"), 2).cast("string")).otherwise(F.col(c)) for c in ("ref_value", "actual_value")}
+    return found.withColumns(tidy | {"delta": F.round("delta", 4)})
+
+
+@query("rc_10_record_diff", _RECORDS)
+def rc_10(spark, d):
+    return _records(spark, d)
+
+
+@query("rc_11_one_sided_keys", f"""
+WITH a AS ({_DAMAGED}) SELECT o_orderkey, 'ref_only' AS side FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM a)
+UNION ALL SELECT o_orderkey, 'actual_only' FROM a WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders)""")
+def rc_11(spark, d):
+    return rc.one_sided_keys(*orders_and_damaged(spark, d), "o_orderkey")
+
+
+@query("rc_12_mismatch_sample", f"""
+SELECT "column", o_orderkey, ref_value, actual_value, delta FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY o_orderkey) AS rn FROM ({_RECORDS})) WHERE rn <= 5""")
+def rc_12(spark, d):
+    return rc.mismatch_sample(_records(spark, d), "o_orderkey", 5)
+
+
+@query("rc_12_mismatch_counts", f"""SELECT "column", count(*) AS mismatches, max(abs(delta)) AS largest_delta FROM ({_RECORDS}) GROUP BY "column" """)
+def rc_12b(spark, d):
+    return rc.mismatch_counts(_records(spark, d))
+
+
+@query("rc_13_classify_failures", f"""
+WITH a AS ({_DAMAGED}), n AS (SELECT (SELECT count(*) FROM orders) AS r, (SELECT count(*) FROM a) AS x), f AS (
+  SELECT 'damaged' AS report, 'row_count' AS name, 'row count mismatch' AS pattern FROM n WHERE r <> x UNION ALL SELECT 'damaged', 'aggregate_parity', 'column value mismatch' FROM n
+  UNION ALL SELECT 'renamed', 'schema_parity', 'column name mismatch' FROM n UNION ALL SELECT 'renamed', 'aggregate_parity', 'column value mismatch' FROM n
+  UNION ALL SELECT 'retyped', 'schema_parity', 'type mismatch' FROM n UNION ALL SELECT 'retyped', 'aggregate_parity', 'column value mismatch' FROM n)
+SELECT * FROM f""")
+def rc_13(spark, d):
+    return rc.classify_failures(_several_reports(spark, d)).select("report", "name", "pattern")
+
+
+@query("rc_14_duplicate_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def rc_14(spark, d):
+    return rc.duplicate_keys(table(spark, d, "lineitem"), "l_orderkey l_linenumber")
+
+
+@query("ss_1_reconcile_batches", """
+WITH s AS (SELECT sum(value) AS r, sum(CASE WHEN event_type = 'error' THEN value * 2 ELSE value END) AS a FROM events)
+SELECT n.name, CASE WHEN n.name = 'aggregate_parity' AND abs(s.r - s.a) / abs(s.r) > 0.001 THEN 'fail' ELSE 'pass' END AS status, 4 AS n_batches
+FROM s, (VALUES ('schema_parity'), ('row_count'), ('aggregate_parity')) AS n(name)""")
+def ss_1(spark, d):
+    events = table(spark, d, "events")
+    arrived, reports, progress = (scratch_path(spark, label) for label in ("arrived", "reports", "progress"))
+    events.repartitionByRange(4, "event_id").write.parquet(arrived)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(arrived)
+
+    def wrong(batch):
+        return batch.withColumn("value", F.when(F.col("event_type") == "error", F.col("value") * 2).otherwise(F.col("value")))
+
+    def reference(batch):
+        return events.join(batch.select("event_id"), "event_id", "left_semi").select(*events.columns)
+
+    reconcile_stream(stream, reference, reports, progress, transform=wrong)
+    return read_reports(spark, reports).groupBy("name", "status").agg(F.count_distinct("batch_id").alias("n_batches"))
