@@ -74,8 +74,9 @@ def with_datasets(found: DataFrame) -> DataFrame:
 def dataset_usage(scripts: DataFrame) -> DataFrame:
     """(path, block_id, dataset, direction read/write)."""
     found = with_datasets(blocks(scripts))
-    pairs = [F.transform(c, lambda d, way=way: F.struct(d.alias("dataset"), F.lit(way).alias("direction"))) for c, way in (("inputs", "read"), ("outputs", "write"))]
-    return found.select("path", "block_id", F.inline(F.concat(*pairs)))
+    reads = F.transform("inputs", lambda name: F.struct(name.alias("dataset"), F.lit("read").alias("direction")))
+    writes = F.transform("outputs", lambda name: F.struct(name.alias("dataset"), F.lit("write").alias("direction")))
+    return found.select("path", "block_id", F.inline(F.concat(reads, writes)))
 
 
 def as_steps(scripts: DataFrame) -> DataFrame:
@@ -139,6 +140,7 @@ RISK_RULES = [
     ("proc datasets", "high", r"(?i)\bproc\s+datasets\b"),
     ("%sysfunc or %syscall", "high", r"(?i)%sys(?:func|call)\b"),
     ("retain with array", "high", r"(?is)\bretain\b.*\barray\b|\barray\b.*\bretain\b"),
+    ("nested do with retain", "high", r"(?is)\bretain\b.*\bdo\b.*\bdo\b"),
     ("multiple outputs", "medium", r"(?i)^data\s+[\w.]+\s+[\w.]+[\w.\s]*;"),
     ("output inside do", "medium", r"(?is)\bdo\b.*\bif\b.*\boutput\b.*\bend\b"),
     ("merge", "medium", r"(?i)\bmerge\s+\w"),
@@ -149,9 +151,10 @@ RISK_RULES = [
 
 def risk_flags(found: DataFrame) -> DataFrame:
     """(block_id, path, risk, flags): every rule a block matches, and the highest risk among them (low if none)."""
-    hits = F.filter(
-        F.array(*[F.when(F.col("raw").rlike(pattern), F.struct(F.lit(label).alias("flag"), F.lit(2 if risk == "high" else 1).alias("rank"))) for label, risk, pattern in RISK_RULES]),
-        lambda h: h.isNotNull())
+    rules = [(label, risk, F.col("raw").rlike(pattern)) for label, risk, pattern in RISK_RULES]
+    rules.append(("unknown procedure", "high", F.col("block_type") == "PROC_UNKNOWN"))
+    hit = lambda label, risk: F.struct(F.lit(label).alias("flag"), F.lit(2 if risk == "high" else 1).alias("rank"))
+    hits = F.filter(F.array(*[F.when(found_here, hit(label, risk)) for label, risk, found_here in rules]), lambda h: h.isNotNull())
     rank = F.coalesce(F.array_max(F.transform("hits", lambda h: h["rank"])), F.lit(0))
     return found.withColumn("hits", hits).select(
         "block_id", "path", F.array(F.lit("low"), F.lit("medium"), F.lit("high"))[rank].alias("risk"),

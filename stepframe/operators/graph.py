@@ -1,7 +1,7 @@
-"""Graph walks as checkpointed DataFrame rounds: reach, levels, roots and cycles.
+"""Graph walks as rounds of DataFrame joins: reach, levels, roots and cycles.
 
 The SQL form of recursion lists paths, which explodes on diamonds and never ends on cycles. Here a round
-works on distinct nodes only, and each round's result goes to the checkpoint folder.
+works on distinct nodes only, and each round's result is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -46,20 +46,22 @@ def peel(nodes: DataFrame, edges: DataFrame, *, backwards: bool = False) -> tupl
     """
     source, target = ("dst", "src") if backwards else ("src", "dst")
     nodes = nodes.select("node").distinct()
-    rest = cut_lineage(edges.filter(F.col("src") != F.col("dst")).select("src", "dst").distinct())
-    waiting = rest.select(F.col(target).alias("node")).distinct()
-    free = cut_lineage(nodes.join(waiting, "node", "left_anti").withColumn("level", F.lit(0)))
+    edges = cut_lineage(edges.filter(F.col("src") != F.col("dst")).select("src", "dst").distinct())
+    targets = edges.select(F.col(target).alias("node")).distinct()
+    free = cut_lineage(nodes.join(targets, "node", "left_anti").withColumn("level", F.lit(0)))
     parts = [free]
     level = 0
     while not free.isEmpty():
         level += 1
-        gone = free.select(F.col("node").alias(source))
-        fed = rest.join(gone, source, "left_semi").select(F.col(target).alias("node")).distinct()
-        rest = cut_lineage(rest.join(gone, source, "left_anti"))
-        waiting = rest.select(F.col(target).alias("node")).distinct()
-        free = cut_lineage(fed.join(waiting, "node", "left_anti").withColumn("level", F.lit(level)))
-        parts = [*_known(parts), free]
+        parts = _known(parts)
+        taken = reduce(DataFrame.unionByName, parts).select(F.col("node").alias(source))
+        # Only the edges into this round's candidates are looked at; the graph itself is never written again.
+        fed = edges.join(free.select(F.col("node").alias(source)), source, "left_semi").select(target).distinct()
+        blocked = edges.join(fed, target, "left_semi").join(taken, source, "left_anti").select(target).distinct()
+        free = cut_lineage(fed.join(blocked, target, "left_anti").select(F.col(target).alias("node"), F.lit(level).alias("level")))
+        parts.append(free)
     taken = reduce(DataFrame.unionByName, parts)
+    rest = cut_lineage(edges.join(taken.select(F.col("node").alias(source)), source, "left_anti"))
     return taken, cut_lineage(nodes.join(taken, "node", "left_anti")), rest
 
 

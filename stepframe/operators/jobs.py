@@ -52,6 +52,11 @@ def changelog(revisions: DataFrame, job_id) -> DataFrame:
     return revisions.filter(F.col("job_id") == job_id).orderBy(F.col("created_at").desc(), F.col("id").desc())
 
 
+def changelog_positions(revisions: DataFrame, name: str = "place", **options) -> DataFrame:
+    """Every job's change log at once: `place` 1 is a job's newest revision. Ids are numbers here."""
+    return row_numbers(revisions, ["job_id"], [Key("created_at", True), Key("id", True)], name, **options)
+
+
 def version_history(jobs: DataFrame, job_id) -> DataFrame:
     """All versions of a job's family, from its root down, oldest first, with `is_current`."""
     edges = jobs.filter(F.col("parent_job_id").isNotNull()).select(F.col("parent_job_id").alias("src"), F.col("id").alias("dst"))
