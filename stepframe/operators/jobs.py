@@ -12,6 +12,7 @@ from stepframe.operators.graph import reach
 from stepframe.operators.ordered import last_of_group, order_rank, positions, row_numbers
 from stepframe.operators.step import band
 from stepframe.semantics import Key, by_keys, names_of
+from stepframe.sizing import cut_lineage
 
 # Fixed values of the trust report.
 MANUAL_STRATEGIES = ["manual", "manual_ingestion", "skip"]
@@ -98,7 +99,8 @@ def review_order(rows: DataFrame, name: str = "queue_position") -> DataFrame:
     for word, value in CONFIDENCE_ORDER.items():
         rank = F.when(F.col("self_confidence") == word, value).otherwise(rank)
     keyed = rows.withColumns({"__calm": F.when(F.col("needs_attention"), 0).otherwise(1), "__reach": F.coalesce("blast_radius", F.lit(-1).cast("long")), "__rank": rank})
-    placed = positions(keyed, [Key("__calm"), Key("__reach", True), Key("__rank"), Key("block_id")], name)
+    # The order is sized, sampled and sorted, so the joined rows are written once first.
+    placed = positions(cut_lineage(keyed), [Key("__calm"), Key("__reach", True), Key("__rank"), Key("block_id")], name)
     return placed.drop("__calm", "__reach", "__rank")
 
 

@@ -9,10 +9,11 @@ gets the plain window instead.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -240,66 +241,99 @@ def capped_balance(df, by, order_by, amount: str, low: float, high: float, name:
 
     Not a prefix sum, yet steps compose: any run of rows maps the balance b to min(top, max(bottom, b + shift)).
     Each slice is reduced to that triple, the triples are scanned per group, and each slice is then replayed
-    from its own starting balance.
+    from the balance it inherits. Python sees sorted Arrow batches one by one and never holds a group.
     """
     by = names_of(by)
     keys = require_order(df, order_by)
     require_columns(df, [*by, amount])
     slices = _slices(df, keys, slices, rows_per_slice)
-    order = [k.name for k in keys]
-    ascending = [not k.descending for k in keys]
-
-    def in_order(rows: pd.DataFrame) -> pd.DataFrame:
-        # NULL keys come first ascending and last descending, as in Spark.
-        for column, asc in reversed(list(zip(order, ascending, strict=True))):
-            rows = rows.sort_values(column, ascending=asc, kind="stable", na_position="first" if asc else "last")
-        return rows
-
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = in_order(rows)
-        balance = float(rows["__start"].iloc[0])
-        out = []
-        for step in rows[amount].fillna(0.0).to_numpy(dtype=float):
-            balance = min(high, max(low, balance + step))
-            out.append(balance)
-        return rows.drop(columns=["__start"]).assign(**{name: out})
-
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
-    if not slices:
-        prepared = df.withColumn("__start", F.lit(float(start)))
-        return prepared.groupBy(*by).applyInPandas(replay, schema)
+    order = [k.column() for k in keys]
+    step = F.coalesce(F.nanvl(F.col(amount).cast("double"), F.lit(None).cast("double")), F.lit(0.0))
+    prepared = df.withColumns({"__step": step, "__start": F.lit(float(start)), _ROLE: F.lit(_DATA)} | ({_SLICE: slices.number()} if slices else {}))
+    cell = [*by, _SLICE] if slices else by
 
-    cell = [*by, _SLICE]
-    sliced = df.withColumn(_SLICE, slices.number())
-
-    def reduce_cell(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = in_order(rows)
-        shift, bottom, top = 0.0, float("-inf"), float("inf")
-        for step in rows[amount].fillna(0.0).to_numpy(dtype=float):
-            shift += step
-            bottom = min(high, max(low, bottom + step))
-            top = min(high, max(low, top + step))
-        return rows[cell].head(1).assign(shift=shift, bottom=bottom, top=top)
-
-    cell_fields = [sliced.schema[c] for c in cell]
-    maps = T.StructType([*cell_fields, *[T.StructField(c, T.DoubleType()) for c in ("shift", "bottom", "top")]])
-    triples = sliced.select(*dict.fromkeys([*cell, *order, amount])).groupBy(*cell).applyInPandas(reduce_cell, maps)
-
-    def starts(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(_SLICE)
-        balance, out = float(start), []
-        for shift, bottom, top in rows[["shift", "bottom", "top"]].to_numpy():
-            out.append(balance)
-            balance = min(top, max(bottom, balance + shift))
-        return rows[cell].assign(__start=out)
-
-    start_schema = T.StructType([*cell_fields, T.StructField("__start", T.DoubleType())])
-    begun = triples.groupBy(*by).applyInPandas(starts, start_schema)
-    begun = begun.select(*[F.col(c).alias(f"__c_{c}") for c in cell], "__start")
-    same_cell = [F.col(c).eqNullSafe(F.col(f"__c_{c}")) for c in cell]
-    joined = sliced.join(begun, same_cell).drop(*[f"__c_{c}" for c in cell])
-    sliced_schema = T.StructType([*schema.fields[:-1], T.StructField(_SLICE, T.LongType()), schema.fields[-1]])
-    return joined.groupBy(*cell).applyInPandas(replay, sliced_schema).drop(_SLICE)
+    if slices:
+        in_cell = Window.partitionBy(*cell).orderBy(*order)
+        ends = prepared.select(*cell, "__step", _first_row(in_cell), _last_row(in_cell))
+        maps = ends.mapInArrow(_composed(low, high), _extended(ends, "shift", "bottom", "top")).filter("__last").drop("__step", "__first", "__last")
+        in_group = Window.partitionBy(*by).orderBy(_SLICE)
+        maps = maps.select("*", _first_row(in_group))
+        inherited = maps.mapInArrow(_handed_on(float(start)), _extended(maps, "__start")).select(*cell, "__start", F.lit(_CARRIED).alias(_ROLE))
+        prepared = prepared.drop("__start").unionByName(inherited, allowMissingColumns=True)
+
+    lined_up = prepared.select("*", _first_row(Window.partitionBy(*cell).orderBy(_ROLE, *order)))
+    replayed = lined_up.mapInArrow(_replayed(low, high), _extended(lined_up, "__balance"))
+    return replayed.filter(F.col(_ROLE) == _DATA).select(*[c for c in df.columns if c != name], F.col("__balance").alias(name))
+
+
+def _first_row(window) -> Column:
+    return F.lag(F.lit(1)).over(window).isNull().alias("__first")
+
+
+def _last_row(window) -> Column:
+    return F.lead(F.lit(1)).over(window).isNull().alias("__last")
+
+
+def _extended(df: DataFrame, *doubles: str) -> T.StructType:
+    return T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in doubles]])
+
+
+def _lists(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
+    return zip(*[batch.column(c).to_pylist() for c in columns], strict=True)
+
+
+def _with(batch: pa.RecordBatch, **doubles: list[float]) -> pa.RecordBatch:
+    """The batch as it is, with more columns."""
+    added = [pa.array(v, pa.float64()) for v in doubles.values()]
+    return pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *doubles])
+
+
+def _composed(low: float, high: float):
+    """Per row, the map from the balance before its slice to the balance after the row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shift, bottom, top = 0.0, -math.inf, math.inf
+        for batch in batches:
+            shifts, bottoms, tops = [], [], []
+            for first, step in _lists(batch, "__first", "__step"):
+                if first:
+                    shift, bottom, top = 0.0, -math.inf, math.inf
+                shift += step
+                bottom = min(high, max(low, bottom + step))
+                top = min(high, max(low, top + step))
+                shifts.append(shift)
+                bottoms.append(bottom)
+                tops.append(top)
+            yield _with(batch, shift=shifts, bottom=bottoms, top=tops)
+    return run
+
+
+def _handed_on(start: float):
+    """Per slice of a group, the balance it begins with."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        balance = start
+        for batch in batches:
+            out = []
+            for first, shift, bottom, top in _lists(batch, "__first", "shift", "bottom", "top"):
+                balance = start if first else balance
+                out.append(balance)
+                balance = min(top, max(bottom, balance + shift))
+            yield _with(batch, __start=out)
+    return run
+
+
+def _replayed(low: float, high: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        balance = 0.0
+        for batch in batches:
+            out = []
+            for first, role, begin, step in _lists(batch, "__first", _ROLE, "__start", "__step"):
+                if first:
+                    balance = begin
+                if role == _DATA:
+                    balance = min(high, max(low, balance + step))
+                out.append(balance)
+            yield _with(batch, __balance=out)
+    return run
 
 
 def positions(df: DataFrame, order_by: str | Sequence[str | Key], name: str = "position", *, na_position: str = "default",

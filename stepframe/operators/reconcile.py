@@ -1,7 +1,8 @@
 """Reconciliation: prove that an actual table equals a reference table.
 
-All checks look at the two tables as one tagged union, aggregated once, so that neither side is joined row by
-row and repeated keys or copies are combined before any shuffle. Values are fetched only for rows known to differ.
+Totals are one aggregate per side. Keyed and keyless comparisons look at the two tables as one tagged union,
+aggregated once, so that nothing is joined row by row and repeated keys or copies are combined before the shuffle.
+Values are fetched only for rows known to differ.
 """
 
 from __future__ import annotations
@@ -62,14 +63,21 @@ def _on(side: str, value: Column) -> Column:
 
 
 def _totals(ref: DataFrame, actual: DataFrame) -> DataFrame:
-    """One row: row counts and, per comparable column, sum and count on each side. Missing values sum to 0."""
+    """One row: row counts and, per comparable column, sum and count on each side. Missing values sum to 0.
+
+    Each side is aggregated on its own to one row; the two rows are then laid side by side.
+    """
     columns = _comparable(ref, actual)
-    both = _tagged(ref, actual, [_number(c).alias(c) for c in columns])
-    aggregates = [F.count(_on(s, F.lit(1))).alias(f"{s}_rows") for s in (_REF, _ACT)]
-    for c in columns:
-        for s in (_REF, _ACT):
-            aggregates += [F.coalesce(F.sum(_on(s, F.col(c))), F.lit(0.0)).alias(f"{s}_sum_{c}"), F.count(_on(s, F.col(c))).alias(f"{s}_count_{c}")]
-    return both.agg(*aggregates)
+    names = ["rows", *[f"{k}_{c}" for c in columns for k in ("sum", "count")]]
+
+    def side(tag: str, df: DataFrame) -> DataFrame:
+        values = [F.count("*")]
+        for c in columns:
+            values += [F.coalesce(F.sum(_number(c)), F.lit(0.0)), F.count(_number(c))]
+        return df.agg(*[v.alias(n) for v, n in zip(values, names, strict=True)]).withColumn("__side", F.lit(tag))
+
+    both = side(_REF, ref).unionByName(side(_ACT, actual))
+    return both.agg(*[F.max(_on(s, F.col(n))).alias(f"{s}_{n}") for s in (_REF, _ACT) for n in names])
 
 
 def _relative(ref: Column, actual: Column) -> Column:
@@ -115,7 +123,7 @@ def _check(seq: int, name: str, detail: Column) -> Column:
 def reconcile(ref: DataFrame, actual: DataFrame, rtol: float = RELATIVE_TOLERANCE) -> DataFrame:
     """The report (seq, name, status, detail): schema_parity, row_count, aggregate_parity.
 
-    Lazy, one aggregate over the union of both sides; names and classes come from the schemas.
+    Lazy, one aggregate per side; names and classes come from the schemas.
     """
     comparable = _comparable(ref, actual)
     parts = []
