@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepframe.semantics import StepError, names_of, require_columns
+from stepframe.semantics import StepError, names_of, require_columns, same_keys
+from stepframe.sizing import cut_lineage
 
 
 def concatenate(*frames: DataFrame) -> DataFrame:
@@ -95,20 +96,19 @@ def merge_audit(left: DataFrame, right: DataFrame, by: str | Sequence[str]) -> D
     )
 
 
-def with_group_statistics(df: DataFrame, by: str | Sequence[str], **aggregates: Column) -> DataFrame:
+def with_group_statistics(df: DataFrame, by: str | Sequence[str], *, write: bool = True, **aggregates: Column) -> DataFrame:
     """Detail rows with statistics of their group (`SUM() OVER (PARTITION BY)`, PROC SQL remerge).
 
-    A window would hold a hot group in one task. The aggregate is combined before its shuffle, and the join
-    back is broadcast when small or split at the hot key at run time.
+    A window would hold a hot group in one task. The aggregate is combined before its shuffle and written to the
+    shared folder, so that its real size decides the join: broadcast if small, and then the detail rows are not
+    shuffled at all; else a sort-merge join whose hot keys Spark splits. `write=False` keeps it all lazy.
     """
     by = names_of(by)
     require_columns(df, by)
     if not by:
         return df.join(F.broadcast(df.agg(*[a.alias(n) for n, a in aggregates.items()])))
     stats = df.groupBy(*by).agg(*[a.alias(n) for n, a in aggregates.items()])
-    stats = stats.withColumnsRenamed({c: f"__g_{c}" for c in by})
-    same = [F.col(c).eqNullSafe(F.col(f"__g_{c}")) for c in by]
-    return df.join(stats, same, "left").drop(*[f"__g_{c}" for c in by])
+    return same_keys(df, cut_lineage(stats) if write else stats, by, "left")
 
 
 def upsert(base: DataFrame, updates: DataFrame, key: str | Sequence[str]) -> DataFrame:

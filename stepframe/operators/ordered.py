@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stepframe.semantics import Key, StepError, names_of, require_columns, require_order
+from stepframe.semantics import Key, StepError, names_of, require_columns, require_order, same_keys
 from stepframe.sizing import ROWS_PER_SLICE, Slices, cut_lineage, ordinal, plan_slices
 
 _SLICE, _ROLE, _SEQ = "__slice", "__role", "__seq"
@@ -187,28 +187,32 @@ def lag(
 def first_last_flags(df: DataFrame, by: str | Sequence[str], order_by: str | Sequence[str | Key]) -> DataFrame:
     """`first_<var>` and `last_<var>` (0/1) for nested BY variables; BY + order keys must identify a row.
 
-    The first and last row of each group are found by a map-side combined min/max over the sort key and
-    marked by a join on that full, unique key, so a hot group is spread over all tasks.
+    One map-side combined pass finds the first and last row of each innermost group; outer groups are rolled up
+    from those. They are marked by a join on the full, unique key, so a hot group is spread over all tasks.
     """
     by = names_of(by)
     keys = require_order(df, order_by)
     require_columns(df, by, "BY variable")
     identity = list(dict.fromkeys([*by, *[k.name for k in keys]]))
-    flags = [f"{end}_{v}" for v in by for end in ("first", "last")]
+    row = F.struct(*identity)
+    rank = order_rank(df, keys)
+    ends = df.groupBy(*by).agg(F.min_by(row, rank).alias("first"), F.max_by(row, rank).alias("last"))
     marks = None
     for level, var in enumerate(by):
-        inner = [Key(v) for v in by[level + 1:]]
-        rank = order_rank(df, [*inner, *keys])
-        row = F.struct(*identity)
-        ends = df.groupBy(*by[: level + 1]).agg(F.min_by(row, rank).alias("first"), F.max_by(row, rank).alias("last"))
-        for end in ("first", "last"):
-            found = ends.select(*[F.col(end)[c].alias(c) for c in identity],
-                                *[F.lit(1 if f == f"{end}_{var}" else 0).alias(f) for f in flags])
-            marks = found if marks is None else marks.unionByName(found)
+        outer, inner = by[: level + 1], by[level + 1:]
+        if inner:
+            # Inner BY variables sort ascending, so the first row of the lowest inner group is the outer first row.
+            place = F.struct(*inner)
+            found = ends.groupBy(*outer).agg(F.min_by("first", place).alias("first"), F.max_by("last", place).alias("last"))
+        else:
+            found = ends.select("first", "last")
+        both = F.array(*[F.struct(*[F.col(end)[c].alias(c) for c in identity], *[F.lit(int(f == f"{end}_{v}" and v == var)).alias(f) for v in by for f in (f"first_{v}", f"last_{v}")])
+                         for end in ("first", "last")])
+        found = found.select(F.inline(both))
+        marks = found if marks is None else marks.unionByName(found)
+    flags = [f"{end}_{v}" for v in by for end in ("first", "last")]
     marks = marks.groupBy(*identity).agg(*[F.max(f).alias(f) for f in flags])
-    marks = marks.select(*[F.col(c).alias(f"__m_{c}") for c in identity], *flags)
-    same_row = [F.col(c).eqNullSafe(F.col(f"__m_{c}")) for c in identity]
-    return df.join(marks, same_row, "left").select(*df.columns, *[F.coalesce(F.col(f), F.lit(0)).alias(f) for f in flags])
+    return same_keys(df, marks, identity, "left").withColumns({f: F.coalesce(F.col(f), F.lit(0)) for f in flags})
 
 
 def first_of_group(df, by, order_by, rows: int = 1) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from stepframe.operators.ordered import first_of_group
 from stepframe.operators.summaries import quantiles
 from stepframe.semantics import StepError, names_of, numeric_columns, require_columns, same_keys, value_class
+from stepframe.sizing import cut_lineage
 
 # SUM parity fails when the relative difference is strictly greater than this.
 RELATIVE_TOLERANCE = 0.001
@@ -282,7 +283,8 @@ def record_diff(ref: DataFrame, actual: DataFrame, keys: str | Sequence[str], va
     """Per differing cell of rows on both sides: key, column, both values as text, delta.
 
     A numeric cell differs when |ref - actual| > atol + rtol * |ref| or one side is missing. Rows are compared by
-    hash first; the values of the changed keys only are read again and paired.
+    hash first. The changed keys are written to the shared folder, so that their real number decides whether the
+    wide rows are shuffled at all, and only their values are read again and paired.
     """
     keys = names_of(keys)
     values = _shared_values(ref, actual, keys, values)
@@ -292,7 +294,7 @@ def record_diff(ref: DataFrame, actual: DataFrame, keys: str | Sequence[str], va
             F.col("difference") == "duplicate",
             F.raise_error(F.concat(F.lit("record_diff: repeated key "), F.to_json(F.struct(*keys)))).cast("string"),
         ).otherwise(F.col("difference")))
-    changed = differences.filter(F.col("difference") == "changed").select(*keys)
+    changed = cut_lineage(differences.filter(F.col("difference") == "changed").select(*keys))
     left = same_keys(ref, changed, keys, "left_semi").select(*keys, *[F.col(c).alias(f"__r_{c}") for c in values])
     right = same_keys(actual, changed, keys, "left_semi").select(*keys, *[F.col(c).alias(f"__a_{c}") for c in values])
     forms = _forms(ref, actual, values)

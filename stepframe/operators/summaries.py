@@ -13,7 +13,10 @@ from pyspark.sql import types as T
 from stepframe.operators.combine import with_group_statistics
 from stepframe.operators.ordered import positions
 from stepframe.semantics import StepError, is_missing, names_of, require_columns
-from stepframe.sizing import ROWS_PER_SLICE
+from stepframe.sizing import cut_lineage
+
+# `percentile` keeps up to this many values in memory, together over all groups.
+ROWS_IN_MEMORY = 1_000_000
 
 STATISTICS = ("n", "nmiss", "sum", "mean", "std", "min", "max", "median")
 
@@ -25,7 +28,7 @@ def _long(df: DataFrame, by: Sequence[str], variables: Sequence[str]) -> DataFra
 
 
 def quantiles(df: DataFrame, by: str | Sequence[str], variables: str | Sequence[str], probabilities: Sequence[float], *,
-              accuracy: int = 10_000, rows_in_memory: int = ROWS_PER_SLICE) -> DataFrame:
+              accuracy: int = 10_000, rows_in_memory: int = ROWS_IN_MEMORY) -> DataFrame:
     """Exact quantiles with linear interpolation: one row per (group, variable, p).
 
     `percentile` keeps all distinct values of a group in one buffer, so it is used only if the whole table is
@@ -74,7 +77,7 @@ def _statistic(df: DataFrame, statistic: str, variable: str) -> Column:
 
 
 def means(df: DataFrame, variables: str | Sequence[str], class_vars: str | Sequence[str] = (), statistics: Sequence[str] = STATISTICS, *,
-          missing: bool = False, rows_in_memory: int = ROWS_PER_SLICE) -> DataFrame:
+          missing: bool = False, rows_in_memory: int = ROWS_IN_MEMORY) -> DataFrame:
     """CLASS x VAR x statistics, one row per class level, columns `<stat>_<var>`.
 
     Rows with a missing class level are left out unless `missing`. Without CLASS there is one row per variable.
@@ -106,7 +109,8 @@ def means(df: DataFrame, variables: str | Sequence[str], class_vars: str | Seque
 def frequencies(df: DataFrame, column: str, *, missing: bool = False) -> DataFrame:
     """One-way table in level order: frequency, percent and both cumulated."""
     require_columns(df, [column])
-    levels = (df if missing else df.dropna(subset=[column])).groupBy(column).agg(F.count("*").alias("frequency"))
+    # The levels are used several times; the table is read once.
+    levels = cut_lineage((df if missing else df.dropna(subset=[column])).groupBy(column).agg(F.count("*").alias("frequency")))
     levels = with_group_statistics(levels, [], __total=F.sum("frequency"))
     table = positions(levels, column, "__at", totals={"cum_frequency": "frequency"})
     share = lambda c: F.try_divide(F.col(c) * 100.0, F.col("__total"))
@@ -116,10 +120,10 @@ def frequencies(df: DataFrame, column: str, *, missing: bool = False) -> DataFra
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     """Two-way table in long form with cell, row and column percent."""
     require_columns(df, [a, b])
-    cells = df.dropna(subset=[a, b]).groupBy(a, b).agg(F.count("*").alias("frequency"))
+    cells = cut_lineage(df.dropna(subset=[a, b]).groupBy(a, b).agg(F.count("*").alias("frequency")))
     cells = with_group_statistics(cells, [], __all=F.sum("frequency"))
-    cells = with_group_statistics(cells, a, __row=F.sum("frequency"))
-    cells = with_group_statistics(cells, b, __col=F.sum("frequency"))
+    cells = with_group_statistics(cells, a, write=False, __row=F.sum("frequency"))
+    cells = with_group_statistics(cells, b, write=False, __col=F.sum("frequency"))
     part = lambda whole: F.try_divide(F.col("frequency") * 100.0, F.col(whole))
     return cells.select(a, b, "frequency", part("__all").alias("percent"), part("__row").alias("row_percent"), part("__col").alias("col_percent"))
 
@@ -148,9 +152,9 @@ def _chi_square_tail(statistic: pd.Series, freedom: pd.Series) -> pd.Series:
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     """TABLES a*b / CHISQ: statistic, degrees of freedom and p-value in one row, from the cell counts."""
     require_columns(df, [a, b])
-    cells = df.dropna(subset=[a, b]).groupBy(a, b).agg(F.count("*").alias("n"))
-    cells = with_group_statistics(cells, a, __row=F.sum("n"))
-    cells = with_group_statistics(cells, b, __col=F.sum("n"))
+    cells = cut_lineage(df.dropna(subset=[a, b]).groupBy(a, b).agg(F.count("*").alias("n")))
+    cells = with_group_statistics(cells, a, write=False, __row=F.sum("n"))
+    cells = with_group_statistics(cells, b, write=False, __col=F.sum("n"))
     total = cells.agg(
         F.sum("n").alias("n"),
         F.sum(F.col("n").cast("double") * F.col("n") / (F.col("__row").cast("double") * F.col("__col"))).alias("s"),
