@@ -47,8 +47,11 @@ def quantiles(df: DataFrame, by: str | Sequence[str], variables: str | Sequence[
     margin = 4.0 / accuracy
     bounds = F.array(*[F.lit(min(1.0, max(0.0, p + m))) for p in probabilities for m in (-margin, margin)])
     sketch = long.groupBy(*group).agg(F.count("*").alias("n"), F.percentile_approx("value", bounds, accuracy).alias("b"))
+    # The margin must span several ranks: in a group of few rows all values are looked at.
+    wide = F.col("n") > 10 * accuracy
     targets = F.array(*[
-        F.struct(F.lit(float(p)).alias("p"), ((F.col("n") - 1) * p).alias("at"), F.col("b")[2 * i].alias("low"), F.col("b")[2 * i + 1].alias("high"))
+        F.struct(F.lit(float(p)).alias("p"), ((F.col("n") - 1) * p).alias("at"), F.when(wide, F.col("b")[2 * i]).otherwise(-math.inf).alias("low"),
+                 F.when(wide, F.col("b")[2 * i + 1]).otherwise(math.inf).alias("high"))
         for i, p in enumerate(probabilities)
     ])
     sketch = sketch.select(*[F.col(c).alias(f"__t_{c}") for c in group], F.inline(targets))
@@ -64,6 +67,9 @@ def quantiles(df: DataFrame, by: str | Sequence[str], variables: str | Sequence[
     low_value = F.min(F.when(F.col("upto") >= F.floor("at") + 1, F.col("value")))
     high_value = F.min(F.when(F.col("upto") >= F.ceil("at") + 1, F.col("value")))
     found = ranked.groupBy(*group, "p", "at").agg(low_value.alias("a"), high_value.alias("b"))
+    # The sketch's error bound puts both ranks inside the bracket; never return a silent NULL if it did not.
+    missed = F.raise_error(F.lit("quantiles: a rank fell outside its bracket")).cast("double")
+    found = found.withColumns({c: F.coalesce(F.col(c), missed) for c in ("a", "b")})
     return found.select(*group, "p", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("quantile"))
 
 

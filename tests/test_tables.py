@@ -144,10 +144,10 @@ def test_recursion(spark):
 
 def test_exact_quantiles_of_large_tables(spark):
     rng = random.Random(5)
-    data = [("hot" if rng.random() < 0.5 else rng.choice(["a", None]), rng.choice([rng.gauss(0, 1), 1e9 * rng.random(), 7.0]), rng.randrange(5)) for _ in range(4000)]
+    data = [("hot" if rng.random() < 0.8 else rng.choice(["a", None]), rng.choice([rng.gauss(0, 1), 1e9 * rng.random(), 7.0]), rng.randrange(5)) for _ in range(6000)]
     df = spark.createDataFrame(data, "g string, x double, y int").repartition(6)
     ps = [0.0, 0.1, 0.5, 0.9, 1.0]
-    got = {(r.g, r.variable, r.p): r.quantile for r in summaries.quantiles(df, "g", "x y", ps, accuracy=200, rows_in_memory=0).collect()}
+    got = {(r.g, r.variable, r.p): r.quantile for r in summaries.quantiles(df, "g", "x y", ps, accuracy=100, rows_in_memory=0).collect()}
     for g in ("hot", "a", None):
         for i, v in ((1, "x"), (2, "y")):
             column = [r[i] for r in data if r[0] == g]
