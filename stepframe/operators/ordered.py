@@ -152,11 +152,14 @@ def lag(
     keys = require_order(df, order_by)
     require_columns(df, [*by, *[source for source, _ in columns.values()]])
     slices = _slices(df, keys, slices, rows_per_slice)
-    order = [k.column() for k in keys]
     if not slices:
-        w = Window.partitionBy(*by).orderBy(*order)
+        w = Window.partitionBy(*by).orderBy(*[k.column() for k in keys])
         return df.withColumns({new: F.lag(source, n).over(w) for new, (source, n) in columns.items()})
+    return _sliced_lag(df, by, keys, columns, slices).drop(_SLICE, _ROLE, _SEQ)
+
 
+def _sliced_lag(df: DataFrame, by: list[str], keys: list[Key], columns: dict[str, tuple[str, int]], slices: Slices) -> DataFrame:
+    """The last rows of the slices before are put in front of each slice."""
     depth = max(n for _, n in columns.values())
     sources = sorted({source for source, _ in columns.values()})
     cell = [*by, _SLICE]
@@ -175,12 +178,11 @@ def lag(
         .select(*cell, F.lit(_CARRIED).alias(_ROLE), F.posexplode("__halo").alias(_SEQ, "__h"))
         .select(*cell, _ROLE, _SEQ, *[F.col("__h")[f"__v_{s}"].alias(s) for s in sources if s not in by])
     )
-    w = Window.partitionBy(*cell).orderBy(_ROLE, _SEQ, *order)
+    w = Window.partitionBy(*cell).orderBy(_ROLE, _SEQ, *[k.column() for k in keys])
     return (
         sliced.unionByName(halo, allowMissingColumns=True)
         .withColumns({new: F.lag(source, n).over(w) for new, (source, n) in columns.items()})
         .filter(F.col(_ROLE) == _DATA)
-        .drop(_SLICE, _ROLE, _SEQ)
     )
 
 
@@ -228,15 +230,31 @@ def last_of_group(df, by, order_by, rows: int = 1) -> DataFrame:
 
 def sequence_ids(df, by, order_by, changes_of: str, name: str = "sequence_id", *, slices=None,
                  rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """A number that grows by one whenever `changes_of` differs from the row before, from 1 in each BY group."""
+    """A number that grows by one whenever `changes_of` differs from the row before, from 1 in each BY group.
+
+    In slices, changes are counted within each slice and written; what the slices before add is joined by slice.
+    """
+    by = names_of(by)
     keys = require_order(df, order_by)
+    require_columns(df, [*by, changes_of])
     slices = _slices(df, keys, slices, rows_per_slice)
-    options = {"slices": slices} if slices else {"rows_per_slice": 2**62}
-    marked = df.withColumn("__here", F.lit(1))
-    marked = lag(marked, by, keys, {"__before": (changes_of, 1), "__had": ("__here", 1)}, **options)
-    changed = F.when(F.col("__had").isNull() | ~F.col("__before").eqNullSafe(F.col(changes_of)), 1).otherwise(0)
-    marked = marked.withColumn("__change", changed.cast("long")).drop("__here", "__before", "__had")
-    return retain(marked, by, keys, {name: total("__change")}, **options).drop("__change")
+    order = [k.column() for k in keys]
+    before = {"__before": (changes_of, 1), "__had": ("__here", 1)}
+    changed = F.when(F.col("__had").isNull() | ~F.col("__before").eqNullSafe(F.col(changes_of)), 1).otherwise(0).cast("long")
+    here = df.withColumn("__here", F.lit(1))
+    marked = _sliced_lag(here, by, keys, before, slices) if slices else here.withColumns({new: F.lag(source, n).over(Window.partitionBy(*by).orderBy(*order)) for new, (source, n) in before.items()})
+    cell = [*by, _SLICE] if slices else by
+    # The same order as the lag, so that Spark sorts once.
+    so_far = Window.partitionBy(*cell).orderBy(*([_ROLE, _SEQ] if slices else []), *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = marked.withColumn("__change", changed).withColumn("__local", F.sum("__change").over(so_far))
+    marked = marked.drop("__here", "__before", "__had", _ROLE, _SEQ)
+    if not slices:
+        return marked.withColumn(name, F.col("__local")).drop("__change", "__local")
+    marked = cut_lineage(marked)
+    earlier = Window.partitionBy(*by).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    carried = marked.groupBy(*cell).agg(F.sum("__change").alias("__n")).select(*cell, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__carried"))
+    joined = same_keys(marked, cut_lineage(carried), cell, "left")
+    return joined.withColumn(name, F.col("__local") + F.col("__carried")).drop("__change", "__local", "__carried", _SLICE)
 
 
 def capped_balance(df, by, order_by, amount: str, low: float, high: float, name: str = "balance", start: float = 0.0, *,

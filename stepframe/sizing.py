@@ -28,9 +28,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _session_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/stepframe-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark)}/stepframe-{label}-{uuid.uuid4().hex}"
+    """A fresh path in the session's part of the shared folder."""
+    return f"{_session_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this session; frames built on them can no longer be read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -149,3 +149,15 @@ def test_order_is_demanded(table):
 def test_group_limits_come_before_the_shuffle(table):
     plan = ordered.first_of_group(table, "grp", "at id")._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan.split("== Physical Plan ==")[1]
+
+
+def test_written_tables_can_be_cleared(spark):
+    import os
+
+    from stepframe.sizing import _session_folder, clear_scratch, cut_lineage
+
+    assert cut_lineage(spark.range(5)).count() == 5
+    folder = _session_folder(spark).removeprefix("file:")
+    assert os.path.isdir(folder)
+    clear_scratch(spark)
+    assert not os.path.exists(folder)
