@@ -12,9 +12,17 @@ PROCEDURES = {
     "CONTENTS": "PROC_CONTENTS", "DATASETS": "PROC_DATASETS", "OPTMODEL": "PROC_OPTMODEL",
 }
 
-# A whole block: a DATA step or procedure up to its RUN or QUIT (PROC SQL ends with QUIT only).
+# Patterns of the script language. A block is a DATA step or procedure up to its RUN or QUIT; PROC SQL
+# ends with QUIT only.
 _BLOCK = r"(?is)\bdata\s+[^\s=;][^;]*;.*?\brun\s*;|\bproc\s+sql\b.*?\bquit\s*;|\bproc\s+(?!sql\b)\w+.*?\b(?:run|quit)\s*;"
+_PROCEDURE = r"(?i)^proc\s+(\w+)"
 _NAMES = r"([\w.]+(?:\s+[\w.]+)*)"
+_DATA_READS = rf"(?i)\b(?:set|merge)\s+{_NAMES}\s*;"
+_DATA_WRITES = rf"(?is)^data\s+{_NAMES}\s*;"
+_SQL_READS = r"(?i)\b(?:from|join)\s+([\w.]+)"
+_SQL_WRITES = r"(?i)\bcreate\s+table\s+([\w.]+)\s+as\b"
+_PROC_READS = r"(?i)\bdata\s*=\s*(\w[\w.]*)"
+_PROC_WRITES = r"(?i)\bout\s*=\s*(\w[\w.]*)"
 _LET = r"(?i)%let\s+(\w+)\s*=\s*([^;]*?)\s*;"
 _REFERENCE = r"&(\w+)"
 
@@ -29,7 +37,7 @@ def blocks(scripts: DataFrame) -> DataFrame:
     before = Window.partitionBy("path").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
     lined = pieces.select("path", "ordinal", F.col("piece.raw").alias("raw"), breaks(F.col("piece.gap")).alias("g"), breaks(F.col("piece.raw")).alias("b"))
     start = F.coalesce(F.sum(F.col("g") + F.col("b")).over(before), F.lit(0)) + F.col("g") + 1
-    procedure = F.upper(F.regexp_extract("raw", r"(?i)^proc\s+(\w+)", 1))
+    procedure = F.upper(F.regexp_extract("raw", _PROCEDURE, 1))
     known = F.create_map(*[F.lit(x) for pair in PROCEDURES.items() for x in pair])
     kind = F.when(procedure == "", "DATA_STEP").otherwise(F.coalesce(known[procedure], F.lit("PROC_UNKNOWN")))
     return lined.withColumn("start_line", start.cast("int")).select(
@@ -56,14 +64,10 @@ def with_datasets(found: DataFrame) -> DataFrame:
     # Data set options such as (KEEP=x) are not names.
     bare = F.regexp_replace("raw", r"\([^()]*\)", " ")
     is_data, is_sql, is_sort = (F.col("block_type") == k for k in ("DATA_STEP", "PROC_SQL", "PROC_SORT"))
-    data_in = _words(_all(bare, rf"(?i)\b(?:set|merge)\s+{_NAMES}\s*;"))
-    data_out = _words(_all(bare, rf"(?is)^data\s+{_NAMES}\s*;"))
-    # Options may hold parentheses around subqueries in SQL, so its text is read whole.
-    sql_in = _words(_all("raw", r"(?i)\b(?:from|join)\s+([\w.]+)"))
-    sql_out = _words(_all("raw", r"(?i)\bcreate\s+table\s+([\w.]+)\s+as\b"))
-    proc_in = _words(_all("raw", r"(?i)\bdata\s*=\s*(\w[\w.]*)"))
-    proc_out = _words(_all("raw", r"(?i)\bout\s*=\s*(\w[\w.]*)"))
-    proc_in, proc_out = F.slice(proc_in, 1, 1), F.slice(proc_out, 1, 1)
+    data_in, data_out = _words(_all(bare, _DATA_READS)), _words(_all(bare, _DATA_WRITES))
+    # SQL subqueries stand in parentheses, so its text is read whole.
+    sql_in, sql_out = _words(_all("raw", _SQL_READS)), _words(_all("raw", _SQL_WRITES))
+    proc_in, proc_out = (F.slice(_words(_all("raw", p)), 1, 1) for p in (_PROC_READS, _PROC_WRITES))
     in_place = F.when(is_sort & (F.size(proc_out) == 0), proc_in).otherwise(proc_out)
     return found.withColumns({
         "inputs": F.when(is_data, data_in).when(is_sql, sql_in).otherwise(proc_in),

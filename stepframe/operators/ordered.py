@@ -101,12 +101,18 @@ def retain(
     cell = [*by, _SLICE] if slices else by
 
     if slices:
-        ranked = prepared.withColumn("__rank", order_rank(df, keys))
-        summaries = ranked.groupBy(*cell).agg(*[
-            F.max_by(F.when(F.col(i).isNotNull(), F.col(i)), F.when(F.col(i).isNotNull(), F.col("__rank"))).alias(i)
-            if kind == "latest" else _fold(kind, F.col(i)).alias(i)
-            for i, (_, kind) in inputs.items()
-        ])
+        folded = [_fold(kind, F.col(i)).alias(i) for i, (_, kind) in inputs.items() if kind != "latest"]
+        ends = [i for i, (_, kind) in inputs.items() if kind == "latest"]
+        if ends and all(not k.descending or ordinal(F.col(k.name), df.schema[k.name].dataType) is not None for k in keys):
+            prepared = prepared.withColumn("__rank", order_rank(df, keys))
+            folded += [F.max_by(F.when(F.col(i).isNotNull(), F.col(i)), F.when(F.col(i).isNotNull(), F.col("__rank"))).alias(i) for i in ends]
+            ends = []
+        summaries = prepared.groupBy(*cell).agg(F.count("*").alias("__rows"), *folded)
+        prepared = prepared.drop("__rank")
+        for i in ends:
+            # No number stands for a descending text key: take the last row of each cell as such.
+            last = last_of_group(prepared.filter(F.col(i).isNotNull()).select(*cell, *[k.name for k in keys if k.name not in by], i), cell, keys)
+            summaries = same_keys(summaries, last.select(*cell, i), cell, "left")
         before = Window.partitionBy(*by).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
         carried = summaries.select(
             *cell,

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from stepframe.semantics import Key, StepError
 
+_FAR = 2**61
+
 # A window over at most this many rows may run in one task.
 ROWS_PER_SLICE = 4_000_000
 
@@ -81,9 +83,13 @@ class Slices:
 
     def number(self) -> Column:
         value = ordinal(F.col(self.key.name), self.data_type)
-        cell = F.floor((value - F.lit(self.start)) / F.lit(float(self.width))).cast("long")
-        # NULL sorts first ascending and last descending, so it gets the lowest cell before the sign flips.
-        cell = F.coalesce(cell, F.lit(-(2**62)).cast("long"))
+        cell = F.floor((value - F.lit(self.start)) / F.lit(float(self.width)))
+        if isinstance(self.data_type, (T.DoubleType, T.FloatType)):
+            cell = F.when(F.isnan(self.key.name), _FAR).otherwise(cell)
+        # Infinities and NaN share the outermost cells. NULL sorts first ascending and last descending: the lowest
+        # cell of all, before the sign flips.
+        bounded = F.greatest(F.least(cell, F.lit(_FAR)), F.lit(-_FAR))
+        cell = F.when(value.isNull(), -2 * _FAR).otherwise(bounded)
         return -cell if self.key.descending else cell
 
 
@@ -101,7 +107,8 @@ def plan_slices(df: DataFrame, key: Key, rows_per_slice: int = ROWS_PER_SLICE) -
             return None
         raise StepError(f"order key {key.name} is {data_type.simpleString()}: lead with a number, date or timestamp "
                         "key so that large BY groups can be split")
-    rows, low, high = df.select(F.count("*"), F.min(value), F.max(value)).first()
+    finite = F.when(F.abs(value) < float("inf"), value)
+    rows, low, high = df.select(F.count("*"), F.min(finite), F.max(finite)).first()
     if rows <= rows_per_slice or low is None or low == high:
         return None
     cells = -(-rows // rows_per_slice)

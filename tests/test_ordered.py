@@ -59,6 +59,13 @@ def test_retain(table, descending, per_slice):
             assert (x.low, x.high) == ((min(values), max(values)) if values else (None, None))
 
 
+def test_latest_with_a_descending_text_key(table):
+    order = "DESCENDING at DESCENDING kind id"
+    whole = ordered.retain(table, "grp", order, {"last": ordered.latest("v"), "n": ordered.counter()})
+    sliced = ordered.retain(table, "grp", order, {"last": ordered.latest("v"), "n": ordered.counter()}, rows_per_slice=25)
+    assert sorted((r.id, r["last"] or 0, r.n) for r in whole.collect()) == sorted((r.id, r["last"] or 0, r.n) for r in sliced.collect())
+
+
 @pytest.mark.parametrize("per_slice", [25, 10**6])
 def test_lag_reaches_over_slices(table, per_slice):
     got = {r.id: r for r in ordered.lag(table, "grp", "at id", {"one": ("v", 1), "four": ("id", 4)}, rows_per_slice=per_slice).collect()}
@@ -137,6 +144,14 @@ def test_local_timestamps_slice_in_order(spark):
     assert all(r.n == r.id + 1 for r in got)
 
 
+@pytest.mark.parametrize("order", ["x id", "DESCENDING x id"])
+def test_infinities_and_nan_keep_their_place(spark, order):
+    values = [float("nan"), float("inf"), float("-inf"), None, *[i / 7 for i in range(-40, 40)]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values * 2)], "id int, x double").repartition(4)
+    whole, sliced = (ordered.row_numbers(df, [], order, "n", rows_per_slice=n).collect() for n in (10**6, 9))
+    assert sorted((r.id, r.n) for r in whole) == sorted((r.id, r.n) for r in sliced)
+
+
 def test_order_is_demanded(table):
     with pytest.raises(StepError, match="order"):
         ordered.retain(table, "grp", [], {"t": ordered.total("v")})
