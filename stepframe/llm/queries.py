@@ -5,16 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stepframe.llm import minhash
+from stepframe.llm import minhash, packing, sharding
 from stepframe.plans.catalog import table
+from stepframe.sizing import cut_lineage
+
+
+def tokenizer_file() -> str:
+    """The byte-level BPE file; every executor has it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    cut = cut_lineage(packing.pieces(table(spark, folder, "documents"), tokenizer_file()))
+    slim = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(slim, "length", ["doc_id", "piece", "start", "ids_crc32"])
 
 
 def op6_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    dealt = sharding.shuffle_into_shards(table(spark, folder, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return dealt.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"),
+                        F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op9_sharding": op9_sharding,
 }
 ORACLES: dict[str, str] = {}
