@@ -5,6 +5,8 @@ Only DataFrame functions: the draws are folds over short arrays, so a lost task
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,40 +24,52 @@ def _sequence(low: Column, high: Column) -> Column:
     return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
 
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, whatever the number of places it is used in."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def hypergeometric(u: Column, good: Column, total: Column, draws: Column) -> Column:
     """How many of `draws` without replacement from `total` are among the `good` ones, by inversion of u in [0, 1).
 
     The probabilities relative to that of the mode follow from ratios of neighbours, upwards and downwards, as far as
     12 standard deviations and 30 more, where they no longer change a double; their sum stands for 1.
     """
-    bad = total - good
-    low, high = F.greatest(F.lit(0), draws - bad), F.least(good, draws)
-    mode = F.least(F.greatest(F.floor((draws + 1) * ((good + 1) / (total + 2))), low), high).cast("long")
-    spread = F.sqrt(draws * (good / total) * (bad / total))
-    reach = F.coalesce(F.ceil(12 * spread), F.lit(0)).cast("long") + 30
-    up, down = _sequence(mode + 1, F.least(high, mode + reach)), _sequence(F.lit(1).cast("long"), F.least(mode - low, reach))
+    count = {"good": good, "draws": draws, "bad": total - good}
+    given = F.struct(*[v.cast("long").alias(k) for k, v in count.items()], u.alias("u"))
+
+    def bounded(x: Column) -> Column:
+        n = (x.good + x.bad).cast("double")
+        low, high = F.greatest(F.lit(0).cast("long"), x.draws - x.bad), F.least(x.good, x.draws)
+        mode = F.floor((x.draws + 1) * ((x.good + 1) / (n + 2))).cast("long")
+        reach = F.ceil(12 * F.sqrt(x.draws * (x.good / n) * (x.bad / n))).cast("long") + 30
+        return F.struct(x.good.alias("good"), x.draws.alias("draws"), x.bad.alias("bad"), x.u.alias("u"), low.alias("low"), high.alias("high"),
+                        F.greatest(F.least(mode, high), low).alias("mode"), reach.alias("reach"))
+
+    def draw(x: Column) -> Column:
+        def rising(k: Column) -> Column:
+            """The probability of k over that of k - 1."""
+            return (x.good - k + 1).cast("double") * (x.draws - k + 1) / (k.cast("double") * (x.bad - x.draws + k))
+
+        one = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("s"), F.lit(None).cast("long").alias("k"))
+        up = _sequence(x.mode + 1, F.least(x.high, x.mode + x.reach))
+        down = _sequence(F.lit(1).cast("long"), F.least(x.mode - x.low, x.reach))
 
-    def rising(k: Column) -> Column:
-        """The probability of k over that of k - 1."""
-        return (good - k + 1).cast("double") * (draws - k + 1) / (k.cast("double") * (bad - draws + k))
+        def walk(steps: Column, start: Column, goal: Column, factor: Callable, value: Callable) -> Column:
+            return F.aggregate(steps, start, lambda a, k: _bind(a.w * factor(k), lambda w: F.struct(
+                w.alias("w"), (a.s + w).alias("s"), F.when(a.k.isNull() & (a.s + w > goal), value(k)).otherwise(a.k).alias("k"))))
 
-    def summed(start: Column) -> Column:
-        above = F.aggregate(up, F.struct(F.lit(1.0).alias("w"), start.alias("s")), lambda a, k: F.struct(
-            (a.w * rising(k)).alias("w"), (a.s + a.w * rising(k)).alias("s")))
-        return F.aggregate(down, F.struct(F.lit(1.0).alias("w"), above.s.alias("s")), lambda a, k: F.struct(
-            (a.w / rising(mode - k + 1)).alias("w"), (a.s + a.w / rising(mode - k + 1)).alias("s"))).s
+        def both(start: Column, goal: Column) -> Column:
+            above = walk(up, start, goal, rising, lambda k: k)
+            return _bind(above, lambda a: walk(down, F.struct(F.lit(1.0).alias("w"), a.s.alias("s"), a.k.alias("k")), goal,
+                                               lambda k: 1 / rising(x.mode - k + 1), lambda k: x.mode - k))
 
-    goal = u * summed(F.lit(1.0))
+        def chosen(goal: Column) -> Column:
+            return F.when(goal < 1, x.mode).otherwise(F.coalesce(both(one, goal).k, x.mode))
 
-    def walk(steps: Column, start: Column, factor, value) -> Column:
-        return F.aggregate(steps, start, lambda a, k: F.struct(
-            (a.w * factor(k)).alias("w"), (a.s + a.w * factor(k)).alias("s"),
-            F.when(a.k.isNull() & (a.s + a.w * factor(k) > goal), value(k)).otherwise(a.k).alias("k")))
+        return _bind(x.u * both(one, F.lit(float("inf"))).s, chosen)
 
-    first = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("s"), F.when(goal < 1, mode).alias("k"))
-    above = walk(up, first, rising, lambda k: k)
-    below = walk(down, F.struct(F.lit(1.0).alias("w"), above.s.alias("s"), above.k.alias("k")), lambda k: 1 / rising(mode - k + 1), lambda k: mode - k)
-    return F.when(total <= 0, F.lit(0).cast("long")).otherwise(F.coalesce(below.k, mode))
+    return F.when(total <= 0, F.lit(0).cast("long")).otherwise(_bind(given, lambda x: _bind(bounded(x), draw)))
 
 
 def split_counts(capacity: Column, draws: Column, *seeds: Column) -> Column:
@@ -64,9 +78,8 @@ def split_counts(capacity: Column, draws: Column, *seeds: Column) -> Column:
     state = F.struct(draws.cast("long").alias("left"), whole.alias("total"), F.array().cast("array<bigint>").alias("got"))
 
     def take(a: Column, x: Column) -> Column:
-        # The count is bound to a lambda's name so that it is drawn once.
-        drawn = F.array(hypergeometric(_uniform(*seeds, F.size(a.got)), x, a.total, a.left))
-        return F.element_at(F.transform(drawn, lambda n: F.struct((a.left - n).alias("left"), (a.total - x).alias("total"), F.concat(a.got, F.array(n)).alias("got"))), 1)
+        return _bind(hypergeometric(_uniform(*seeds, F.size(a.got)), x, a.total, a.left), lambda n: F.struct(
+            (a.left - n).alias("left"), (a.total - x).alias("total"), F.concat(a.got, F.array(n)).alias("got")))
 
     return F.aggregate(capacity, state, take).got
 
@@ -91,10 +104,10 @@ def communication_matrix(sizes: DataFrame, shards: int, total: int, seed: int) -
             F.sort_array(F.collect_list(F.struct("node", "n"))).alias("children"))
         state = F.struct(F.col("counts").alias("rest"), F.array().cast("array<array<bigint>>").alias("dealt"))
 
-        def deal(a: Column, child: Column, depth=depth) -> Column:
-            drawn = F.array(split_counts(a.rest, child.n, F.lit(seed), F.lit(depth), child.node))
-            return F.element_at(F.transform(drawn, lambda got: F.struct(
-                F.zip_with(a.rest, got, lambda x, y: x - y).alias("rest"), F.concat(a.dealt, F.array(got)).alias("dealt"))), 1)
+        def deal(a: Column, child: Column) -> Column:
+            drawn = split_counts(a.rest, child.n, F.lit(seed), F.lit(depth), child.node)
+            return _bind(drawn, lambda got: F.struct(
+                F.zip_with(a.rest, got, lambda x, y: x - y).alias("rest"), F.concat(a.dealt, F.array(got)).alias("dealt")))
 
         both = current.join(children, F.col("node") == F.col("parent"))
         both = both.select("children", F.aggregate("children", state, deal).dealt.alias("dealt"))
