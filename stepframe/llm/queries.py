@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepframe.llm import minhash, packing, sharding
+from stepframe.llm import lines, minhash, packing, sharding
 from stepframe.plans.catalog import table
 from stepframe.sizing import cut_lineage
 
@@ -19,6 +19,10 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.dedupe_lines(table(spark, folder, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     cut = cut_lineage(packing.pieces(table(spark, folder, "documents"), tokenizer_file()))
     slim = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
@@ -37,6 +41,7 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op9_sharding": op9_sharding,

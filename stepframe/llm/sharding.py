@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepframe.llm.expressions import bind
 from stepframe.sizing import cut_lineage
 
 FAN_OUT = 32
@@ -24,11 +25,6 @@ def _sequence(low: Column, high: Column) -> Column:
     return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once, whatever the number of places it is used in."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def hypergeometric(u: Column, good: Column, total: Column, draws: Column) -> Column:
     """How many of `draws` without replacement from `total` are among the `good` ones, by inversion of u in [0, 1).
 
@@ -56,20 +52,20 @@ def hypergeometric(u: Column, good: Column, total: Column, draws: Column) -> Col
         down = _sequence(F.lit(1).cast("long"), F.least(x.mode - x.low, x.reach))
 
         def walk(steps: Column, start: Column, goal: Column, factor: Callable, value: Callable) -> Column:
-            return F.aggregate(steps, start, lambda a, k: _bind(a.w * factor(k), lambda w: F.struct(
+            return F.aggregate(steps, start, lambda a, k: bind(a.w * factor(k), lambda w: F.struct(
                 w.alias("w"), (a.s + w).alias("s"), F.when(a.k.isNull() & (a.s + w > goal), value(k)).otherwise(a.k).alias("k"))))
 
         def both(start: Column, goal: Column) -> Column:
             above = walk(up, start, goal, rising, lambda k: k)
-            return _bind(above, lambda a: walk(down, F.struct(F.lit(1.0).alias("w"), a.s.alias("s"), a.k.alias("k")), goal,
+            return bind(above, lambda a: walk(down, F.struct(F.lit(1.0).alias("w"), a.s.alias("s"), a.k.alias("k")), goal,
                                                lambda k: 1 / rising(x.mode - k + 1), lambda k: x.mode - k))
 
         def chosen(goal: Column) -> Column:
             return F.when(goal < 1, x.mode).otherwise(F.coalesce(both(one, goal).k, x.mode))
 
-        return _bind(x.u * both(one, F.lit(float("inf"))).s, chosen)
+        return bind(x.u * both(one, F.lit(float("inf"))).s, chosen)
 
-    return F.when(total <= 0, F.lit(0).cast("long")).otherwise(_bind(given, lambda x: _bind(bounded(x), draw)))
+    return F.when(total <= 0, F.lit(0).cast("long")).otherwise(bind(given, lambda x: bind(bounded(x), draw)))
 
 
 def split_counts(capacity: Column, draws: Column, *seeds: Column) -> Column:
@@ -78,7 +74,7 @@ def split_counts(capacity: Column, draws: Column, *seeds: Column) -> Column:
     state = F.struct(draws.cast("long").alias("left"), whole.alias("total"), F.array().cast("array<bigint>").alias("got"))
 
     def take(a: Column, x: Column) -> Column:
-        return _bind(hypergeometric(_uniform(*seeds, F.size(a.got)), x, a.total, a.left), lambda n: F.struct(
+        return bind(hypergeometric(_uniform(*seeds, F.size(a.got)), x, a.total, a.left), lambda n: F.struct(
             (a.left - n).alias("left"), (a.total - x).alias("total"), F.concat(a.got, F.array(n)).alias("got")))
 
     return F.aggregate(capacity, state, take).got
@@ -106,7 +102,7 @@ def communication_matrix(sizes: DataFrame, shards: int, total: int, seed: int) -
 
         def deal(a: Column, child: Column) -> Column:
             drawn = split_counts(a.rest, child.n, F.lit(seed), F.lit(depth), child.node)
-            return _bind(drawn, lambda got: F.struct(
+            return bind(drawn, lambda got: F.struct(
                 F.zip_with(a.rest, got, lambda x, y: x - y).alias("rest"), F.concat(a.dealt, F.array(got)).alias("dealt")))
 
         both = current.join(children, F.col("node") == F.col("parent"))
