@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepframe.llm import lines, minhash, packing, sharding
+from stepframe.llm import lines, minhash, packing, sharding, toxicity
 from stepframe.plans.catalog import table
 from stepframe.sizing import cut_lineage
 
@@ -40,10 +40,21 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
                         F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _fold(parts: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    scored = toxicity.score(docs, labels, learn=_fold(5) != 0)
+    return scored.select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op9_sharding": op9_sharding,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}

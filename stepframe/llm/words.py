@@ -8,6 +8,7 @@ memory follows the window and not the text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -80,14 +81,32 @@ def windows(data: np.ndarray, offsets: np.ndarray, size: int = WINDOW) -> Iterat
         i += 1
 
 
-def hash_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word in order, and the number of words of each value."""
+@dataclass(frozen=True)
+class Words:
+    """The words of a window: values first..end, word starts and ends in `raw`, where each value's words
+    begin (`bounds`), and its bytes (`edges`)."""
+
+    first: int
+    end: int
+    raw: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
+    bounds: np.ndarray
+    total: np.ndarray
+    edges: np.ndarray
+
+    def hashes(self, longest: int | None = None) -> np.ndarray:
+        """Of whole words, or of their first `longest` bytes."""
+        stop = self.stop if longest is None else np.minimum(self.stop, self.start + longest)
+        return mix((self.total[stop] - self.total[self.start]) * powers(_BASE_INVERSE, len(self.raw))[self.start])
+
+
+def word_windows(column: pa.Array, in_word: np.ndarray = IN_WORD) -> Iterator[Words]:
+    """Words as runs of the bytes for which `in_word` holds, window by window."""
     data, offsets = utf8(column)
-    counts = np.zeros(len(column), dtype=np.int64)
-    parts = []
     for i, j, low, high in windows(data, offsets):
         raw = data[low:high]
-        inside = IN_WORD[raw]
+        inside = in_word[raw]
         edges = np.clip(offsets[i:j + 1] - low, 0, high - low)
         first, last = inside.copy(), inside.copy()
         first[1:] &= ~inside[:-1]
@@ -96,11 +115,19 @@ def hash_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         inner = inner[(inner > 0) & (inner < high - low)]
         first[inner] = inside[inner]
         last[inner - 1] = inside[inner - 1]
-        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
         total = np.zeros(high - low + 1, dtype=np.uint64)
         np.cumsum((LOWER[raw].astype(np.uint64) + np.uint64(1)) * powers(_BASE, high - low), out=total[1:])
-        parts.append(mix((total[end] - total[start]) * powers(_BASE_INVERSE, high - low)[start]))
-        counts[i:j] += np.diff(np.searchsorted(start, edges))
+        yield Words(i, j, raw, start, stop, np.searchsorted(start, edges), total, edges)
+
+
+def hash_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word in order, and the number of words of each value."""
+    counts = np.zeros(len(column), dtype=np.int64)
+    parts = []
+    for w in word_windows(column):
+        parts.append(w.hashes())
+        counts[w.first:w.end] += np.diff(w.bounds)
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), counts
 
 
