@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepframe.llm import lines, minhash, packing, sharding, toxicity
+from stepframe.llm import langid, lines, minhash, packing, sharding, toxicity
 from stepframe.plans.catalog import table
 from stepframe.sizing import cut_lineage
 
@@ -44,6 +44,12 @@ def _fold(parts: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
 
 
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = langid.identify(docs, langid.fit(docs, learn=_fold(4) != 2))
+    return found.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     scored = toxicity.score(docs, labels, learn=_fold(5) != 0)
@@ -54,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_language_id": op7_language_id,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
 }
