@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepframe.llm import langid, lines, minhash, packing, sharding, toxicity
+from stepframe.llm import decontaminate, langid, lines, minhash, packing, sharding, toxicity
 from stepframe.plans.catalog import table
 from stepframe.sizing import cut_lineage
 
@@ -40,6 +40,10 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
                         F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def _fold(parts: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_language_id": op7_language_id,
+    "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
 }
