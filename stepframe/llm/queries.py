@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepframe.llm import decontaminate, langid, lines, minhash, packing, quality, sharding, toxicity
+from stepframe.llm import decontaminate, html_text, langid, lines, minhash, packing, quality, sharding, toxicity
 from stepframe.plans.catalog import table
 from stepframe.sizing import cut_lineage
 
@@ -34,6 +34,11 @@ def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "lang", F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), "kept")
 
 
+def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return html_text.extract(pages, html_text.fit(pages)).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_html_extraction": op4_html_extraction,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_language_id": op7_language_id,
     "op8_decontamination": op8_decontamination,
