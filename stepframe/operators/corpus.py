@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Block kinds by procedure name; other procedures are PROC_UNKNOWN.
@@ -12,37 +12,68 @@ PROCEDURES = {
     "CONTENTS": "PROC_CONTENTS", "DATASETS": "PROC_DATASETS", "OPTMODEL": "PROC_OPTMODEL",
 }
 
-# Patterns of the script language. A block is a DATA step or procedure up to its RUN or QUIT; PROC SQL
-# ends with QUIT only.
-_BLOCK = r"(?is)\bdata\s+[^\s=;][^;]*;.*?\brun\s*;|\bproc\s+sql\b.*?\bquit\s*;|\bproc\s+(?!sql\b)\w+.*?\b(?:run|quit)\s*;"
-_PROCEDURE = r"(?i)^proc\s+(\w+)"
-_NAMES = r"([\w.]+(?:\s+[\w.]+)*)"
-_DATA_READS = rf"(?i)\b(?:set|merge)\s+{_NAMES}\s*;"
-_DATA_WRITES = rf"(?is)^data\s+{_NAMES}\s*;"
-_SQL_READS = r"(?i)\b(?:from|join)\s+([\w.]+)"
-_SQL_WRITES = r"(?i)\bcreate\s+table\s+([\w.]+)\s+as\b"
-_PROC_READS = r"(?i)\bdata\s*=\s*(\w[\w.]*)"
-_PROC_WRITES = r"(?i)\bout\s*=\s*(\w[\w.]*)"
-_LET = r"(?i)%let\s+(\w+)\s*=\s*([^;]*?)\s*;"
+# A comment, a quoted text, or a run of anything else; what stands in the first two is no code.
+_PIECE = r"(?s)/\*.*?(?:\*/|\z)|'[^']*'|\"[^\"]*\"|[^/'\"]+|."
+_MASK = "\u0001"
 _REFERENCE = r"&(\w+)"
+_BLOCK_TYPE = "array<struct<start:int,end:int,procedure:string,statements:array<string>>>"
+
+
+def _breaks(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
+def _statements(text: str | Column) -> Column:
+    """The statements of a script without comments; semicolons in quotes are masked, and line breaks are all kept."""
+    pieces = F.transform(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0)), lambda x: F.when(
+        x.startswith("/*"), F.regexp_replace(x, r"[^\n]", "")).when(x.startswith("'") | x.startswith('"'), F.translate(x, ";", _MASK)).otherwise(x))
+    parts = F.split(F.array_join(pieces, ""), ";")
+    return F.slice(parts, 1, F.size(parts) - 1)
+
+
+def _word(statement: Column, n: int = 1) -> Column:
+    """The n-th word of a statement in upper case, empty if it isn't one."""
+    return F.upper(F.regexp_extract(statement, r"^\s*" + r"[%\w]+\s+" * (n - 1) + r"([%\w]+)", 1))
+
+
+def _grouped(statements: Column) -> Column:
+    """Statements as blocks: from DATA or PROC to RUN, or QUIT for procedures, and for PROC SQL to QUIT alone."""
+    empty = F.struct(F.lit(1).alias("line"), F.lit(None).cast("string").alias("procedure"), F.lit(0).alias("start"),
+                     F.array().cast("array<string>").alias("body"), F.array().cast(_BLOCK_TYPE).alias("done"))
+
+    def step(a: Column, statement: Column) -> Column:
+        first = _word(statement)
+        opens = a.procedure.isNull() & ((first == "PROC") | ((first == "DATA") & statement.rlike(r"(?i)^\s*data\s+[^\s=]")))
+        alone = statement.rlike(r"^\s*\w+\s*$")
+        closes = alone & F.when(a.procedure == "", first == "RUN").when(a.procedure == "SQL", first == "QUIT").otherwise(first.isin("RUN", "QUIT"))
+        lead = a.line + _breaks(F.regexp_extract(statement, r"^\s*", 0))
+        after = a.line + _breaks(statement)
+        body = F.concat(a.body, F.array(statement))
+        none = F.array().cast("array<string>")
+        name = F.when(first == "PROC", _word(statement, 2)).otherwise("")
+        return (
+            F.when(opens, F.struct(after.alias("line"), name.alias("procedure"), lead.alias("start"), F.array(statement).alias("body"), a.done.alias("done")))
+            .when(a.procedure.isNull(), F.struct(after.alias("line"), a.procedure.alias("procedure"), a.start.alias("start"), none.alias("body"), a.done.alias("done")))
+            .when(closes, F.struct(after.alias("line"), F.lit(None).cast("string").alias("procedure"), F.lit(0).alias("start"), none.alias("body"), F.concat(a.done, F.array(F.struct(
+                a.start.alias("start"), after.alias("end"), a.procedure.alias("procedure"), body.alias("statements")))).alias("done")))
+            .otherwise(F.struct(after.alias("line"), a.procedure.alias("procedure"), a.start.alias("start"), body.alias("body"), a.done.alias("done"))))
+
+    return F.aggregate(statements, empty, step).done
 
 
 def blocks(scripts: DataFrame) -> DataFrame:
-    """(block_id = path:line, path, start_line, end_line, ordinal, block_type, raw) of every block, in file order."""
-    found = scripts.select("path", F.regexp_extract_all("text", F.lit(_BLOCK), F.lit(0)).alias("raws"), F.split("text", _BLOCK).alias("gaps"))
-    # The text is gap, block, gap, block, ...: line breaks of all earlier pieces give the line of a block.
-    pieces = found.select("path", F.posexplode(F.transform("raws", lambda raw, i: F.struct(raw.alias("raw"), F.col("gaps")[i].alias("gap")))).alias("ordinal", "piece"))
-    breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    # One script is one row, so its blocks are a bounded window.
-    before = Window.partitionBy("path").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    lined = pieces.select("path", "ordinal", F.col("piece.raw").alias("raw"), breaks(F.col("piece.gap")).alias("g"), breaks(F.col("piece.raw")).alias("b"))
-    start = F.coalesce(F.sum(F.col("g") + F.col("b")).over(before), F.lit(0)) + F.col("g") + 1
-    procedure = F.upper(F.regexp_extract("raw", _PROCEDURE, 1))
+    """(block_id = path:line, path, start_line, end_line, ordinal, block_type, raw, statements) of every block, in file order.
+
+    Comments are left out and don't open blocks; semicolons in quotes end no statement. `raw` is the block's code. A
+    block is put together inside its script's row, so nothing is shuffled.
+    """
+    found = scripts.select("path", F.posexplode(_grouped(_statements("text"))).alias("ordinal", "b"))
     known = F.create_map(*[F.lit(x) for pair in PROCEDURES.items() for x in pair])
-    kind = F.when(procedure == "", "DATA_STEP").otherwise(F.coalesce(known[procedure], F.lit("PROC_UNKNOWN")))
-    return lined.withColumn("start_line", start.cast("int")).select(
-        F.concat_ws(":", "path", "start_line").alias("block_id"), "path", "start_line",
-        (F.col("start_line") + F.col("b")).cast("int").alias("end_line"), "ordinal", kind.alias("block_type"), "raw")
+    kind = F.when(F.col("b.procedure") == "", "DATA_STEP").otherwise(F.coalesce(known[F.col("b.procedure")], F.lit("PROC_UNKNOWN")))
+    raw = F.trim(F.translate(F.concat(F.array_join("b.statements", ";"), F.lit(";")), _MASK, ";"))
+    return found.select(
+        F.concat_ws(":", "path", "b.start").alias("block_id"), "path", F.col("b.start").alias("start_line"), F.col("b.end").alias("end_line"), "ordinal",
+        kind.alias("block_type"), F.regexp_replace(raw, r"^\s+", "").alias("raw"), F.col("b.statements").alias("statements"))
 
 
 def inventory(scripts: DataFrame) -> DataFrame:
@@ -54,20 +85,51 @@ def _all(text: str | Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-def _words(lists: Column) -> Column:
-    """Flatten 'a b', 'c' into distinct lower-case names."""
-    return F.array_distinct(F.filter(F.split(F.lower(F.array_join(lists, " ")), r"\s+"), lambda w: w != ""))
+def _names(lists: Column) -> Column:
+    """Distinct lower-case names of an array of arrays."""
+    return F.array_distinct(F.filter(F.transform(F.flatten(lists), lambda w: F.lower(w)), lambda w: w.rlike(r"^[\w.&]+$")))
+
+
+def _plain(statement: Column) -> Column:
+    """A statement without options in parentheses (up to four deep), and with `name=value` written as one word."""
+    for _ in range(4):
+        statement = F.regexp_replace(statement, r"\([^()]*\)", " ")
+    return F.regexp_replace(statement, r"\s*=\s*", "=")
+
+
+def _listed(statement: Column) -> Column:
+    """The words after the first one that are no options."""
+    words = F.filter(F.split(_plain(statement), r"\s+"), lambda w: w != "")
+    return F.filter(F.slice(words, 2, F.size(words) + 1), lambda w: ~w.contains("="))
+
+
+def _option(name: str) -> Column:
+    """The values of `name=` in all statements of a block, also within options in parentheses."""
+    return F.transform("statements", lambda x: _all(F.regexp_replace(x, r"\s*=\s*", "="), rf"(?i)(?<![\w.]){name}=([\w.&]+)"))
+
+
+def _selected(statement: Column) -> Column:
+    """Tables read by a query: each first word of a FROM list's items, and what follows JOIN."""
+    lists = _all(statement, r"(?is)\bfrom\s+([^()]*?)\s*(?=\bwhere\b|\bgroup\b|\border\b|\bhaving\b|\bon\b|\bunion\b|\bexcept\b|\bintersect\b|[()]|\z)")
+    items = F.flatten(F.transform(lists, lambda x: F.split(x, r"(?i),|\bjoin\b")))
+    return F.concat(F.transform(items, lambda x: F.regexp_extract(x, r"^\s*([\w.&]+)", 1)), _all(statement, r"(?i)\bjoin\s+([\w.&]+)"))
 
 
 def with_datasets(found: DataFrame) -> DataFrame:
-    """Blocks with `inputs` and `outputs`: SET/MERGE, DATA, FROM/JOIN, CREATE TABLE, DATA=/OUT=."""
-    # Data set options such as (KEEP=x) are not names.
-    bare = F.regexp_replace("raw", r"\([^()]*\)", " ")
+    """Blocks with `inputs` and `outputs`, decided by the first word of each statement: none is dropped.
+
+    DATA names outputs, SET, MERGE, UPDATE and MODIFY name inputs, options aside. In PROC SQL, FROM lists and JOIN are
+    inputs, CREATE TABLE or VIEW and INSERT INTO outputs. Other procedures read every DATA= and write every OUT=; PROC
+    SORT without OUT= writes what it reads.
+    """
     is_data, is_sql, is_sort = (F.col("block_type") == k for k in ("DATA_STEP", "PROC_SQL", "PROC_SORT"))
-    data_in, data_out = _words(_all(bare, _DATA_READS)), _words(_all(bare, _DATA_WRITES))
-    # SQL subqueries stand in parentheses, so its text is read whole.
-    sql_in, sql_out = _words(_all("raw", _SQL_READS)), _words(_all("raw", _SQL_WRITES))
-    proc_in, proc_out = (F.slice(_words(_all("raw", p)), 1, 1) for p in (_PROC_READS, _PROC_WRITES))
+    none = F.array().cast("array<string>")
+    data_in = _names(F.transform("statements", lambda x: F.when(_word(x).isin("SET", "MERGE", "UPDATE", "MODIFY"), _listed(x)).otherwise(none)))
+    data_out = _names(F.transform(F.slice("statements", 1, 1), _listed))
+    sql_in = _names(F.transform("statements", _selected))
+    created = r"(?i)^\s*(?:create\s+(?:table|view)|insert\s+into)\s+([\w.&]+)"
+    sql_out = _names(F.transform("statements", lambda x: _all(x, created)))
+    proc_in, proc_out = _names(_option("data")), _names(_option("out"))
     in_place = F.when(is_sort & (F.size(proc_out) == 0), proc_in).otherwise(proc_out)
     return found.withColumns({
         "inputs": F.when(is_data, data_in).when(is_sql, sql_in).otherwise(proc_in),
@@ -89,10 +151,16 @@ def as_steps(scripts: DataFrame) -> DataFrame:
     return found.select(F.col("block_id").alias("node"), F.struct("path", "ordinal").alias("seq"), F.col("path").alias("file"), "inputs", "outputs")
 
 
+def _declared() -> Column:
+    """(name, value) of each %LET statement, in order."""
+    lets = F.filter(_statements("text"), lambda x: _word(x) == "%LET")
+    return F.transform(lets, lambda x: F.struct(
+        F.regexp_extract(x, r"(?s)^\s*\S+\s+(\w+)", 1).alias("n"), F.translate(F.regexp_extract(x, r"(?s)=\s*(.*?)\s*$", 1), _MASK, ";").alias("v")))
+
+
 def macro_variables(scripts: DataFrame) -> DataFrame:
     """(path, name, raw_value) of every %LET."""
-    declared = F.arrays_zip(_all("text", _LET, 1).alias("name"), _all("text", _LET, 2).alias("raw_value"))
-    return scripts.select("path", F.inline(declared)).toDF("path", "name", "raw_value")
+    return scripts.select("path", F.inline(_declared())).toDF("path", "name", "raw_value")
 
 
 def macro_usages(scripts: DataFrame) -> DataFrame:
@@ -101,7 +169,7 @@ def macro_usages(scripts: DataFrame) -> DataFrame:
     The same file's last declaration wins, else the last one by path.
     """
     used = blocks(scripts).select("path", "block_id", F.explode(F.array_distinct(_all(F.upper("raw"), _REFERENCE))).alias("macro_name"))
-    lets = scripts.select("path", F.posexplode(F.arrays_zip(_all("text", _LET, 1).alias("n"), _all("text", _LET, 2).alias("v"))).alias("at", "let"))
+    lets = scripts.select("path", F.posexplode(_declared()).alias("at", "let"))
     lets = lets.select("path", "at", F.upper(F.col("let")["n"]).alias("macro_name"), F.col("let")["v"].alias("v"))
     local = lets.groupBy("path", "macro_name").agg(F.max_by("v", "at").alias("local_value"))
     anywhere = lets.groupBy("macro_name").agg(F.max_by("v", F.struct("path", "at")).alias("any_value"))

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stepframe.semantics import StepError
 from stepframe.sizing import cut_lineage
 
 _COMPACT_EVERY = 8
@@ -68,18 +69,22 @@ def peel(nodes: DataFrame, edges: DataFrame, *, backwards: bool = False) -> tupl
 def roots(parents: DataFrame) -> DataFrame:
     """(`node`, `parent` or NULL) -> (`node`, `root`, `depth`) by pointer doubling: log2(depth) joins.
 
-    A parent that is not in the table ends the walk. The parents must form no circle.
+    A parent that is not in the table ends the walk. A circle of parents is an error that names one of its nodes.
     """
     known = parents.select(F.col("node").alias("parent"))
     jumps = parents.select("node", "parent").join(known, "parent", "left_semi").select("node", F.col("parent").alias("jump"))
     state = cut_lineage(parents.select("node").join(jumps, "node", "left").select(
         "node", F.coalesce("jump", "node").alias("root"), F.when(F.col("jump").isNull(), 0).otherwise(1).cast("long").alias("depth")))
-    while True:
+    # Doubling reaches every root in this many rounds, for no path is longer than the table.
+    rounds = max(state.count(), 1).bit_length() + 1
+    for left in reversed(range(rounds + 1)):
         ahead = state.filter("depth > 0").select(F.col("node").alias("root"), F.col("root").alias("further"), F.col("depth").alias("more"))
         moved = cut_lineage(state.join(ahead, "root", "left").select(
             "node", F.coalesce("further", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("more").isNotNull().alias("moved")))
         if moved.filter("moved").isEmpty():
             return moved.drop("moved")
+        if not left:
+            raise StepError(f"the parents of {moved.filter('moved').first()['root']!r} form a circle")
         state = moved.drop("moved")
 
 

@@ -94,14 +94,14 @@ def trust_rows(plans: DataFrame, confidence: DataFrame, latest: DataFrame, radiu
 
 
 def review_order(rows: DataFrame, name: str = "queue_position") -> DataFrame:
-    """Trust rows with their place: attention first, wide blast radius, low confidence, then block id."""
+    """The trust rows that need attention, with their place: wide blast radius first, low confidence, then block id."""
     rank = F.lit(CONFIDENCE_ORDER["unknown"])
     for word, value in CONFIDENCE_ORDER.items():
         rank = F.when(F.col("self_confidence") == word, value).otherwise(rank)
-    keyed = rows.withColumns({"__calm": F.when(F.col("needs_attention"), 0).otherwise(1), "__reach": F.coalesce("blast_radius", F.lit(-1).cast("long")), "__rank": rank})
+    keyed = rows.where("needs_attention").withColumns({"__reach": F.coalesce("blast_radius", F.lit(-1).cast("long")), "__rank": rank})
     # The order is sized, sampled and sorted, so the joined rows are written once first.
-    placed = positions(cut_lineage(keyed), [Key("__calm"), Key("__reach", True), Key("__rank"), Key("block_id")], name)
-    return placed.drop("__calm", "__reach", "__rank")
+    placed = positions(cut_lineage(keyed), [Key("__reach", True), Key("__rank"), Key("block_id")], name)
+    return placed.drop("__reach", "__rank")
 
 
 def trust_totals(rows: DataFrame, by: str | Sequence[str] = ()) -> DataFrame:

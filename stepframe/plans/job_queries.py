@@ -193,7 +193,7 @@ def cp_1(spark, d):
 
 @query("cp_1_blocks", f"SELECT path || ':' || start_line AS block_id, path, start_line, end_line, block_type FROM ({_ALL_BLOCKS})")
 def cp_1b(spark, d):
-    return corpus.blocks(_scripts(spark, d)).drop("raw", "ordinal")
+    return corpus.blocks(_scripts(spark, d)).drop("raw", "ordinal", "statements")
 
 
 @query("cp_2_dataset_usage", f"""
@@ -351,8 +351,8 @@ def jb_6(spark, d):
 
 
 @query("jb_7_review_queue", f"""
-WITH {_TRUST} SELECT block_id, needs_attention, blast_radius, self_confidence, row_number() OVER (ORDER BY needs_attention DESC, coalesce(blast_radius, -1) DESC,
-  CASE self_confidence WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 ELSE -1 END, block_id) AS queue_position FROM trust""")
+WITH {_TRUST} SELECT block_id, needs_attention, blast_radius, self_confidence, row_number() OVER (ORDER BY coalesce(blast_radius, -1) DESC,
+  CASE self_confidence WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 ELSE -1 END, block_id) AS queue_position FROM trust WHERE needs_attention""")
 def jb_7(spark, d):
     return jobs.review_order(_trust(spark, d)).select("block_id", "needs_attention", "blast_radius", "self_confidence", "queue_position")
 

@@ -150,6 +150,8 @@ def test_trust_report(spark):
     rows = jobs.trust_rows(plans, confidence, jobs.latest_revision(revisions), None)
     total = jobs.trust_totals(rows).first()
     assert (total.total_blocks, total.auto_verified, total.needs_review, total.manual_todo, total.failed_reconciliation) == (2, 0, 1, 1, 1)
+    calm = rows.withColumn("needs_attention", F.lit(False))
+    assert jobs.review_order(calm).count() == 0
     assert [(r.block_id, r.needs_attention) for r in jobs.review_order(rows).orderBy("queue_position").collect()] == [("g.sas:4", True), ("f.sas:1", True)]
     assert jobs.overall_confidence(plans).first().overall_confidence == "high"
 
@@ -235,3 +237,17 @@ def test_special_missing_and_records(spark):
     assert [r.k for r in files.read_records(lines, "line", "k int, m string, s string").collect()] == [1, 2]
     spaced = spark.createDataFrame([("1   x",)], "line string")
     assert tuple(files.read_records(spaced, "line", "k int, s string", delimiter=" ", dsd=False).first()) == (1, "x")
+
+
+def test_code_in_comments_and_quotes_is_none(spark):
+    text = "/* DATA old; SET x; RUN; */\nDATA a (KEEP=x) b;\n  SET s1 END=eof s2(WHERE=(x > 1)); y = 'proc print; run;';\nRUN;\n" \
+           "PROC SQL; CREATE TABLE q AS SELECT * FROM t1, t2 b, (SELECT * FROM t3) c LEFT JOIN t4 ON 1 = 1; QUIT;\nPROC MEANS DATA=m; OUTPUT OUT=o1 MEAN=; OUTPUT OUT = o2; RUN;\n"
+    scripts = spark.createDataFrame([("s.sas", text)], "path string, text string")
+    rows = corpus.with_datasets(corpus.blocks(scripts)).orderBy("ordinal").collect()
+    assert [(r.start_line, r.end_line, r.block_type, r.inputs, r.outputs) for r in rows] == [
+        (2, 4, "DATA_STEP", ["s1", "s2"], ["a", "b"]), (5, 5, "PROC_SQL", ["t1", "t2", "t3", "t4"], ["q"]), (6, 6, "PROC_MEANS", ["m"], ["o1", "o2"])]
+
+
+def test_circle_of_parents_is_named(spark):
+    with pytest.raises(StepError, match="circle"):
+        graph.roots(spark.createDataFrame([(1, 2), (2, 1), (3, None)], "node int, parent int"))
