@@ -26,25 +26,34 @@ def has_duplicate_keys(df: DataFrame, keys: Sequence[str]) -> bool:
     return not df.groupBy(*keys).count().filter("count > 1").isEmpty()
 
 
-def full_join(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> DataFrame:
+def full_join(left: DataFrame, right: DataFrame, on: str | Sequence[str], *, missing_matches: bool = False) -> DataFrame:
     """Full outer join on named keys, as inner + left-only + right-only rows.
 
+    A missing key matches nothing, as in SQL, or with `missing_matches` another missing key, as in a match-merge.
+
     Spark splits a hot key of an inner or anti join at run time but never one of a full outer join, and the
     key lists of the anti joins are de-duplicated before the shuffle.
     """
     on = names_of(on)
-    matched = left.join(right, on, "inner")
-    left_only = left.join(right.select(*on).distinct(), on, "left_anti")
-    right_only = right.join(left.select(*on).distinct(), on, "left_anti")
+    join = same_keys if missing_matches else DataFrame.join
+    matched = join(left, right, on, "inner")
+    left_only = join(left, right.select(*on).distinct(), on, "left_anti")
+    right_only = join(right, left.select(*on).distinct(), on, "left_anti")
     return (
         matched.unionByName(left_only, allowMissingColumns=True)
         .unionByName(right_only, allowMissingColumns=True)
     )
 
 
+def _plain_full_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    right = right.withColumnsRenamed({k: f"__same_{k}" for k in on})
+    joined = left.join(right, [F.col(k).eqNullSafe(F.col(f"__same_{k}")) for k in on], "full")
+    return joined.withColumns({k: F.coalesce(k, f"__same_{k}") for k in on}).drop(*[f"__same_{k}" for k in on])
+
+
 def match_merge(left: DataFrame, right: DataFrame, by: str | Sequence[str], overlap: str = "right", *,
                 many_to_many: bool = False, check_keys: bool = True, unique: bool = False) -> DataFrame:
-    """MERGE left right; BY keys.
+    """MERGE left right; BY keys. A missing BY value matches a missing one.
 
     `overlap` says what happens to other columns both sides have: the right (last named) or left value wins
     where its side is present, or `suffix` keeps both as `<c>_left` and `<c>_right`. Duplicate keys on both
@@ -61,7 +70,7 @@ def match_merge(left: DataFrame, right: DataFrame, by: str | Sequence[str], over
     shared = [c for c in left.columns if c in right.columns and c not in by]
     a = left.withColumnsRenamed({c: f"{c}_left" for c in shared}).withColumn("__in_left", F.lit(True))
     b = right.withColumnsRenamed({c: f"{c}_right" for c in shared}).withColumn("__in_right", F.lit(True))
-    merged = a.join(b, by, "full") if unique else full_join(a, b, by)
+    merged = _plain_full_join(a, b, by) if unique else full_join(a, b, by, missing_matches=True)
     if overlap == "suffix":
         return merged.drop("__in_left", "__in_right")
     winner, loser = ("right", "left") if overlap == "right" else ("left", "right")
@@ -79,10 +88,9 @@ def merge_audit(left: DataFrame, right: DataFrame, by: str | Sequence[str]) -> D
     sides = left.select(*by, F.lit(1).cast("long").alias("l"), F.lit(0).cast("long").alias("r")).unionByName(
         right.select(*by, F.lit(0).cast("long").alias("l"), F.lit(1).cast("long").alias("r")))
     per_key = sides.groupBy(*by).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-    has_null = reduce(Column.__or__, [F.col(k).isNull() for k in by])
-    # A missing key matches nothing: such rows are left-only or right-only, as in the join.
+    # A missing key matches a missing key, as in the merge.
     presence = F.explode(
-        F.when(~has_null & (F.col("l") > 0) & (F.col("r") > 0), F.array(F.lit("matched")))
+        F.when((F.col("l") > 0) & (F.col("r") > 0), F.array(F.lit("matched")))
         .otherwise(F.filter(F.array(F.when(F.col("l") > 0, "left_only"), F.when(F.col("r") > 0, "right_only")), lambda x: x.isNotNull()))
     )
     return (

@@ -139,37 +139,8 @@ def correlation(df: DataFrame, array: str) -> DataFrame:
     )
 
 
-def _decompose(matrix: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    size = int(matrix["i"].max()) + 1
-    dense = np.zeros((size, size))
-    dense[matrix["i"], matrix["j"]] = matrix["v"]
-    values, vectors = np.linalg.eigh((dense + dense.T) / 2)
-    values, vectors = values[::-1], vectors[:, ::-1]
-    # The sign of a vector is free: make its largest entry positive.
-    signs = np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(size)])
-    return values, vectors * np.where(signs == 0, 1, signs)
-
-
-def eigen(symmetric: DataFrame) -> DataFrame:
-    """CALL EIGEN of a symmetric (i, j, v) matrix: rank, eigenvalue and vector, largest first.
-
-    The matrix has at most MAX_COLUMNS^2 entries whatever the table it came from, so one task solves it.
-    """
-
-    def solve(matrix: pd.DataFrame) -> pd.DataFrame:
-        values, vectors = _decompose(matrix)
-        return pd.DataFrame({"rank": np.arange(1, len(values) + 1), "eigenvalue": values, "vector": list(vectors.T)})
-
-    return symmetric.groupBy().applyInPandas(solve, "rank int, eigenvalue double, vector array<double>")
-
-
-def svd(df: DataFrame, array: str) -> DataFrame:
-    """CALL SVD: singular values and right vectors (V) of a tall table of rows, from A' A."""
-    return eigen(gram(df, array)).select("rank", F.sqrt(F.greatest("eigenvalue", F.lit(0.0))).alias("singular_value"), F.col("vector").alias("v"))
-
-
 def project(df: DataFrame, row_key: str, array: str, vectors: DataFrame, vector: str = "v") -> DataFrame:
-    """A * V in long form (row key, rank, score); V has at most MAX_COLUMNS rows and is broadcast."""
+    """A * V in long form (row key, rank, score); V has as many entries as an array has columns, at most MAX_COLUMNS."""
     terms = F.zip_with(F.col(array), F.col(vector), lambda x, y: x.cast("double") * y)
     return df.select(row_key, array).join(F.broadcast(vectors.select("rank", vector))).select(
         row_key, "rank", F.aggregate(terms, F.lit(0.0), lambda s, x: s + x).alias("score"))

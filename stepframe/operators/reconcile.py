@@ -197,6 +197,9 @@ def report_as_json(checks: DataFrame, by: str | Sequence[str] = ()) -> DataFrame
     return checks.groupBy(*by).agg(F.to_json(F.struct(bare.alias("checks"))).alias("report"))
 
 
+_EXACT_TEXT = "exact text"
+
+
 def _common_form(ref_type: T.DataType, actual_type: T.DataType) -> str | None:
     """The type in which two columns compare without losing digits; None means as they are."""
     floating = (T.DoubleType, T.FloatType)
@@ -204,18 +207,30 @@ def _common_form(ref_type: T.DataType, actual_type: T.DataType) -> str | None:
         return None
     if all(isinstance(t, T.IntegralType) for t in (ref_type, actual_type)):
         return "long"
-    if all(value_class(t) == "numeric" for t in (ref_type, actual_type)):
-        return "double"
+    if any(isinstance(t, floating) for t in (ref_type, actual_type)):
+        return "double" if all(value_class(t) == "numeric" for t in (ref_type, actual_type)) else "string"
+    if all(isinstance(t, (T.IntegralType, T.DecimalType)) for t in (ref_type, actual_type)):
+        parts = [(t.precision - t.scale, t.scale) if isinstance(t, T.DecimalType) else (19, 0) for t in (ref_type, actual_type)]
+        whole, scale = max(p[0] for p in parts), max(p[1] for p in parts)
+        return f"decimal({whole + scale},{scale})" if whole + scale <= 38 else _EXACT_TEXT
     return "string"
 
 
+def _shown(column: Column, form: str | None) -> Column:
+    """A value in its common form; numbers too wide for one decimal type as text without trailing zeros."""
+    if form == _EXACT_TEXT:
+        text = F.regexp_replace(column.cast("string"), r"(\.\d*?)0+$", "$1")
+        return F.regexp_replace(text, r"\.$", "")
+    return column if form is None else column.cast(form)
+
+
 def _forms(ref: DataFrame, actual: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
     return {c: _common_form(ref.schema[c].dataType, actual.schema[c].dataType) for c in columns}
 
 
 def row_hash(forms: dict[str, str | None]) -> Column:
     """64-bit hash of the values in their common form; NaN as NULL, -0.0 as 0.0."""
-    shown = {c: _number(c) + F.lit(0.0) if form == "double" else F.col(c) if form is None else F.col(c).cast(form) for c, form in forms.items()}
+    shown = {c: _number(c) + F.lit(0.0) if form == "double" else _shown(F.col(c), form) for c, form in forms.items()}
     # xxhash64 skips NULLs, so their places are hashed as well.
     places = F.concat_ws("", *[F.when(v.isNull(), "1").otherwise("0") for v in shown.values()])
     return F.xxhash64(*shown.values(), places)
@@ -304,6 +319,13 @@ def record_diff(ref: DataFrame, actual: DataFrame, keys: str | Sequence[str], va
         if value_class(ref.schema[c].dataType) == value_class(actual.schema[c].dataType) == "numeric":
             if forms[c] == "long" or isinstance(ref.schema[c].dataType, T.IntegralType) and forms[c] is None:
                 delta = F.try_subtract(a.cast("long"), r.cast("long")).cast("double")
+            elif forms[c] is not None and forms[c].startswith("decimal") or isinstance(ref.schema[c].dataType, T.DecimalType) and forms[c] is None:
+                wide = forms[c] or ref.schema[c].dataType.simpleString()
+                delta = (a.cast(wide) - r.cast(wide)).cast("double")
+            elif forms[c] == _EXACT_TEXT:
+                # No type holds both exactly: the texts decide, the delta is rounded and never 0.
+                rounded = a.cast("double") - r.cast("double")
+                delta = F.when(_shown(a, forms[c]) == _shown(r, forms[c]), 0.0).when(rounded == 0, 4.9e-324).otherwise(rounded)
             else:
                 # NaN counts as missing on either side.
                 r, a = (F.nanvl(x.cast("double"), F.lit(None).cast("double")) for x in (r, a))
@@ -343,10 +365,10 @@ def distribution_comparison(ref: DataFrame, actual: DataFrame, columns: Sequence
 
 # Which kind of mismatch a failed check shows, and its likely causes.
 CAUSES = [
-    ("row_count", "row count mismatch", "wrong merge type (inner vs outer), missing filter, implicit OUTPUT not replicated"),
-    ("aggregate_parity", "column value mismatch", "RETAIN not initialised to zero, wrong CASE branch, numeric precision"),
-    ("schema_names", "column name mismatch", "column not lowercased, KEEP/DROP misapplied"),
-    ("schema_classes", "type mismatch", "character vs numeric conflated; dates are days since 1960-01-01"),
+    ("row_count", "row count mismatch", "rows lost or doubled by a join, a condition left out, or rows written once too few or too often"),
+    ("aggregate_parity", "column value mismatch", "a running value that starts wrong, a branch that takes other rows, or rounding"),
+    ("schema_names", "column name mismatch", "names in another case, or the list of columns to keep or drop was not followed"),
+    ("schema_classes", "type mismatch", "numbers held as text or the reverse, or dates counted from another day"),
 ]
 
 

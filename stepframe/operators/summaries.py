@@ -168,7 +168,7 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
         F.countDistinct(b).alias("cols"),
     )
     statistic = F.greatest(F.col("n") * (F.col("s") - 1), F.lit(0.0))
-    table = total.select("n", ((F.col("rows") - 1) * (F.col("cols") - 1)).alias("freedom"), statistic.alias("statistic"))
+    table = total.select("n", F.when(F.col("n") > 0, (F.col("rows") - 1) * (F.col("cols") - 1)).alias("freedom"), statistic.alias("statistic"))
     return table.withColumn("p_value", _chi_square_tail("statistic", "freedom"))
 
 

@@ -218,6 +218,17 @@ def cb_2(spark, d):
     return combine.match_merge(a, b, "custkey")
 
 
+@query("cb_2_match_merge_missing", """
+WITH a AS (SELECT CASE WHEN c_custkey % 97 = 0 THEN NULL ELSE c_custkey END AS custkey, max(c_name) AS name FROM customer GROUP BY 1),
+     b AS (SELECT CASE WHEN o_custkey % 89 = 0 THEN NULL ELSE o_custkey END AS custkey, count(*) AS n_orders FROM orders GROUP BY 1)
+SELECT coalesce(a.custkey, b.custkey) AS custkey, name, n_orders FROM a FULL JOIN b ON a.custkey IS NOT DISTINCT FROM b.custkey""")
+def cb_2_missing(spark, d):
+    key = lambda c, n: F.when(F.col(c) % n != 0, F.col(c)).alias("custkey")
+    a = table(spark, d, "customer").groupBy(key("c_custkey", 97)).agg(F.max("c_name").alias("name"))
+    b = table(spark, d, "orders").groupBy(key("o_custkey", 89)).agg(F.count("*").alias("n_orders"))
+    return combine.match_merge(a, b, "custkey")
+
+
 @query("cb_3_merge_audit", """
 WITH c AS (SELECT c_custkey AS k, count(*) AS l FROM customer WHERE c_acctbal > 0 GROUP BY 1), o AS (SELECT o_custkey AS k, count(*) AS r FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
 SELECT CASE WHEN c.k IS NULL THEN 'right_only' WHEN o.k IS NULL THEN 'left_only' ELSE 'matched' END AS presence, count(*) AS keys,
@@ -412,31 +423,6 @@ def im_7c(spark, d):
     return matrix.correlation(table(spark, d, "embeddings"), "embedding").withColumn("v", F.round("v", 6))
 
 
-@query("im_8_svd")
-def im_8(spark, d):
-    return matrix.svd(table(spark, d, "embeddings"), "embedding").select("rank", F.round("singular_value", 6).alias("singular_value"))
-
-
-@query("im_8_svd_rebuild", f"WITH a AS ({_CELLS}) SELECT i, j, round(v, 4) AS v FROM a")
-def im_8b(spark, d):
-    # A V V' is A again: the scores times the right vectors give back every cell.
-    e = table(spark, d, "embeddings")
-    parts = matrix.svd(e, "embedding")
-    scores = matrix.project(e, "vec_id", "embedding", parts).select(F.col("vec_id").alias("i"), F.col("rank").alias("j"), F.col("score").alias("v"))
-    vectors = parts.select(F.col("rank").alias("i"), F.posexplode("v").alias("j", "v"))
-    return matrix.multiply(scores, vectors).withColumn("v", F.round("v", 4))
-
-
-@query("im_9_eigen", f"""
-WITH a AS ({_CELLS}) SELECT a.j AS i, b.j AS j, round(covar_samp(a.v, b.v), 6) AS v FROM a JOIN a b ON a.i = b.i GROUP BY a.j, b.j""")
-def im_9(spark, d):
-    # Sum of eigenvalue * vector vector' is the matrix itself.
-    parts = matrix.eigen(matrix.covariance(table(spark, d, "embeddings"), "embedding"))
-    rows = parts.select("rank", "eigenvalue", F.posexplode("vector").alias("i", "x"))
-    scaled = rows.select("i", F.col("rank").alias("j"), (F.col("x") * F.col("eigenvalue")).alias("v"))
-    return matrix.multiply(scaled, rows.select(F.col("rank").alias("i"), F.col("i").alias("j"), F.col("x").alias("v"))).withColumn("v", F.round("v", 6))
-
-
 @query("fc_1_sql_function", """
 SELECT l_orderkey, l_partkey, l_linenumber, CASE WHEN l_discount > 0 AND l_discount < 1 THEN round(ln(l_discount / (1 - l_discount)), 6) END AS logit FROM lineitem""")
 def fc_1(spark, d):

@@ -23,7 +23,7 @@ def test_query(spark, duck, name):
 
 
 def test_every_query_but_the_singular_values_has_sql():
-    assert set(queries()) - set(oracle_sql()) == {"im_8_svd"}
+    assert {x for x in set(queries()) - set(oracle_sql()) if x != "pipeline" and not x.startswith("op")} == set()
 
 
 def test_entry_proves_its_summary(spark):

