@@ -13,12 +13,25 @@ from stepframe.sizing import cut_lineage
 
 
 def run_sql(spark: SparkSession, query: str, frames: Mapping[str, DataFrame] | None = None, **parameters) -> DataFrame:
-    """Run SQL text against named frames. `:name` is a value, `IDENTIFIER(:name)` a column or table name."""
+    """Run SQL text against named frames. `:name` is a value, `IDENTIFIER(:name)` a column or table name.
+
+    The names hold for this query alone: views of the same names that the session had before are put back.
+    """
     for name, frame in (frames or {}).items():
         if not isinstance(frame, DataFrame):
             raise TypeError(f"frames[{name!r}] must be a DataFrame, got {type(frame).__name__}")
-        frame.createOrReplaceTempView(dataset_name(name))
-    return spark.sql(query, args=parameters or None)
+    names = {dataset_name(name): frame for name, frame in (frames or {}).items()}
+    own = {t.name for t in spark.catalog.listTables() if t.isTemporary} if names else set()
+    before = {name: spark.table(name) for name in names if name in own}
+    try:
+        for name, frame in names.items():
+            frame.createOrReplaceTempView(name)
+        return spark.sql(query, args=parameters or None)
+    finally:
+        for name in names:
+            spark.catalog.dropTempView(name)
+        for name, frame in before.items():
+            frame.createOrReplaceTempView(name)
 
 
 class Datasets:
