@@ -152,14 +152,15 @@ def train(texts: DataFrame, known: np.ndarray) -> tuple[DataFrame, DataFrame, Da
     return _discounted(tri, "3"), _discounted(cut_lineage(bi), "2"), _discounted(cut_lineage(uni), "1")
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, share: float = 1e-4) -> DataFrame:
+def perplexities(docs: DataFrame, trusted: DataFrame, share: float = 1e-3) -> DataFrame:
     """(key, doc_id, lang, perplexity) of `docs`, per token under a model of all texts of `trusted` (column text); key: `row_key`.
 
     Strings that make up at least `share` of the trusted text are tokens by name (so there are at most 1 / share of
     them), others by shape; from the third equal word in a row on the token is the length of the run. Counts are distributed
     tables. Each task's part of the documents is a block, which asks once for each distinct trigram in it; the
     requests are joined with the counts, sharded by n-gram, and go back to their block, where they are added up per
-    document. No task needs the whole model. Null texts count as empty: two starts and an end.
+    document. No task needs the whole model. Null texts count as empty: two starts and an end. `docs` must come straight
+    from files, for it is read twice in the same parts (`sizing.cut_lineage` writes what doesn't); else this is an error.
     """
     counts = trusted.select("text").mapInArrow(_count_strings, "string long, n long").groupBy("string").agg(F.sum("n").alias("n"))
     counts = cut_lineage(counts)
@@ -169,7 +170,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, share: float = 1e-4) -> Da
     tri, bi, uni = train(trusted, known)
 
     placed = docs.select(F.spark_partition_id().alias("block"), row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    asked = placed.select("block", "text").mapInArrow(_ask(known), "block int, gram long")
+    asked = cut_lineage(placed.select("block", "text").mapInArrow(_ask(known), "block int, gram long"))
     word, last = F.col("gram").bitwiseAND((1 << BITS) - 1), F.shiftright("gram", BITS).bitwiseAND((1 << BITS) - 1)
     grams = asked.select("gram").distinct().select("gram", F.shiftright("gram", BITS).alias("pair"), last.alias("last"), word.alias("word"))
     rest3 = tri.select(F.col("context").alias("pair"), "rest3").distinct()
@@ -203,7 +204,7 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "lang", "text")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, margin: float = 1.5, held_out: int = 5, broadcast_ids: int = 2_000_000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, margin: float = 1.8, held_out: int = 5, broadcast_ids: int = 2_000_000) -> DataFrame:
     """(key, doc_id, lang, perplexity, threshold, kept): documents whose perplexity is at most their language's threshold.
 
     Trusted are the documents with quality 1 (in all their label rows). The model is trained on all of them but one in
