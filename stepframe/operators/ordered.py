@@ -63,6 +63,14 @@ def _fold(kind: str, column: Column) -> Column:
     return {"total": F.sum, "counter": F.sum, "lowest": F.min, "highest": F.max}[kind](column)
 
 
+def _sum_type(kind: T.DataType) -> T.DataType:
+    if isinstance(kind, T.IntegralType):
+        return T.LongType()
+    if isinstance(kind, T.DecimalType):
+        return T.DecimalType(min(38, kind.precision + 10), kind.scale)
+    return T.DoubleType()
+
+
 def order_rank(df: DataFrame, keys: Sequence[Key]) -> Column:
     """A struct that compares like the order keys do."""
     parts = []
@@ -70,7 +78,9 @@ def order_rank(df: DataFrame, keys: Sequence[Key]) -> Column:
         if not key.descending:
             parts.append(F.col(key.name))
             continue
-        value = ordinal(F.col(key.name), df.schema[key.name].dataType)
+        kind = df.schema[key.name].dataType
+        # A double would merge neighbouring decimals.
+        value = F.col(key.name) if isinstance(kind, T.DecimalType) else ordinal(F.col(key.name), kind)
         if value is None:
             raise StepError(f"descending key {key.name} must be a number, date or timestamp here")
         parts.extend([F.col(key.name).isNull().cast("int"), -value])
@@ -97,6 +107,9 @@ def retain(
     slices = _slices(df, keys, slices, rows_per_slice)
     inputs = {f"__in_{name}": (name, retained.kind) for name, retained in columns.items()}
     prepared = df.withColumns({f"__in_{name}": _input(retained) for name, retained in columns.items()})
+    # What is carried over a slice must fit the sum's type, not that of a single value.
+    wide = {i: _sum_type(prepared.schema[i].dataType) for i, (_, kind) in inputs.items() if kind == "total"}
+    prepared = prepared.withColumns({i: F.col(i).cast(t) for i, t in wide.items()})
     prepared = prepared.withColumns({_ROLE: F.lit(_DATA)} | ({_SLICE: slices.number()} if slices else {}))
     cell = [*by, _SLICE] if slices else by
 
@@ -135,6 +148,7 @@ def retain(
             results[name] = F.last(i, ignorenulls=True).over(so_far)
         else:
             value = _fold(kind, F.col(i)).over(so_far)
+            value = value.cast(wide[i]) if i in wide else value
             results[name] = F.coalesce(value, F.lit(0)) if kind in ("total", "counter") else value
     kept = [c for c in df.columns if c not in columns]
     return prepared.select(*kept, _ROLE, *[v.alias(n) for n, v in results.items()]).filter(F.col(_ROLE) == _DATA).drop(_ROLE)

@@ -1,12 +1,13 @@
 """Sliced scans against brute force, with a hot group, missing keys and repeated order values."""
 
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from stepframe.operators import ordered
-from stepframe.semantics import StepError, by_keys
+from stepframe.semantics import Key, StepError, by_keys
 from stepframe.sizing import plan_slices, slices_of_width
 
 
@@ -176,3 +177,21 @@ def test_written_tables_can_be_cleared(spark):
     assert os.path.isdir(folder)
     clear_scratch(spark)
     assert not os.path.exists(folder)
+
+
+def test_totals_of_narrow_types_and_many_slices(spark):
+    rows = [(1, i, 2_000_000_000 if i % 2 else 100) for i in range(40)]
+    df = spark.createDataFrame(rows, "g int, o int, x int").withColumn("d", (F.col("x") / 30000).cast("decimal(7,2)"))
+    for source, one, other in (("x", 2_000_000_000, 100), ("d", Decimal("66666.67"), Decimal("0.00"))):
+        got = {r.o: r.s for r in ordered.retain(df, "g", "o", {"s": ordered.total(source)}, rows_per_slice=7).collect()}
+        want, sums = 0, {}
+        for _, o, _ in rows:
+            want += one if o % 2 else other
+            sums[o] = want
+        assert got == sums
+
+
+def test_descending_decimals_keep_their_digits(spark):
+    df = spark.createDataFrame([(1, Decimal("12345678901234567890.01")), (1, Decimal("12345678901234567890.02"))], "g int, o decimal(30,2)")
+    got = {str(r.o)[-2:]: (r.first_g, r.last_g) for r in ordered.first_last_flags(df, "g", [Key("o", True)]).collect()}
+    assert got == {"02": (1, 0), "01": (0, 1)}
