@@ -195,9 +195,12 @@ WITH a AS ({_DAMAGED}), n AS (SELECT (SELECT count(*) FROM orders) AS r, (SELECT
   SELECT 'damaged' AS report, 'row_count' AS name, 'row count mismatch' AS pattern FROM n WHERE r <> x UNION ALL SELECT 'damaged', 'aggregate_parity', 'column value mismatch' FROM n
   UNION ALL SELECT 'renamed', 'schema_parity', 'column name mismatch' FROM n UNION ALL SELECT 'renamed', 'aggregate_parity', 'column value mismatch' FROM n
   UNION ALL SELECT 'retyped', 'schema_parity', 'type mismatch' FROM n UNION ALL SELECT 'retyped', 'aggregate_parity', 'column value mismatch' FROM n)
-SELECT * FROM f""")
+SELECT f.*, CASE pattern WHEN 'row count mismatch' THEN 'rows lost or doubled by a join, a condition left out, or rows written once too few or too often'
+  WHEN 'column value mismatch' THEN 'a running value that starts wrong, a branch that takes other rows, or rounding'
+  WHEN 'column name mismatch' THEN 'names in another case, or the list of columns to keep or drop was not followed'
+  ELSE 'numbers held as text or the reverse, or dates counted from another day' END AS probable_cause FROM f""")
 def rc_13(spark, d):
-    return rc.classify_failures(_several_reports(spark, d)).select("report", "name", "pattern")
+    return rc.classify_failures(_several_reports(spark, d)).select("report", "name", "pattern", "probable_cause")
 
 
 @query("rc_14_duplicate_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")

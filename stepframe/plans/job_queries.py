@@ -140,11 +140,12 @@ _RISKY = "SELECT p_partkey AS node, p_size / 50.0 AS score, p_type FROM part"
 
 @query("ln_11_risk_propagation", f"""
 WITH RECURSIVE n AS ({_RISKY}), e AS ({_TREE}), seed AS (SELECT node FROM n WHERE score < 0.1 AND p_type = 'PROMO' AND node > 2),
-  below AS (SELECT e.dst AS node FROM e JOIN seed ON e.src = seed.node UNION SELECT e.dst FROM e JOIN below ON e.src = below.node)
-SELECT n.node, seed.node IS NOT NULL AS risky, below.node IS NOT NULL AS risk_propagated FROM n LEFT JOIN seed ON seed.node = n.node LEFT JOIN below ON below.node = n.node""")
+  below AS (SELECT e.dst AS node FROM e JOIN seed ON e.src = seed.node UNION SELECT e.dst FROM e JOIN below ON e.src = below.node),
+  steps AS (SELECT node, CAST(0 AS BIGINT) AS k FROM seed UNION SELECT e.dst, steps.k + 1 FROM e JOIN steps ON e.src = steps.node), near AS (SELECT node, min(k) AS distance FROM steps GROUP BY 1)
+SELECT n.node, seed.node IS NOT NULL AS risky, below.node IS NOT NULL AS risk_propagated, near.distance FROM n LEFT JOIN near ON near.node = n.node LEFT JOIN seed ON seed.node = n.node LEFT JOIN below ON below.node = n.node""")
 def ln_11(spark, d):
     risky = (F.col("score") < 0.1) & (F.col("p_type") == "PROMO") & (F.col("node") > 2)
-    return lineage.propagate_risk(_ask(spark, d, _RISKY, "part"), _ask(spark, d, _TREE, "part"), risky).drop("distance")
+    return lineage.propagate_risk(_ask(spark, d, _RISKY, "part"), _ask(spark, d, _TREE, "part"), risky)
 
 
 @query("ln_12_orphans", f"""
