@@ -2,7 +2,8 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from stepframe.plans import catalog
 from tests.oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -13,17 +14,16 @@ def duck():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+catalog.load_all()
+
+
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query(spark, duck, name):
-    df = queries()[name](spark, FOLDER)
-    if name in oracle_sql():
-        assert compare(df, duck, oracle_sql()[name]) == ""
-    else:
-        assert df.count() > 0
+    assert compare(catalog.QUERIES[name](spark, FOLDER), duck, catalog.ORACLES[name]) == ""
 
 
-def test_every_query_but_the_singular_values_has_sql():
-    assert {x for x in set(queries()) - set(oracle_sql()) if x != "pipeline" and not x.startswith("op")} == set()
+def test_every_query_has_sql():
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
 
 
 def test_entry_proves_its_summary(spark):
