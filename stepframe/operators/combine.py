@@ -27,22 +27,18 @@ def has_duplicate_keys(df: DataFrame, keys: Sequence[str]) -> bool:
 
 
 def full_join(left: DataFrame, right: DataFrame, on: str | Sequence[str], *, missing_matches: bool = False) -> DataFrame:
-    """Full outer join on named keys, as inner + left-only + right-only rows.
+    """Full outer join on named keys, as a left join and the rows of the right side that it doesn't reach.
 
     A missing key matches nothing, as in SQL, or with `missing_matches` another missing key, as in a match-merge.
 
-    Spark splits a hot key of an inner or anti join at run time but never one of a full outer join, and the
-    key lists of the anti joins are de-duplicated before the shuffle.
+    Spark splits a hot key of a left or anti join at run time but never one of a full outer join, and the key list of
+    the anti join is de-duplicated before the shuffle. Each side is read twice.
     """
     on = names_of(on)
     join = same_keys if missing_matches else DataFrame.join
-    matched = join(left, right, on, "inner")
-    left_only = join(left, right.select(*on).distinct(), on, "left_anti")
+    from_left = join(left, right, on, "left")
     right_only = join(right, left.select(*on).distinct(), on, "left_anti")
-    return (
-        matched.unionByName(left_only, allowMissingColumns=True)
-        .unionByName(right_only, allowMissingColumns=True)
-    )
+    return from_left.unionByName(right_only, allowMissingColumns=True)
 
 
 def _plain_full_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
