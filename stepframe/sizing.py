@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,9 +35,25 @@ def _session_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stepframe-{spark.sparkContext.applicationId}"
 
 
+_paths: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the session's part of the shared folder."""
-    return f"{_session_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _paths.append(f"{_session_folder(spark)}/{label}-{uuid.uuid4().hex}")
+    return _paths[-1]
+
+
+def scratch_paths() -> tuple[str, ...]:
+    """All paths given out so far, in order."""
+    return tuple(_paths)
+
+
+def delete_scratch(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete some intermediate tables; frames built on them can no longer be read."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear_scratch(spark: SparkSession) -> None:
