@@ -7,16 +7,34 @@ over the raw tables (a trained model, tokenizer ids, a chain of decisions), so t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stepframe.llm import decontaminate, lines, minhash, packing, quality
 from stepframe.llm.queries import tokenizer_file
 from stepframe.plans.catalog import table
-from stepframe.sizing import cut_lineage
+from stepframe.sizing import cut_lineage, delete_scratch, scratch_paths
 
 ORACLE_SQL = None
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left_behind: list[str] = []
+
+
+def tidy(stage: Stage) -> Stage:
+    """A stage that first deletes the intermediate tables of the stage before it, whose result has been written by then."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        delete_scratch(spark, _left_behind)
+        before = len(scratch_paths())
+        result = stage(spark, docs, sf_dir)
+        _left_behind[:] = scratch_paths()[before:]
+        return result
+
+    return run_stage
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject; equal rows share a decision."""
@@ -57,11 +75,11 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
-    ("quality", keep_good),
-    ("line_dedup", drop_repeated_lines),
-    ("near_dedup", drop_near_duplicates),
-    ("decontamination", drop_benchmark_leaks),
-    ("packing", pack_sequences),
+    ("quality", tidy(keep_good)),
+    ("line_dedup", tidy(drop_repeated_lines)),
+    ("near_dedup", tidy(drop_near_duplicates)),
+    ("decontamination", tidy(drop_benchmark_leaks)),
+    ("packing", tidy(pack_sequences)),
 ]
 
 
