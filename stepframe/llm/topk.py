@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stepframe.sizing import cut_lineage
 
 
-def sorted_access(queries: np.ndarray, items: np.ndarray, k: int, steps: int = 6) -> list[np.ndarray]:
+def sorted_access(queries: np.ndarray, items: np.ndarray, k: int, steps: int = 4) -> list[np.ndarray]:
     """For each query the places of all items that can be among its k best, ties included.
 
     Each component has its list of items by falling and by rising value; a query reads the falling one where its weight
@@ -23,13 +23,16 @@ def sorted_access(queries: np.ndarray, items: np.ndarray, k: int, steps: int = 6
     n, width = items.shape
     if n <= k:
         return [np.arange(n)] * len(queries)
-    x = items.astype(np.float64)
+    # Whole numbers and their sums are exact in single precision up to 2**24, in double up to 2**53.
+    largest = int(np.abs(items).max(initial=0)) * int(np.abs(queries).max(initial=0)) * width
+    kind = np.float32 if largest < 1 << 24 else np.float64
+    x = items.astype(kind)
     order = np.argsort(x, axis=0, kind="stable")
     rising = np.empty_like(order)
     np.put_along_axis(rising, order, np.arange(n)[:, None].repeat(width, axis=1), axis=0)
     ordered = np.take_along_axis(x, order, axis=0)
     low_end, high_end = ordered[0], ordered[-1]
-    plus, minus = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
+    plus, minus = np.maximum(queries, 0).astype(kind), np.minimum(queries, 0).astype(kind)
     kept: list[np.ndarray | None] = [None] * len(queries)
     active = np.arange(len(queries))
     for step in range(1, steps + 1):
