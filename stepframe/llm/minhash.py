@@ -8,9 +8,8 @@ from itertools import combinations
 from math import ceil, sqrt
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepframe.llm.components import components
@@ -33,11 +32,15 @@ class Signature:
     symbols: int = 4
     errors: int = 1
     longs: int = 4
+    sharp: int = 32
     sigmas: float = 4.3
 
-    def far(self, percent: int) -> int:
-        """The largest distance of the 1-bit parts that two sets with this similarity are given."""
-        n, p = 64 * self.longs, (1 - percent / 100) / 2
+    def columns(self) -> list[str]:
+        return [f"c{k}" for k in range(self.chunks)] + [f"s{k}" for k in range(self.longs)]
+
+    def far(self, percent: int, longs: int) -> int:
+        """The largest distance of 1-bit parts that two sets with this similarity are given."""
+        n, p = 64 * longs, (1 - percent / 100) / 2
         return ceil(n * p + self.sigmas * sqrt(n * p * (1 - p)))
 
 
@@ -64,7 +67,7 @@ def _fingerprints(sig: Signature, width: int):
             rows = batch.num_rows
             size = np.zeros(rows, np.int64)
             digest = np.zeros((rows, 2), np.int64)
-            symbols, bits = [None] * rows, np.zeros((rows, sig.longs), np.int64)
+            chunks, bits = np.zeros((rows, sig.chunks), np.int64), np.zeros((rows, sig.longs), np.int64)
             for i, hashes in enumerate(shingle_sets(batch.column(1), width)):
                 size[i] = len(hashes)
                 if not len(hashes):
@@ -72,32 +75,45 @@ def _fingerprints(sig: Signature, width: int):
                 digest[i, 0] = int(hashes.sum().view(np.int64))
                 digest[i, 1] = int(mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum().view(np.int64))
                 low = mix(_smallest((hashes >> np.uint64(32)).astype(np.uint32), a, b).astype(np.uint64))
-                symbols[i] = (low[:n] >> np.uint64(48)).astype("<u2").tobytes()
+                chunks[i] = (low[:n] >> np.uint64(48)).astype("<u2").view("<i8")
                 bits[i] = np.packbits((low[n:] >> np.uint64(63)).astype(np.uint8)).view(np.int64)
-            columns = [batch.column(0), pa.array(size), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(symbols, pa.binary())]
-            columns += [pa.array(bits[:, k]) for k in range(sig.longs)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "d0", "d1", "symbols"] + [f"s{k}" for k in range(sig.longs)])
+            columns = [batch.column(0), pa.array(size), pa.array(digest[:, 0]), pa.array(digest[:, 1])]
+            columns += [pa.array(chunks[:, k]) for k in range(sig.chunks)] + [pa.array(bits[:, k]) for k in range(sig.longs)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "d0", "d1"] + sig.columns())
 
     return run
 
 
-def _keys(sig: Signature):
-    """Rows (doc_id, key): every chunk with every allowed choice of left-out symbols."""
-    kept = list(combinations(range(sig.symbols), sig.symbols - sig.errors))
+def _lane(sig: Signature, place: int) -> int:
+    """The bits of one symbol in the long that holds a chunk, as a signed number."""
+    mask = 0xFFFF << (16 * place)
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _key_rows(classes: DataFrame, sig: Signature) -> DataFrame:
+    """(rep, key): every chunk with every allowed choice of left-out symbols."""
+    keys = []
+    for chunk in range(sig.chunks):
+        for choice, places in enumerate(combinations(range(sig.symbols), sig.errors)):
+            kept = F.col(f"c{chunk}")
+            for place in places:
+                kept = kept.bitwiseAND(~_lane(sig, place))
+            keys.append(F.xxhash64(F.lit(chunk), F.lit(choice), kept))
+    return classes.select("rep", F.explode(F.array(*keys)).alias("key"))
+
+
+def _sketches(longs: int, width: int):
+    """(rep, t0..): 64 * longs 1-bit MinHash values, from other functions than those of the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = (x[:64 * longs] for x in _coefficients(64 * longs + 4096))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            grid = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").astype(np.uint64).reshape(batch.num_rows, sig.chunks, sig.symbols)
-            out = np.empty((batch.num_rows, sig.chunks, len(kept)), np.uint64)
-            for j, places in enumerate(kept):
-                key = (np.arange(sig.chunks, dtype=np.uint64) * np.uint64(len(kept)) + np.uint64(j))[None, :].repeat(batch.num_rows, axis=0)
-                for p in places:
-                    key = key * np.uint64(1 << 16) + grid[:, :, p]
-                out[:, :, j] = key
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sig.chunks * len(kept))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(out.ravel().view(np.int64))], names=["doc_id", "key"])
+            bits = np.zeros((batch.num_rows, longs), np.int64)
+            for i, hashes in enumerate(shingle_sets(batch.column(1), width)):
+                if len(hashes):
+                    low = mix(_smallest((hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32), a, b).astype(np.uint64))
+                    bits[i] = np.packbits((low >> np.uint64(63)).astype(np.uint8)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(bits[:, k]) for k in range(longs)], names=["rep"] + [f"t{k}" for k in range(longs)])
 
     return run
 
@@ -118,8 +134,8 @@ def _confirm(width: int, percent: int):
 
 
 def fingerprints(docs: DataFrame, id_column: str, text_column: str, width: int = 5, sig: Signature = Signature()) -> DataFrame:
-    """(doc_id, n_shingles, d0, d1, symbols, s0..): set size, a 128-bit digest of the set, and its signature."""
-    schema = "doc_id long, n_shingles long, d0 long, d1 long, symbols binary, " + ", ".join(f"s{k} long" for k in range(sig.longs))
+    """(doc_id, n_shingles, d0, d1, c0.., s0..): set size, a 128-bit digest of the set, and its signature."""
+    schema = "doc_id long, n_shingles long, d0 long, d1 long, " + ", ".join(f"{c} long" for c in sig.columns())
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     return rows.mapInArrow(_fingerprints(sig, width), schema)
 
@@ -132,30 +148,30 @@ def near_duplicates(
     Documents with the same shingle set are one class and need one signature. Classes that share a key of a chunk are
     candidates. First every class is paired with the smallest class of each of its buckets, so that a group of near
     copies costs one pair per member and key; the pairs that hold on the whole sets are joined into components. Then
-    the pairs of a bucket whose components differ are taken, without those too far apart by size or by the 1-bit
-    parts, and confirmed in the same way. A pair within one component can't change the result and is never formed.
+    the pairs of a bucket whose components differ are taken, without those too far apart by size, by the 1-bit parts
+    or by a longer sketch that only classes in such buckets get, and confirmed in the same way. A pair within one component can't change the result and is never formed.
 
     Null and empty texts: no shingles, linked with nothing, kept. A null id: component null, kept. A repeated id is one
     node; all its rows are returned. Other columns, whatever their names, are not read.
     """
-    far = sig.far(percent)
     prints = cut_lineage(fingerprints(docs, id_column, text_column, width, sig))
     member = prints.where("n_shingles > 0 and doc_id is not null")
     bits = [f"s{k}" for k in range(sig.longs)]
     classes = cut_lineage(member.groupBy("d0", "d1").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("symbols").alias("symbols"), *[F.first(s).alias(s) for s in bits]))
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *[F.first(s).alias(s) for s in sig.columns()]))
 
-    keys = classes.select(F.col("rep").alias("doc_id"), "symbols").mapInArrow(_keys(sig), "doc_id long, key long").select(F.col("doc_id").alias("rep"), "key")
+    keys = _key_rows(classes, sig)
     shared = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("key", "lead")
     buckets = cut_lineage(keys.join(shared, "key"))
 
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     looks = classes.select("rep", "n", *bits)
 
-    def close(a: str, b: str):
-        distance = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in bits), F.lit(0))
-        ratio = 100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")
-        return ratio & (distance <= far)
+    def near(columns: list[str]) -> Column:
+        distance = sum((F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in columns), F.lit(0))
+        return distance <= sig.far(percent, len(columns))
+
+    close = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & near(bits)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         rows = pairs.join(texts.withColumnRenamed("text", "text_a"), F.col("a") == F.col("id")).drop("id")
@@ -164,16 +180,23 @@ def near_duplicates(
 
     stars = buckets.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     stars = stars.join(looks.alias("x"), F.col("a") == F.col("x.rep")).join(looks.alias("y"), F.col("b") == F.col("y.rep"))
-    links = confirmed(stars.where(close("x", "y")).select("a", "b"))
+    links = confirmed(stars.where(close).select("a", "b"))
     joined = cut_lineage(components(links))
 
     # A key is open while its classes lie in different components.
     placed = buckets.select("key", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     opened = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = cut_lineage(placed.join(opened, "key", "left_semi").join(looks, "rep"))
+    rest = cut_lineage(placed.join(opened, "key", "left_semi"))
+    sharp = [f"t{k}" for k in range(sig.sharp)]
+    sketched = rest.select("rep").distinct().join(texts, F.col("rep") == F.col("id")).select("rep", "text")
+    sketched = sketched.mapInArrow(_sketches(sig.sharp, width), "rep long, " + ", ".join(f"{t} long" for t in sharp))
+    own_keys = rest.groupBy("rep").agg(F.collect_set("key").alias("keys"))
+    rest = cut_lineage(rest.join(looks, "rep").join(own_keys, "rep").join(sketched.dropDuplicates(["rep"]), "rep"))
+    # A pair that shares many keys is formed at the smallest of them only.
+    once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
     pairs = rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep"))
-                                 & (F.col("x.component") != F.col("y.component")) & close("x", "y"))
-    pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(
+                                 & (F.col("x.component") != F.col("y.component")) & close & near(sharp) & once)
+    pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).join(
         stars.select("a", "b"), ["a", "b"], "left_anti")
     more = confirmed(pairs)
 
