@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepframe.llm.words import _BASE, _BASE_INVERSE, LOWER, mix, powers, utf8, windows
+from stepframe.llm.words import _BASE, _BASE_INVERSE, _JOIN, LOWER, mix, powers, utf8, windows
 from stepframe.sizing import cut_lineage
 
 _byte = np.arange(256)
@@ -24,8 +26,14 @@ _UPPER = (_byte >= 65) & (_byte <= 90)
 # Token numbers: start of text, end of text, the k-th word in a row that repeats the one before it (k from 2 to 9, 9 for all
 # later ones), then shapes, then 3 per known string.
 START, END, AGAIN, SHAPES, KNOWN = 0, 1, 2, 12, 64
+# Tokens that never occur share what unigrams leave evenly, with at least 1 << BITS tokens.
 BITS = 16
-MAX_KNOWN = ((1 << BITS) - KNOWN) // 3
+# Two token numbers make one pair.
+WIDE = 32
+
+# What the model tells: the share of a unigram and what it leaves as a context, the same of a bigram, the share of a trigram.
+P1, REST2, P2, REST3, P3 = range(5)
+_SLOTS = ((P1, REST2), (P2, REST3), (P3,))
 
 
 def _runs(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -66,7 +74,7 @@ def _tokens(column: pa.Array, known: np.ndarray) -> list[np.ndarray]:
         at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
         found = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
         size = np.searchsorted([3, 7, 12], length)
-        ids = np.where(found, KNOWN + 3 * at + case, SHAPES + kind.astype(np.int64) * 12 + case * 4 + size).astype(np.uint16)
+        ids = np.where(found, KNOWN + 3 * at + case, SHAPES + kind.astype(np.int64) * 12 + case * 4 + size).astype(np.uint32)
         words = np.flatnonzero(kind == _LETTER)
         owner = np.searchsorted(bounds, words, side="right")
         same = np.zeros(len(words), bool)
@@ -77,59 +85,165 @@ def _tokens(column: pa.Array, known: np.ndarray) -> list[np.ndarray]:
         ids[words[long]] = AGAIN + np.minimum(run[long], 9) - 2
         for k in range(i, j):
             out[k].append(ids[bounds[k - i]:bounds[k - i + 1]])
-    return [np.concatenate([np.array([START, START], np.uint16), *x, np.array([END], np.uint16)]) for x in out]
+    return [np.concatenate([np.array([START, START], np.uint32), *x, np.array([END], np.uint32)]) for x in out]
 
 
-def _trigrams(ids: np.ndarray) -> np.ndarray:
-    x = ids.astype(np.int64)
-    return (x[:-2] << (2 * BITS)) | (x[1:-1] << BITS) | x[2:]
+def _grams(ids: np.ndarray) -> list[np.ndarray]:
+    """Keys of the unigrams, bigrams and trigrams of a text; those of unigrams and bigrams are one to one."""
+    x = ids.astype(np.uint64)
+    pair = mix((x[:-1] << np.uint64(WIDE)) | x[1:])
+    return [mix(x), pair, mix(pair[:-1] * _JOIN + x[2:])]
 
 
 def _count_trigrams(known: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = [_trigrams(x) for x in _tokens(batch.column(0), known)]
-            if grams:
-                keys, n = np.unique(np.concatenate(grams), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["gram", "n"])
+            texts = _tokens(batch.column(0), known)
+            if texts:
+                _, first, n = np.unique(np.concatenate([_grams(x)[2] for x in texts]), return_index=True, return_counts=True)
+                a, b, c = (np.concatenate([x[k:len(x) - 2 + k] for x in texts])[first].astype(np.int64) for k in range(3))
+                yield pa.RecordBatch.from_arrays([pa.array((a << WIDE) | b), pa.array(c), pa.array(n)], names=["context", "word", "n"])
 
     return run
 
 
+def _pack(ids: np.ndarray) -> bytes:
+    """Token numbers, all their lowest bytes first, and so on."""
+    return zlib.compress(ids.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
 def _encode(known: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [x.tobytes() for x in _tokens(batch.column(4), known)]
+            ids = [_pack(x) for x in _tokens(batch.column(4), known)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ids, pa.binary())], names=["block", "key", "doc_id", "lang", "ids"])
 
     return run
 
 
-def _ask(known: np.ndarray):
-    """The distinct trigrams of all texts of a task, which is one block: as many as occur in it, each once."""
+def _distinct(texts: Iterable[np.ndarray]) -> list[np.ndarray]:
+    """The sorted distinct keys of all unigrams, bigrams and trigrams of some texts."""
+    seen, size = [[np.zeros(0, np.uint64)] for _ in range(3)], 0
+    for ids in texts:
+        for keys, more in zip(seen, _grams(ids)):
+            keys.append(more)
+        size += len(ids)
+        if size > 1 << 22:
+            seen, size = [[np.unique(np.concatenate(keys))] for keys in seen], 0
+    return [np.unique(np.concatenate(keys)) for keys in seen]
+
+
+def _by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys in the order of their shards, and where each shard begins and ends."""
+    shard = (keys % np.uint64(shards)).astype(np.int64)
+    return np.argsort(shard, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
+
+
+def _ask(known: np.ndarray, shards: int):
+    """The distinct n-grams of all texts of a task, which is one block: as many as occur in it, each once, a row per shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = None
+
+        def texts() -> Iterator[np.ndarray]:
+            nonlocal block
+            for batch in batches:
+                if batch.num_rows:
+                    block = batch.column(0)[0].as_py()
+                    yield from _tokens(batch.column(1), known)
+
+        keys = _distinct(texts())
+        dealt = [_by_shard(x, shards) for x in keys]
+        for at in range(0, shards if block is not None else 0, 64):
+            numbers = range(at, min(at + 64, shards))
+            packed = [pa.array([x[order[edges[k]:edges[k + 1]]].tobytes() for k in numbers], pa.binary()) for x, (order, edges) in zip(keys, dealt)]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(numbers), pa.int32()), pa.array(numbers, pa.int32()), *packed], names=["block", "shard", "k1", "k2", "k3"])
+
+    return run
+
+
+def _keyed(shards: int):
+    """The model's numbers by the keys of their n-grams, many to a row."""
+
+    def packed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        slot, keys, values = (np.concatenate(x) for x in zip(*parts))
+        shard = (keys % np.uint64(shards)).astype(np.int64)
+        order = np.lexsort((slot, shard))
+        group = (shard * 8 + slot)[order]
+        start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        pieces = np.split(order, start[1:])
+        columns = [pa.array(group[start] // 8, pa.int32()), pa.array(group[start] % 8, pa.int32())]
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array([x[p].tobytes() for p in pieces], pa.binary()) for x in (keys, values))], names=["shard", "slot", "keys", "shares"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, fresh, size, block = np.zeros(0, np.int64), [], 0, None
+        parts, size = [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            block = batch.column(0)[0]
-            for x in _tokens(batch.column(1), known):
-                fresh.append(_trigrams(x))
-                size += len(x)
-                if size > 1 << 22:
-                    seen, fresh, size = np.unique(np.concatenate([seen, *fresh])), [], 0
-        if block is not None:
-            seen = np.unique(np.concatenate([seen, *fresh]))
-            for at in range(0, len(seen), 100_000):
-                part = seen[at:at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * len(part), pa.int32()), pa.array(part)], names=["block", "gram"])
+            slot, pair, word, value = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            key = mix(pair.astype(np.int64).view(np.uint64))
+            key = np.where(slot == P3, mix(key * _JOIN + word.astype(np.uint64)), key)
+            parts.append((slot.astype(np.int64), key, value.astype(np.float32)))
+            size += len(key)
+            if size > 1 << 20:
+                yield packed(parts)
+                parts, size = [], 0
+        if size:
+            yield packed(parts)
 
     return run
 
 
-def _discounted(counts: DataFrame, name: str) -> DataFrame:
-    """(context, word, p, rest): the discounted share of each n-gram, and what its context leaves for shorter n-grams.
+def _answer(asked: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+    """To each block, for the keys in its order: which the model has (bits), then its numbers for those, slot by slot."""
+    held = []
+    for slot in range(5):
+        mine = model[model.slot == slot]
+        keys, shares = np.frombuffer(b"".join(mine["keys"]), np.uint64), np.frombuffer(b"".join(mine["shares"]), np.float32)
+        order = np.argsort(keys)
+        held.append((keys[order], shares[order]))
+    told = []
+    for row in asked.itertuples(index=False):
+        out = []
+        for packed, slots in zip((row.k1, row.k2, row.k3), _SLOTS):
+            want = np.frombuffer(packed, np.uint64)
+            out.append(np.bitwise_xor.reduce(want).tobytes())
+            for slot in slots:
+                keys, shares = held[slot]
+                at = np.minimum(np.searchsorted(keys, want), max(len(keys) - 1, 0))
+                has = keys[at] == want if len(keys) else np.zeros(len(want), bool)
+                out += [np.packbits(has).tobytes(), shares[at[has]].tobytes()]
+        told.append(b"".join(out))
+    return pd.DataFrame({"block": asked.block, "shard": asked.shard, "told": told})
+
+
+def _hear(keys: list[np.ndarray], told: pd.DataFrame, shards: int) -> list[np.ndarray]:
+    """The model's numbers for sorted keys, slot by slot; 0 for what it has not."""
+    dealt = [_by_shard(x, shards) for x in keys]
+    values = [np.zeros(len(keys[n])) for n, slots in enumerate(_SLOTS) for _ in slots]
+    if len(told) != shards:
+        raise RuntimeError("the documents were read in other parts than before")
+    for shard, packed in zip(told.shard, told.told):
+        raw, at = np.frombuffer(packed, np.uint8), 0
+        for x, (order, edges), slots in zip(keys, dealt, _SLOTS):
+            places = order[edges[shard]:edges[shard + 1]]
+            if raw[at:at + 8].tobytes() != np.bitwise_xor.reduce(x[places]).tobytes():
+                raise RuntimeError("the documents were read in other parts than before")
+            at += 8
+            for slot in slots:
+                size = (len(places) + 7) // 8
+                has = np.unpackbits(raw[at:at + size], count=len(places)).astype(bool)
+                at += size
+                end = at + 4 * int(has.sum())
+                values[slot][places[has]] = np.frombuffer(raw[at:end].tobytes(), np.float32)
+                at = end
+    return values
+
+
+def _discounted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(context, word, p), the discounted share of each n-gram, and (context, rest), what a context leaves for shorter n-grams.
 
     Discounts for counts of 1, 2 and 3 or more follow from the numbers of n-grams that occur 1, 2, 3 and 4 times.
     """
@@ -140,59 +254,55 @@ def _discounted(counts: DataFrame, name: str) -> DataFrame:
     discount = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
     contexts = counts.groupBy("context").agg(F.sum("n").alias("whole"), F.sum(discount).alias("left"))
     both = counts.withColumn("cut", F.col("n") - discount).join(contexts, "context")
-    return both.select("context", "word", (F.col("cut") / F.col("whole")).alias(f"p{name}"), (F.col("left") / F.col("whole")).alias(f"rest{name}"))
+    return both.select("context", "word", (F.col("cut") / F.col("whole")).alias("p")), contexts.select("context", (F.col("left") / F.col("whole")).alias("rest"))
 
 
-def train(texts: DataFrame, known: np.ndarray) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(shares of trigrams, of bigrams, of unigrams), the two shorter ones from continuation counts; `texts` has `text`."""
-    tri = texts.select("text").mapInArrow(_count_trigrams(known), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    tri = cut_lineage(tri.select(F.shiftright("gram", BITS).alias("context"), F.col("gram").bitwiseAND((1 << BITS) - 1).alias("word"), "n"))
-    bi = tri.groupBy(F.col("context").bitwiseAND((1 << BITS) - 1).alias("context"), "word").agg(F.count("*").alias("n"))
-    uni = bi.groupBy("word").agg(F.count("*").alias("n")).select(F.lit(0).cast("long").alias("context"), "word", "n")
-    return _discounted(tri, "3"), _discounted(cut_lineage(bi), "2"), _discounted(cut_lineage(uni), "1")
+def train(texts: DataFrame, known: np.ndarray) -> tuple[DataFrame, float]:
+    """((slot, pair, word, value) of the model, what unigrams leave), the shorter n-grams from continuation counts; `texts` has `text`."""
+    tri = texts.select("text").mapInArrow(_count_trigrams(known), "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
+    tri = cut_lineage(tri)
+    bi = cut_lineage(tri.groupBy(F.col("context").bitwiseAND((1 << WIDE) - 1).alias("context"), "word").agg(F.count("*").alias("n")))
+    uni = cut_lineage(bi.groupBy("word").agg(F.count("*").alias("n")).select(F.lit(0).cast("long").alias("context"), "word", "n"))
+    (p3, rest3), (p2, rest2), (p1, rest1) = _discounted(tri), _discounted(bi), _discounted(uni)
+    pair = F.shiftleft("context", WIDE).bitwiseOR(F.col("word"))
+    told = [(P1, p1, F.col("word"), "p"), (REST2, rest2, F.col("context"), "rest"), (P2, p2, pair, "p"), (REST3, rest3, F.col("context"), "rest"), (P3, p3, F.col("context"), "p")]
+    rows = [df.select(F.lit(slot).alias("slot"), key.alias("pair"), (F.col("word") if slot == P3 else F.lit(0).cast("long")).alias("word"), F.col(value).cast("float").alias("value")) for slot, df, key, value in told]
+    left = rest1.first()
+    return reduce(DataFrame.unionAll, rows), left.rest if left else 1.0
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, share: float = 1e-3) -> DataFrame:
+def perplexities(docs: DataFrame, trusted: DataFrame, least: int = 2) -> DataFrame:
     """(key, doc_id, lang, perplexity) of `docs`, per token under a model of all texts of `trusted` (column text); key: `row_key`.
 
-    Strings that make up at least `share` of the trusted text are tokens by name (so there are at most 1 / share of
-    them), others by shape; from the third equal word in a row on the token is the length of the run. Counts are distributed
-    tables. Each task's part of the documents is a block, which asks once for each distinct trigram in it; the
-    requests are joined with the counts, sharded by n-gram, and go back to their block, where they are added up per
-    document. No task needs the whole model. Null texts count as empty: two starts and an end. `docs` must come straight
-    from files, for it is read twice in the same parts (`sizing.cut_lineage` writes what doesn't); else this is an error.
+    Strings that occur at least `least` times in the trusted text are tokens by name, however many there are, others by
+    shape; from the third equal word in a row on the token is the length of the run. The list of named strings goes to each
+    task, 8 bytes a string. Counts are distributed tables. Each task's part of the documents is a block, which asks once
+    for each distinct n-gram in it; requests and counts meet by the shard of their keys (64-bit hashes), and the answers
+    go back to their block, where they are added up per document. No task needs the whole model. Null texts count as
+    empty: two starts and an end. `docs` must come straight from files, for it is read twice in the same parts
+    (`sizing.cut_lineage` writes what doesn't); else this is an error.
     """
     counts = trusted.select("text").mapInArrow(_count_strings, "string long, n long").groupBy("string").agg(F.sum("n").alias("n"))
-    counts = cut_lineage(counts)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    frequent = counts.where(F.col("n") >= max(2, share * total)).orderBy(F.desc("n"), "string").limit(MAX_KNOWN)
-    known = np.sort(np.array([r.string for r in frequent.collect()], np.int64).view(np.uint64))
-    tri, bi, uni = train(trusted, known)
+    named = counts.where(F.col("n") >= least).select("string").toArrow().column(0)
+    known = np.sort(named.to_numpy().astype(np.int64).view(np.uint64))
+    model, left = train(trusted, known)
+    even = left / max(1 << BITS, KNOWN + 3 * len(known))
+    shards = max(2 * docs.rdd.getNumPartitions(), 1)
 
     placed = docs.select(F.spark_partition_id().alias("block"), row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    asked = cut_lineage(placed.select("block", "text").mapInArrow(_ask(known), "block int, gram long"))
-    word, last = F.col("gram").bitwiseAND((1 << BITS) - 1), F.shiftright("gram", BITS).bitwiseAND((1 << BITS) - 1)
-    grams = asked.select("gram").distinct().select("gram", F.shiftright("gram", BITS).alias("pair"), last.alias("last"), word.alias("word"))
-    rest3 = tri.select(F.col("context").alias("pair"), "rest3").distinct()
-    rest2 = bi.select(F.col("context").alias("last"), "rest2").distinct()
-    rest1 = uni.agg(F.max("rest1")).first()[0] or 1.0
-    scored = grams.join(tri.select(F.col("context").alias("pair"), "word", "p3"), ["pair", "word"], "left").join(rest3, "pair", "left")
-    scored = scored.join(bi.select(F.col("context").alias("last"), "word", "p2"), ["last", "word"], "left").join(rest2, "last", "left")
-    scored = scored.join(uni.select("word", "p1"), "word", "left")
-    lowest = F.coalesce("p1", F.lit(0.0)) + rest1 / (1 << BITS)
-    p = F.coalesce("p3", F.lit(0.0)) + F.coalesce("rest3", F.lit(1.0)) * (F.coalesce("p2", F.lit(0.0)) + F.coalesce("rest2", F.lit(1.0)) * lowest)
-    answers = asked.join(scored.select("gram", F.log(p).cast("float").alias("logp")), "gram")
+    asked = placed.select("block", "text").mapInArrow(_ask(known, shards), "block int, shard int, k1 binary, k2 binary, k3 binary")
+    held = model.mapInArrow(_keyed(shards), "shard int, slot int, keys binary, shares binary")
+    answers = asked.groupBy("shard").cogroup(held.groupBy("shard")).applyInPandas(_answer, "block int, shard int, told binary")
 
     def add_up(mine: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(told.gram.to_numpy())
-        keys, logp = told.gram.to_numpy()[order], told.logp.to_numpy().astype(np.float64)[order]
+        keys = _distinct(map(_unpack, mine.ids))
+        p1, rest2, p2, rest3, p3 = _hear(keys, told, shards)
+        rest2[rest2 == 0], rest3[rest3 == 0] = 1, 1
         mean = []
         for ids in mine.ids:
-            grams = _trigrams(np.frombuffer(ids, np.uint16))
-            at = np.searchsorted(keys, grams)
-            if (keys[np.minimum(at, len(keys) - 1)] != grams).any():
-                raise RuntimeError("the documents were read in other parts than before")
-            mean.append(logp[at].mean())
+            one, two, three = (np.searchsorted(x, g) for x, g in zip(keys, _grams(_unpack(ids))))
+            p = p3[three] + rest3[two[:-1]] * (p2[two[1:]] + rest2[one[1:-1]] * (p1[one[2:]] + even))
+            mean.append(np.log(p).mean())
         return pd.DataFrame({"key": mine.key, "doc_id": mine.doc_id, "lang": mine.lang, "perplexity": np.exp(-np.array(mean))})
 
     encoded = placed.mapInArrow(_encode(known), "block int, key long, doc_id long, lang string, ids binary")
@@ -204,7 +314,7 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "lang", "text")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, margin: float = 1.8, held_out: int = 5, broadcast_ids: int = 2_000_000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, margin: float = 1.5, held_out: int = 5, broadcast_ids: int = 2_000_000) -> DataFrame:
     """(key, doc_id, lang, perplexity, threshold, kept): documents whose perplexity is at most their language's threshold.
 
     Trusted are the documents with quality 1 (in all their label rows). The model is trained on all of them but one in

@@ -67,3 +67,20 @@ def test_decisions(spark):
     assert sum(not kept[x[0]] for x in good) <= 3
     assert all(r.kept for r in quality.classify(docs, labels.limit(0)).collect())
     assert quality.classify(docs.limit(0), labels).count() == 0
+
+
+def test_every_string_seen_twice_is_a_token(spark):
+    rnd = random.Random(5)
+    words = [f"{a}{b}{c}{d}" for a in "bcdfghjklmn" for b in "aeiou" for c in "bcdfghjklmnprst" for d in "aeiou"][:3000]
+    chains = [" ".join(words[k:k + 20]) for k in range(0, 3000, 20)]
+    frame = lambda texts: spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    mixed = " ".join(rnd.sample(words, 20))
+    got = {r.doc_id: r.perplexity for r in quality.perplexities(frame([chains[0], mixed]), frame(chains * 3)).collect()}
+    assert got[0] * 20 < got[1]
+
+
+def test_more_names_than_sixteen_bits(spark):
+    texts = [" ".join(f"{k:x}".translate(str.maketrans("0123456789", "ghijklmnop")) for k in range(at, at + 500)) for at in range(0, 30_000, 500)]
+    known = np.unique(np.concatenate([r[3] for r in quality._runs(pa.array(texts))]))
+    ids = np.concatenate([x[2:-1] for x in quality._tokens(pa.array(texts), known)])
+    assert len(set(ids.tolist())) == 30_000 and np.array_equal(quality._unpack(quality._pack(ids)), ids)
