@@ -40,14 +40,15 @@ LIMIT = 3.0
 
 @dataclass
 class Block:
-    """Text between two block tags: the open elements around it, and what it scores by."""
+    """Text between two block tags: the open elements around it that mark it off (number, kind), and what it scores by."""
 
-    path: tuple[int, ...]
-    apart: bool
+    marks: tuple[tuple[int, str], ...]
     tag: str
     parts: list[str] = field(default_factory=list)
     features: Counter = field(default_factory=Counter)
     inside: bool = False
+    words: int = 0
+    plain: int = 0
 
     def text(self) -> str:
         return " ".join(html.unescape("".join(self.parts)).split())
@@ -70,21 +71,21 @@ def _names_part(name: str, attributes: str) -> bool:
 
 def blocks(page: str) -> list[Block]:
     """The page cut at its block tags. Tags left open are ended by what can't stand inside them; a stray end tag is skipped."""
-    stack: list[tuple[str, int, bool, bool]] = []  # name, number, apart, in content
-    out, at, number, n = [], 0, 0, len(page)
-    current = Block((), False, "")
+    stack: list[tuple[str, tuple, bool]] = []  # name, marks, in content
+    out, titles, at, number, n = [], [], 0, 0, len(page)
+    current = Block((), "")
 
-    def state() -> tuple[bool, bool]:
-        return (stack[-1][2], stack[-1][3]) if stack else (False, False)
+    def state() -> tuple[tuple, bool]:
+        return (stack[-1][1], stack[-1][2]) if stack else ((), False)
 
     def begin() -> None:
         nonlocal current
         carried = current.features if not current.parts else Counter()
         if current.parts:
             out.append(current)
-        apart, inside = state()
+        marks, inside = state()
         tag = next((s[0] for s in reversed(stack) if s[0] in BLOCK), "")
-        current = Block(tuple(s[1] for s in stack), apart, tag, [], carried, inside)
+        current = Block(marks, tag, [], carried, inside)
 
     while at < n:
         match = _TAG.search(page, at)
@@ -94,7 +95,9 @@ def blocks(page: str) -> list[Block]:
             words = len(text.split())
             if words:
                 link = any(s[0] == "a" for s in stack[-4:])
-                current.features[f"w {current.tag} {'a' if link else ''}{'x' if current.apart else ''}"] += words
+                current.features[f"w {current.tag} {'a' if link else ''}"] += words
+                current.words += words
+                current.plain += 0 if link else words
         if not match:
             break
         at = match.end()
@@ -126,20 +129,46 @@ def blocks(page: str) -> list[Block]:
                 del stack[depth:]
         if name != "hr" and not match[3].endswith("/"):
             number += 1
-            apart, inside = state()
+            marks, inside = state()
             named = _names_part(name, match[3])
             if name in CONTENT and not named and not any(s[0] in CONTENT for s in stack):
-                apart, inside = False, True
-            else:
-                apart = apart or named or name in APART and not (name == "header" and inside)
-            stack.append((name, number, apart, inside))
+                # The wrappers around it count as marks of the title only, for `_wrappers`.
+                titles.append(marks)
+                marks, inside = (), True
+            elif name in APART and not (name == "header" and inside) or named:
+                marks = (*marks, (number, name if name in APART else "name"))
+            if name == "h1":
+                titles.append(marks)
+            stack.append((name, marks, inside))
         if name in BLOCK:
             begin()
     if current.parts:
         out.append(current)
+    wrappers, marked = _wrappers(out, titles), any(b.inside for b in out)
+    for b in out:
+        b.marks = tuple(m for m in b.marks if m[0] not in wrappers)
+        if b.words and b.marks:
+            b.features[f"x {b.marks[-1][1]}"] += b.words
+        if b.words and marked:
+            b.features["c in" if b.inside else "c out"] += b.words
     return [b for b in out if b.text() or b.features]
 
 
+def _wrappers(own: list[Block], titles: list[tuple]) -> set[int]:
+    """Elements that are marked off and yet hold the page, outer ones first: forms, fieldsets and what is so by its attributes.
+
+    They hold over half of its words outside links, and no title (h1, article or main) stands unmarked outside them.
+    """
+    held = Counter()
+    for b in own:
+        held.update({m[0]: b.plain for m in b.marks if m[1] in ("form", "fieldset", "name")})
+    whole, found = sum(b.plain for b in own), set()
+    for number in sorted(held):
+        if 2 * held[number] > whole and not any(all(m[0] in found for m in marks) for marks in titles):
+            found.add(number)
+    return found
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each feature stands inside and outside the content of pages that mark it."""
     for batch in batches:
@@ -148,17 +177,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = blocks(page)
             if any(b.inside for b in own):
                 for b in own:
-                    (within if b.inside and not b.apart else without).update(b.features)
+                    (within if b.inside else without).update(b.features)
         names = sorted({*within, *without})
         if names:
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([within[x] for x in names]), pa.array([without[x] for x in names])], names=["feature", "within", "without"])
 
 
 def fit(pages: DataFrame, sample: int = 2000) -> dict[str, float]:
-    """Weights of words by the block they stand in and of tags, from at most `sample` pages that mark their content.
+    """Weights of words by the block they stand in, by marks and by content elements, and of tags, from at most `sample` pages that mark their content.
 
-    A page is labelled by its own `article` or `main` element. Word weights are log odds of standing inside; those of
-    words outside links and marked-off parts are at least 0.1, so words score positive, and tags at most -0.05.
+    A page is labelled by its own `article` or `main` element. Weights are log odds of standing inside; those of words
+    outside links are at least 0.1, so words score positive, what a mark adds at most -0.1, and tags at most -0.05.
     """
     chosen = pages.where("html is not null and (html like '%<article%' or html like '%<main%')").orderBy(F.xxhash64("page_id", "url"), "page_id").limit(sample)
     counts = chosen.select("html").mapInArrow(_count, "feature string, within long, without long").groupBy("feature").agg(F.sum("within").alias("within"), F.sum("without").alias("without"))
@@ -175,22 +204,29 @@ def fit(pages: DataFrame, sample: int = 2000) -> dict[str, float]:
 def _signed(feature: str, value: float) -> float:
     if feature.startswith("t "):
         return min(-0.05, value / 10)
-    return max(0.1, value) if not feature.endswith(("a", "x")) or feature.endswith(" ") else min(-0.1, value) if feature.endswith("x") else value / 2
+    if feature.startswith("x "):
+        return min(-0.1, value)
+    if feature.startswith("c "):
+        return value
+    return max(0.1, value) if feature.endswith(" ") else value / 2
 
 
 def _weight(feature: str, weights: dict[str, float]) -> float:
-    """The fitted weight; else a plain one: words 1, in links 0.1 and in marked-off parts -1, tags -0.2."""
+    """The fitted weight; else a plain one: words 1, in links 0.1, 2 less in marked-off parts, 1 more or less by article and main, tags -0.2."""
     known = weights.get(feature)
     if known is not None:
         return known
     if feature.startswith("t "):
         return -0.2
-    flags = feature.rsplit(" ", 1)[1]
-    return -1.0 if "x" in flags else 0.1 if "a" in flags else 1.0
+    if feature.startswith("x "):
+        return -2.0
+    if feature.startswith("c "):
+        return 1.0 if feature == "c in" else -1.0
+    return 0.1 if feature.endswith("a") else 1.0
 
 
 def main_text(page: str | None, weights: dict[str, float]) -> str:
-    """The best run of blocks by a linear scan, widened to the innermost element that holds all of it, without marked-off parts."""
+    """The best run of blocks by a linear scan, without marked-off blocks whose own words score no more than 0."""
     own = blocks(page or "")
     best, span, run, first = 0.0, None, 0.0, 0
     for i, b in enumerate(own):
@@ -201,21 +237,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
             best, span = run, (first, i)
     if span is None:
         return ""
-    chosen = [b for b in own[span[0]:span[1] + 1] if not b.apart and b.text()]
-    if not chosen:
-        return ""
-    if any(b.inside for b in chosen):
-        chosen = [b for b in own if b.inside and not b.apart]
-    else:
-        shared = chosen[0].path
-        for b in chosen[1:]:
-            k = 0
-            while k < min(len(shared), len(b.path)) and shared[k] == b.path[k]:
-                k += 1
-            shared = shared[:k]
-        # Elements 1 and 2 are usually html and body, which hold everything.
-        if len(shared) > 2:
-            chosen = [b for b in own if b.path[:len(shared)] == shared and not b.apart]
+    chosen = (b for b in own[span[0]:span[1] + 1] if not b.marks or sum(_weight(f, weights) * k for f, k in b.features.items() if f[0] in "wx") > 0)
     return "\n".join(t for t in (b.text() for b in chosen) if t)
 
 

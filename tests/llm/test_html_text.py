@@ -31,3 +31,18 @@ def test_fitted_weights_and_rows(spark):
     got = html_text.extract(pages, weights).collect()
     assert sorted(r.text for r in got) == ["", ""] + [WANT] * 20
     assert html_text.extract(pages.limit(0), {}).count() == 0 and html_text.fit(pages.limit(0)) == {}
+
+
+@pytest.mark.parametrize("wrapper", ['<form id="aspnetForm" action="/">%s</form>', '<div class="with sidebar">%s</div>', '<form><div id="header-wrapper">%s</div></form>'])
+@pytest.mark.parametrize("content", ["<article>%s</article>", "<div>%s</div>"])
+def test_page_inside_a_marked_wrapper(wrapper, content):
+    start, end = PAGE.index("<header>"), PAGE.index("</body>")
+    assert html_text.main_text(PAGE[:start] + wrapper % PAGE[start:end] % (content % BODY) + PAGE[end:], {}) == WANT
+
+
+def test_the_run_decides_inside_an_article():
+    links = "<ul>" + "<li><a href='/x'>Other</a></li>" * 40 + "</ul>"
+    text = html_text.main_text(f"<body><article>{BODY}{links}</article></body>", {"w li a": -1.0, "c in": 0.5})
+    assert text == WANT
+    long = "<p>" + "Words of a comment that is much longer than the text. " * 30 + "</p>"
+    assert html_text.main_text(f'<body><div>{BODY}</div><div class="comments">{long}</div></body>', {}) == WANT
