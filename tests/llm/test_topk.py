@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from stepframe.llm.topk import sorted_access, top_k
+from stepframe.llm.topk import best_of_block, sorted_access, top_k
 
 
 def test_no_better_item_is_left_out():
@@ -28,3 +28,15 @@ def test_same_as_all_pairs(spark):
         assert sorted(got.pop(q)) == [(n, c, -s) for n, (s, c) in enumerate(want, start=1)]
     assert not got
     assert top_k(frame.limit(0), F.lit(True)).count() == 0
+
+
+def test_rows_that_repeat_the_query_take_no_place():
+    rnd = np.random.default_rng(7)
+    items = np.concatenate([np.full((60, 4), 100), rnd.integers(-9, 9, (200, 4))])
+    ids = np.concatenate([np.zeros(60, int), np.arange(1, 201)])
+    queries, query_ids = np.stack([items[0], items[60]]), np.array([0, 1])
+    got = best_of_block(query_ids, queries, ids, items, 5)
+    for q, vector in zip(query_ids, queries):
+        want = sorted((-int(v @ vector), int(c)) for c, v in zip(ids, items) if c != q)[:5]
+        mine = got[got.query_id == q]
+        assert sorted(zip((-mine.score).tolist(), mine.vec_id.tolist())) == want
