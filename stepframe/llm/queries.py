@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepframe.llm import decontaminate, html_text, langid, lines, minhash, packing, quality, sharding, topk, toxicity
+from stepframe.llm import decontaminate, html_text, langid, lines, minhash, packing, quality, sharding, topk, toxicity, whitening
 from stepframe.plans.catalog import table
 from stepframe.sizing import cut_lineage
 
@@ -90,6 +90,19 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    model = whitening.fit(vectors)
+    if model is None or not len(model.eigenvalues):
+        return spark.createDataFrame([], "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double")
+    out = whitening.whiten(vectors, model)
+    error = whitening.identity_error(out, len(model.eigenvalues))
+    explained = F.array(*[F.lit(float(e / model.trace)) for e in model.eigenvalues])
+    long = out.select("vec_id", "deviation", F.posexplode("whitened").alias("k", "value"))
+    return long.select("vec_id", (F.col("k") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", F.col("value").alias("whitened"),
+                       F.element_at(explained, F.col("k") + 1).alias("explained"), F.lit(error).alias("identity_error"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -101,5 +114,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
+    "op11_embedding_whitening": op11_embedding_whitening,
 }
 ORACLES: dict[str, str] = {"op5_exact_top_k": OP5_SQL}

@@ -10,6 +10,7 @@ COLUMNS = {
     "op2": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"], "op4": ["page_id", "url", "text", "n_chars"], "op5": ["query_id", "rank", "vec_id", "score"],
     "op6": ["doc_id", "n_shingles", "component_id", "kept"], "op7": ["doc_id", "held_out", "lang_pred", "score"],
     "op9": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"], "op10": ["doc_id", "held_out", "score", "predicted"],
+    "op11": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
 }
 
 
