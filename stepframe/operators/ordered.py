@@ -1,28 +1,27 @@
 """Order-dependent step operators: RETAIN, LAG, FIRST./LAST., sequence ids and accumulators.
 
-A BY group may hold a third of the table, so no operator here needs a whole group in one task. Large tables
-are cut into slices of the leading order key (`sizing.plan_slices`). Each (group, slice) cell is summed up by a
-map-side combined aggregate, the small summaries are scanned per group, and what a cell inherits is put in
-front of it as one extra row. The big table is shuffled once, by (group, slice). A table that fits one slice
-gets the plain window instead.
+A BY group may hold a third of the table, so no operator here needs a whole group in one task. Rows are cut into ranges
+of (BY, order keys) (`stepframe.ranges`), at every size in the same way. Each range is worked off by itself after the one
+shuffle by (BY, range); what a range takes over from the ranges before it comes from a scan over summaries of the groups
+that lie across a border, at most one row per range, and is added by a broadcast join.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stepframe.ranges import Ranges, plan_ranges
 from stepframe.semantics import Key, StepError, names_of, require_columns, require_order, same_keys
-from stepframe.sizing import ROWS_PER_SLICE, Slices, cut_lineage, ordinal, plan_slices
+from stepframe.sizing import ordinal
 
-_SLICE, _ROLE, _SEQ = "__slice", "__role", "__seq"
-_CARRIED, _DATA = 0, 1
+_RANGE = "__range"
 
 
 @dataclass(frozen=True)
@@ -87,8 +86,16 @@ def order_rank(df: DataFrame, keys: Sequence[Key]) -> Column:
     return F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
 
 
-def _slices(df: DataFrame, keys: Sequence[Key], slices: Slices | None, rows_per_slice: int) -> Slices | None:
-    return slices if slices is not None else plan_slices(df, keys[0], rows_per_slice)
+def _earlier(by: Sequence[str], rows: int | None = None):
+    """The ranges of a group before the current one."""
+    return Window.partitionBy(*by).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding if rows is None else -rows, -1)
+
+
+def _take_over(df: DataFrame, carried: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows with what their range takes over; `carried` has one row per range that begins inside a group."""
+    right = carried.withColumnsRenamed({c: f"__of_{c}" for c in [*by, _RANGE]})
+    same = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in [*by, _RANGE]]
+    return df.join(F.broadcast(right), same, "left").drop(*[f"__of_{c}" for c in [*by, _RANGE]])
 
 
 def retain(
@@ -97,113 +104,112 @@ def retain(
     order_by: str | Sequence[str | Key],
     columns: dict[str, Retained],
     *,
-    slices: Slices | None = None,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    na_position: str = "default",
+    ranges: int | Ranges | None = None,
 ) -> DataFrame:
     """Add running columns, restarted at each BY group (`by` may be empty)."""
     by = names_of(by)
     keys = require_order(df, order_by)
     require_columns(df, by, "BY variable")
-    slices = _slices(df, keys, slices, rows_per_slice)
+    ranges = ranges if isinstance(ranges, Ranges) else plan_ranges(df, by, keys, na_position, ranges)
     inputs = {f"__in_{name}": (name, retained.kind) for name, retained in columns.items()}
     prepared = df.withColumns({f"__in_{name}": _input(retained) for name, retained in columns.items()})
-    # What is carried over a slice must fit the sum's type, not that of a single value.
+    # What is carried over a border must fit the sum's type, not that of a single value.
     wide = {i: _sum_type(prepared.schema[i].dataType) for i, (_, kind) in inputs.items() if kind == "total"}
     prepared = prepared.withColumns({i: F.col(i).cast(t) for i, t in wide.items()})
-    prepared = prepared.withColumns({_ROLE: F.lit(_DATA)} | ({_SLICE: slices.number()} if slices else {}))
-    cell = [*by, _SLICE] if slices else by
-
-    if slices:
-        folded = [_fold(kind, F.col(i)).alias(i) for i, (_, kind) in inputs.items() if kind != "latest"]
-        ends = [i for i, (_, kind) in inputs.items() if kind == "latest"]
-        if ends and all(not k.descending or ordinal(F.col(k.name), df.schema[k.name].dataType) is not None for k in keys):
-            prepared = prepared.withColumn("__rank", order_rank(df, keys))
-            folded += [F.max_by(F.when(F.col(i).isNotNull(), F.col(i)), F.when(F.col(i).isNotNull(), F.col("__rank"))).alias(i) for i in ends]
-            ends = []
-        summaries = prepared.groupBy(*cell).agg(F.count("*").alias("__rows"), *folded)
-        prepared = prepared.drop("__rank")
-        for i in ends:
-            # No number stands for a descending text key: take the last row of each cell as such.
-            last = last_of_group(prepared.filter(F.col(i).isNotNull()).select(*cell, *[k.name for k in keys if k.name not in by], i), cell, keys)
-            summaries = same_keys(summaries, last.select(*cell, i), cell, "left")
-        before = Window.partitionBy(*by).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-        carried = summaries.select(
-            *cell,
-            F.lit(_CARRIED).alias(_ROLE),
-            *[
-                (F.last(i, ignorenulls=True) if kind == "latest" else _fold(kind, F.col(i))).over(before)
-                .cast(prepared.schema[i].dataType).alias(i)
-                for i, (_, kind) in inputs.items()
-            ],
-        )
-        prepared = prepared.unionByName(carried, allowMissingColumns=True)
+    cell = [*by, _RANGE]
+
+    carried = _summaries(ranges.number(ranges.across_borders(prepared), _RANGE), by, keys, inputs)
+    carried = carried.select(*cell, *[
+        (F.last(i, ignorenulls=True) if kind == "latest" else _fold(kind, F.col(i))).over(_earlier(by)).cast(prepared.schema[i].dataType).alias(f"__from_{name}")
+        for i, (name, kind) in inputs.items()])
 
     so_far = (
-        Window.partitionBy(*cell).orderBy(_ROLE, *[k.column() for k in keys])
+        Window.partitionBy(*cell).orderBy(*[k.column(na_position) for k in keys])
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    local = ranges.number(prepared, _RANGE).withColumns({
+        f"__here_{name}": F.last(i, ignorenulls=True).over(so_far) if kind == "latest" else _fold(kind, F.col(i)).over(so_far)
+        for i, (name, kind) in inputs.items()})
+    joined = _take_over(local, carried, by)
     results = {}
     for i, (name, kind) in inputs.items():
-        if kind == "latest":
-            results[name] = F.last(i, ignorenulls=True).over(so_far)
+        here, earlier = F.col(f"__here_{name}"), F.col(f"__from_{name}")
+        if kind in ("total", "counter"):
+            value = F.coalesce(here, F.lit(0)) + F.coalesce(earlier, F.lit(0))
+            results[name] = F.coalesce(value.cast(wide[i]) if i in wide else value, F.lit(0))
+        elif kind == "latest":
+            results[name] = F.coalesce(here, earlier)
         else:
-            value = _fold(kind, F.col(i)).over(so_far)
-            value = value.cast(wide[i]) if i in wide else value
-            results[name] = F.coalesce(value, F.lit(0)) if kind in ("total", "counter") else value
-    kept = [c for c in df.columns if c not in columns]
-    return prepared.select(*kept, _ROLE, *[v.alias(n) for n, v in results.items()]).filter(F.col(_ROLE) == _DATA).drop(_ROLE)
+            results[name] = F.least(here, earlier) if kind == "lowest" else F.greatest(here, earlier)
+    return joined.select(*[c for c in df.columns if c not in columns], *[v.alias(n) for n, v in results.items()])
+
+
+def _summaries(rows: DataFrame, by: list[str], keys: list[Key], inputs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Each (group, range) folded to one row."""
+    cell = [*by, _RANGE]
+    folded = [_fold(kind, F.col(i)).alias(i) for i, (_, kind) in inputs.items() if kind != "latest"]
+    ends = [i for i, (_, kind) in inputs.items() if kind == "latest"]
+    if ends and all(not k.descending or ordinal(F.col(k.name), rows.schema[k.name].dataType) is not None for k in keys):
+        rows = rows.withColumn("__rank", order_rank(rows, keys))
+        folded += [F.max_by(F.when(F.col(i).isNotNull(), F.col(i)), F.when(F.col(i).isNotNull(), F.col("__rank"))).alias(i) for i in ends]
+        ends = []
+    summaries = rows.groupBy(*cell).agg(F.count("*").alias("__rows"), *folded)
+    for i in ends:
+        # No number stands for a descending text key: take the last row of each cell as such.
+        last = last_of_group(rows.filter(F.col(i).isNotNull()).select(*cell, *[k.name for k in keys if k.name not in by], i), cell, keys)
+        summaries = same_keys(summaries, last.select(*cell, i), cell, "left")
+    return summaries
 
 
 def row_numbers(df, by, order_by, name: str = "row_number", **options) -> DataFrame:
     return retain(df, by, order_by, {name: counter()}, **options)
 
 
+def positions(df: DataFrame, order_by: str | Sequence[str | Key], name: str = "position", *, na_position: str = "default",
+              totals: dict[str, str] | None = None, ranges: int | Ranges | None = None) -> DataFrame:
+    """1-based position of every row in a total order, and running totals over it. The keys must identify a row."""
+    running = {name: counter()} | {new: total(c) for new, c in (totals or {}).items()}
+    return retain(df, [], order_by, running, na_position=na_position, ranges=ranges)
+
+
 def lag(
     df: DataFrame,
     by: str | Sequence[str],
     order_by: str | Sequence[str | Key],
     columns: dict[str, tuple[str, int]],
     *,
-    slices: Slices | None = None,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    ranges: int | Ranges | None = None,
 ) -> DataFrame:
     """`columns={new: (source, n)}`: the value n rows earlier in the BY group, NULL at its start."""
     by = names_of(by)
     keys = require_order(df, order_by)
     require_columns(df, [*by, *[source for source, _ in columns.values()]])
-    slices = _slices(df, keys, slices, rows_per_slice)
-    if not slices:
-        w = Window.partitionBy(*by).orderBy(*[k.column() for k in keys])
-        return df.withColumns({new: F.lag(source, n).over(w) for new, (source, n) in columns.items()})
-    return _sliced_lag(df, by, keys, columns, slices).drop(_SLICE, _ROLE, _SEQ)
+    ranges = ranges if isinstance(ranges, Ranges) else plan_ranges(df, by, keys, count=ranges)
+    return _lagged(df, by, keys, columns, ranges).drop(_RANGE)
 
 
-def _sliced_lag(df: DataFrame, by: list[str], keys: list[Key], columns: dict[str, tuple[str, int]], slices: Slices) -> DataFrame:
-    """The last rows of the slices before are put in front of each slice."""
+def _lagged(df: DataFrame, by: list[str], keys: list[Key], columns: dict[str, tuple[str, int]], ranges: Ranges) -> DataFrame:
+    """The first rows of a range look into the last rows of the ranges before it."""
     depth = max(n for _, n in columns.values())
     sources = sorted({source for source, _ in columns.values()})
-    cell = [*by, _SLICE]
-    sliced = df.withColumns({_SLICE: slices.number(), _ROLE: F.lit(_DATA), _SEQ: F.lit(0)})
-    backwards = Window.partitionBy(*cell).orderBy(*[Key(k.name, not k.descending).column() for k in keys])
-    tails = (
-        sliced.select(*cell, *[F.col(k.name) for k in keys if k.name not in by], *[F.col(s).alias(f"__v_{s}") for s in sources])
-        .withColumn("__back", F.row_number().over(backwards))
-        .filter(F.col("__back") <= depth)
-        .groupBy(*cell)
-        .agg(F.sort_array(F.collect_list(F.struct((-F.col("__back")).alias("p"), *[F.col(f"__v_{s}") for s in sources]))).alias("__tail"))
-    )
-    previous = Window.partitionBy(*by).orderBy(_SLICE).rowsBetween(-depth, -1)
-    halo = (
-        tails.withColumn("__halo", F.flatten(F.collect_list("__tail").over(previous)))
-        .select(*cell, F.lit(_CARRIED).alias(_ROLE), F.posexplode("__halo").alias(_SEQ, "__h"))
-        .select(*cell, _ROLE, _SEQ, *[F.col("__h")[f"__v_{s}"].alias(s) for s in sources if s not in by])
-    )
-    w = Window.partitionBy(*cell).orderBy(_ROLE, _SEQ, *[k.column() for k in keys])
-    return (
-        sliced.unionByName(halo, allowMissingColumns=True)
-        .withColumns({new: F.lag(source, n).over(w) for new, (source, n) in columns.items()})
-        .filter(F.col(_ROLE) == _DATA)
-    )
+    cell = [*by, _RANGE]
+    backwards = [Key(k.name, not k.descending).column() for k in keys]
+    ends = ranges.number(ranges.across_borders(df), _RANGE)
+    ends = ends.select(*cell, *[F.col(k.name) for k in keys if k.name not in by], *[F.col(s).alias(f"__v_{s}") for s in sources])
+    ends = ends.withColumn("__back", F.row_number().over(Window.partitionBy(*cell).orderBy(*backwards))).filter(F.col("__back") <= depth)
+    tails = ends.groupBy(*cell).agg(F.sort_array(F.collect_list(F.struct((-F.col("__back")).alias("p"), *[F.col(f"__v_{s}") for s in sources]))).alias("__tail"))
+    carried = tails.select(*cell, F.flatten(F.collect_list("__tail").over(_earlier(by, depth))).alias("__tail"))
+
+    w = Window.partitionBy(*cell).orderBy(*[k.column() for k in keys])
+    local = ranges.number(df, _RANGE).withColumn("__at", F.row_number().over(w))
+    local = local.withColumns({f"__lag_{new}": F.lag(source, n).over(w) for new, (source, n) in columns.items()})
+    joined = _take_over(local, carried, by)
+    found = {
+        new: F.when(F.col("__at") > n, F.col(f"__lag_{new}")).otherwise(F.get("__tail", F.size("__tail") - n + F.col("__at") - 1)[f"__v_{source}"])
+        for new, (source, n) in columns.items()
+    }
+    return joined.withColumns(found).drop("__at", "__tail", *[f"__lag_{new}" for new in columns])
 
 
 def first_last_flags(df: DataFrame, by: str | Sequence[str], order_by: str | Sequence[str | Key]) -> DataFrame:
@@ -248,161 +254,85 @@ def last_of_group(df, by, order_by, rows: int = 1) -> DataFrame:
     return first_of_group(df, by, [Key(k.name, not k.descending) for k in require_order(df, order_by)], rows)
 
 
-def sequence_ids(df, by, order_by, changes_of: str, name: str = "sequence_id", *, slices=None,
-                 rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """A number that grows by one whenever `changes_of` differs from the row before, from 1 in each BY group.
-
-    In slices, changes are counted within each slice and written; what the slices before add is joined by slice.
-    """
+def sequence_ids(df, by, order_by, changes_of: str, name: str = "sequence_id", *, ranges: int | Ranges | None = None) -> DataFrame:
+    """A number that grows by one whenever `changes_of` differs from the row before, from 1 in each BY group."""
     by = names_of(by)
     keys = require_order(df, order_by)
     require_columns(df, [*by, changes_of])
-    slices = _slices(df, keys, slices, rows_per_slice)
-    order = [k.column() for k in keys]
-    before = {"__before": (changes_of, 1), "__had": ("__here", 1)}
-    changed = F.when(F.col("__had").isNull() | ~F.col("__before").eqNullSafe(F.col(changes_of)), 1).otherwise(0).cast("long")
-    here = df.withColumn("__here", F.lit(1))
-    marked = _sliced_lag(here, by, keys, before, slices) if slices else here.withColumns({new: F.lag(source, n).over(Window.partitionBy(*by).orderBy(*order)) for new, (source, n) in before.items()})
-    cell = [*by, _SLICE] if slices else by
-    # The same order as the lag, so that Spark sorts once.
-    so_far = Window.partitionBy(*cell).orderBy(*([_ROLE, _SEQ] if slices else []), *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = marked.withColumn("__change", changed).withColumn("__local", F.sum("__change").over(so_far))
-    marked = marked.drop("__here", "__before", "__had", _ROLE, _SEQ)
-    if not slices:
-        return marked.withColumn(name, F.col("__local")).drop("__change", "__local")
-    marked = cut_lineage(marked)
-    earlier = Window.partitionBy(*by).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carried = marked.groupBy(*cell).agg(F.sum("__change").alias("__n")).select(*cell, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__carried"))
-    joined = same_keys(marked, cut_lineage(carried), cell, "left")
-    return joined.withColumn(name, F.col("__local") + F.col("__carried")).drop("__change", "__local", "__carried", _SLICE)
+    ranges = ranges if isinstance(ranges, Ranges) else plan_ranges(df, by, keys, count=ranges)
+
+    def with_changes(rows: DataFrame) -> DataFrame:
+        marked = _lagged(rows.withColumn("__here", F.lit(1)), by, keys, {"__before": (changes_of, 1), "__had": ("__here", 1)}, ranges)
+        changed = F.when(F.col("__had").isNull() | ~F.col("__before").eqNullSafe(F.col(changes_of)), 1).otherwise(0).cast("long")
+        return marked.withColumn("__change", changed).drop("__here", "__before", "__had")
+
+    cell = [*by, _RANGE]
+    per_range = with_changes(ranges.across_borders(df)).groupBy(*cell).agg(F.sum("__change").alias("__n"))
+    carried = per_range.select(*cell, F.sum("__n").over(_earlier(by)).alias("__from"))
+    so_far = Window.partitionBy(*cell).orderBy(*[k.column() for k in keys]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = with_changes(df).withColumn("__local", F.sum("__change").over(so_far))
+    joined = _take_over(local, carried, by)
+    return joined.withColumn(name, F.col("__local") + F.coalesce("__from", F.lit(0))).drop("__change", "__local", "__from", _RANGE)
 
 
 def capped_balance(df, by, order_by, amount: str, low: float, high: float, name: str = "balance", start: float = 0.0, *,
-                   slices=None, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+                   ranges: int | Ranges | None = None) -> DataFrame:
     """balance = min(high, max(low, balance + amount)), row after row; a missing amount leaves it alone.
 
-    Not a prefix sum, yet steps compose: any run of rows maps the balance b to min(top, max(bottom, b + shift)).
-    Each slice is reduced to that triple, the triples are scanned per group, and each slice is then replayed
-    from the balance it inherits. Python sees sorted Arrow batches one by one and never holds a group.
+    Not a prefix sum, yet steps compose: any run of rows maps the balance b to min(top, max(bottom, b + shift)). Each row
+    gets the map from the start of its range, by doubling within an Arrow batch; the maps of ranges that lie across a
+    border are composed per group, and the balance a range begins with goes through the map of each row.
     """
     by = names_of(by)
     keys = require_order(df, order_by)
     require_columns(df, [*by, amount])
-    slices = _slices(df, keys, slices, rows_per_slice)
-    order = [k.column() for k in keys]
+    ranges = ranges if isinstance(ranges, Ranges) else plan_ranges(df, by, keys, count=ranges)
+    cell, order = [*by, _RANGE], [k.column() for k in keys]
     step = F.coalesce(F.nanvl(F.col(amount).cast("double"), F.lit(None).cast("double")), F.lit(0.0))
-    prepared = df.withColumns({"__step": step, "__start": F.lit(float(start)), _ROLE: F.lit(_DATA)} | ({_SLICE: slices.number()} if slices else {}))
-    cell = [*by, _SLICE] if slices else by
-
-    if slices:
-        in_cell = Window.partitionBy(*cell).orderBy(*order)
-        ends = prepared.select(*cell, "__step", _first_row(in_cell), _last_row(in_cell))
-        maps = ends.mapInArrow(_composed(low, high), _extended(ends, "shift", "bottom", "top")).filter("__last").drop("__step", "__first", "__last")
-        in_group = Window.partitionBy(*by).orderBy(_SLICE)
-        maps = maps.select("*", _first_row(in_group))
-        inherited = maps.mapInArrow(_handed_on(float(start)), _extended(maps, "__start")).select(*cell, "__start", F.lit(_CARRIED).alias(_ROLE))
-        prepared = prepared.drop("__start").unionByName(inherited, allowMissingColumns=True)
-
-    lined_up = prepared.select("*", _first_row(Window.partitionBy(*cell).orderBy(_ROLE, *order)))
-    replayed = lined_up.mapInArrow(_replayed(low, high), _extended(lined_up, "__balance"))
-    return replayed.filter(F.col(_ROLE) == _DATA).select(*[c for c in df.columns if c != name], F.col("__balance").alias(name))
-
-
-def _first_row(window) -> Column:
-    return F.lag(F.lit(1)).over(window).isNull().alias("__first")
-
-
-def _last_row(window) -> Column:
-    return F.lead(F.lit(1)).over(window).isNull().alias("__last")
+    in_range = Window.partitionBy(*cell).orderBy(*order)
 
+    def mapped(rows: DataFrame) -> DataFrame:
+        rows = ranges.number(rows.withColumn("__step", step), _RANGE).withColumn("__at", F.row_number().over(in_range))
+        extended = T.StructType([*rows.schema.fields, *[T.StructField(c, T.DoubleType()) for c in ("__shift", "__bottom", "__top")]])
+        return rows.mapInArrow(_composed(low, high), extended)
 
-def _extended(df: DataFrame, *doubles: str) -> T.StructType:
-    return T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in doubles]])
-
-
-def _lists(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
-    return zip(*[batch.column(c).to_pylist() for c in columns], strict=True)
-
-
-def _with(batch: pa.RecordBatch, **doubles: list[float]) -> pa.RecordBatch:
-    """The batch as it is, with more columns."""
-    added = [pa.array(v, pa.float64()) for v in doubles.values()]
-    return pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *doubles])
+    # Only keys and amounts of the groups across borders go through here.
+    needed = list(dict.fromkeys([*by, *[k.name for k in keys], amount, *ranges.ties]))
+    whole = mapped(ranges.across_borders(df.select(*needed))).groupBy(*cell).agg(F.max_by(F.struct("__shift", "__bottom", "__top"), "__at").alias("__map"))
+    before = F.sort_array(F.collect_list(F.struct(_RANGE, "__map")).over(_earlier(by)))
+    balance = F.aggregate(before, F.lit(float(start)), lambda b, x: F.least(x["__map"]["__top"], F.greatest(x["__map"]["__bottom"], b + x["__map"]["__shift"])))
+    carried = whole.select(*cell, balance.alias("__start"))
+    joined = _take_over(mapped(df), carried, by)
+    result = F.least(F.col("__top"), F.greatest(F.col("__bottom"), F.coalesce("__start", F.lit(float(start))) + F.col("__shift")))
+    return joined.select(*[c for c in df.columns if c != name], result.alias(name))
 
 
 def _composed(low: float, high: float):
-    """Per row, the map from the balance before its slice to the balance after the row."""
+    """Per row, the map from the balance before its range to the balance after the row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shift, bottom, top = 0.0, -math.inf, math.inf
+        carry: tuple[float, float, float] | None = None
         for batch in batches:
-            shifts, bottoms, tops = [], [], []
-            for first, step in _lists(batch, "__first", "__step"):
-                if first:
-                    shift, bottom, top = 0.0, -math.inf, math.inf
-                shift += step
-                bottom = min(high, max(low, bottom + step))
-                top = min(high, max(low, top + step))
-                shifts.append(shift)
-                bottoms.append(bottom)
-                tops.append(top)
-            yield _with(batch, shift=shifts, bottom=bottoms, top=tops)
-    return run
+            at = batch.column("__at").to_numpy()
+            shift = batch.column("__step").to_numpy().copy()
+            n = len(shift)
+            bottom, top = np.full(n, float(low)), np.full(n, float(high))
+            # Rows of this batch before each row in its range.
+            depth = np.minimum(np.arange(n), at - 1)
+            reach = 1
+            while reach <= depth.max(initial=0):
+                later = np.flatnonzero(depth >= reach)
+                s, b, t = shift[later - reach], bottom[later - reach], top[later - reach]
+                s2, b2, t2 = shift[later], bottom[later], top[later]
+                shift[later], bottom[later], top[later] = s + s2, np.minimum(t2, np.maximum(b2, b + s2)), np.minimum(t2, np.maximum(b2, t + s2))
+                reach *= 2
+            if carry is not None:
+                inside = np.flatnonzero(at - 1 > np.arange(n))
+                s, b, t = carry
+                s2, b2, t2 = shift[inside], bottom[inside], top[inside]
+                shift[inside], bottom[inside], top[inside] = s + s2, np.minimum(t2, np.maximum(b2, b + s2)), np.minimum(t2, np.maximum(b2, t + s2))
+            if n:
+                carry = shift[-1], bottom[-1], top[-1]
+            added = [pa.array(x, pa.float64()) for x in (shift, bottom, top)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "__shift", "__bottom", "__top"])
 
-
-def _handed_on(start: float):
-    """Per slice of a group, the balance it begins with."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        balance = start
-        for batch in batches:
-            out = []
-            for first, shift, bottom, top in _lists(batch, "__first", "shift", "bottom", "top"):
-                balance = start if first else balance
-                out.append(balance)
-                balance = min(top, max(bottom, balance + shift))
-            yield _with(batch, __start=out)
     return run
-
-
-def _replayed(low: float, high: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        balance = 0.0
-        for batch in batches:
-            out = []
-            for first, role, begin, step in _lists(batch, "__first", _ROLE, "__start", "__step"):
-                if first:
-                    balance = begin
-                if role == _DATA:
-                    balance = min(high, max(low, balance + step))
-                out.append(balance)
-            yield _with(batch, __balance=out)
-    return run
-
-
-def positions(df: DataFrame, order_by: str | Sequence[str | Key], name: str = "position", *, na_position: str = "default",
-              totals: dict[str, str] | None = None, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """1-based position of every row in a total order, and running totals over it.
-
-    The keys must identify a row. A large table is sorted by range partitions and written to the checkpoint
-    folder; what each partition adds is counted (one row per partition, so safe to broadcast) and put on top
-    of the row's place within its partition.
-    """
-    keys = require_order(df, order_by)
-    order = [k.column(na_position) for k in keys]
-    totals = totals or {}
-    if df.select(F.count("*")).first()[0] <= rows_per_slice:
-        w = Window.orderBy(*order)
-        so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumns({name: F.row_number().over(w).cast("long")}
-                              | {new: F.coalesce(F.sum(c).over(so_far), F.lit(0)) for new, c in totals.items()})
-
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
-    placed = cut_lineage(placed).withColumns({"__part": F.shiftright("__id", 33), "__at": F.col("__id").bitwiseAND((1 << 33) - 1)})
-    added = placed.groupBy("__part").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__s_{new}") for new, c in totals.items()])
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = added.select("__part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in added.columns if c != "__part"])
-    result = placed.join(F.broadcast(carried), "__part")
-    within = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return result.withColumns(
-        {name: F.col("__at") + F.col("__n") + 1}
-        | {new: F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(f"__s_{new}") for new, c in totals.items()}
-    ).select(*df.columns, name, *totals)

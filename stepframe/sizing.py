@@ -1,22 +1,16 @@
-"""Size checks: the shared folder, lineage cuts, and slices that keep one hot BY group off one task."""
+"""The shared folder, written intermediate tables, and numbers that grow with an order key."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 from collections.abc import Iterable
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stepframe.semantics import Key, StepError
-
-_FAR = 2**61
-
-# A window over at most this many rows may run in one task.
-ROWS_PER_SLICE = 4_000_000
+from stepframe.semantics import StepError
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -87,54 +81,3 @@ def ordinal(column: Column, data_type: T.DataType) -> Column | None:
     if isinstance(data_type, (T.DoubleType, T.FloatType, T.DecimalType)):
         return column.cast("double")
     return None
-
-
-@dataclass(frozen=True)
-class Slices:
-    """Equal-width ranges of the leading order key; `number()` grows along the requested order."""
-
-    key: Key
-    data_type: T.DataType
-    start: float
-    width: float
-
-    def number(self) -> Column:
-        value = ordinal(F.col(self.key.name), self.data_type)
-        cell = F.floor((value - F.lit(self.start)) / F.lit(float(self.width)))
-        if isinstance(self.data_type, (T.DoubleType, T.FloatType)):
-            cell = F.when(F.isnan(self.key.name), _FAR).otherwise(cell)
-        # Infinities and NaN share the outermost cells. NULL sorts first ascending and last descending: the lowest
-        # cell of all, before the sign flips.
-        bounded = F.greatest(F.least(cell, F.lit(_FAR)), F.lit(-_FAR))
-        cell = F.when(value.isNull(), -2 * _FAR).otherwise(bounded)
-        return -cell if self.key.descending else cell
-
-
-def plan_slices(df: DataFrame, key: Key, rows_per_slice: int = ROWS_PER_SLICE) -> Slices | None:
-    """None if the whole table fits one slice; otherwise ranges of the leading order key.
-
-    One aggregate over a single column (three scalars reach the driver). A BY group of any size is then at
-    most as large, per slice, as the table is in that range of the order key.
-    """
-    data_type = df.schema[key.name].dataType
-    value = ordinal(F.col(key.name), data_type)
-    if value is None:
-        rows = df.select(F.count("*")).first()[0]
-        if rows <= rows_per_slice:
-            return None
-        raise StepError(f"order key {key.name} is {data_type.simpleString()}: lead with a number, date or timestamp "
-                        "key so that large BY groups can be split")
-    finite = F.when(F.abs(value) < float("inf"), value)
-    rows, low, high = df.select(F.count("*"), F.min(finite), F.max(finite)).first()
-    if rows <= rows_per_slice or low is None or low == high:
-        return None
-    cells = -(-rows // rows_per_slice)
-    return Slices(key, data_type, low, (high - low) / cells)
-
-
-def slices_of_width(df: DataFrame, key: Key, width: float, start: float = 0.0) -> Slices:
-    """Slices given by the caller, without the sizing aggregate; width in days, microseconds or units."""
-    data_type = df.schema[key.name].dataType
-    if ordinal(F.col(key.name), data_type) is None or width <= 0:
-        raise StepError(f"cannot slice {key.name} ({data_type.simpleString()}) by width {width}")
-    return Slices(key, data_type, start, width)
