@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from stepframe.operators.combine import upsert
 from stepframe.operators.graph import reach
-from stepframe.operators.ordered import last_of_group, order_rank, positions, row_numbers
+from stepframe.operators.ordered import last_of_group, positions, row_numbers
+from stepframe.ranges import order_rank
 from stepframe.operators.step import band
 from stepframe.semantics import Key, by_keys, names_of
 from stepframe.sizing import cut_lineage

@@ -17,9 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stepframe.ranges import Ranges, plan_ranges
-from stepframe.semantics import Key, StepError, names_of, require_columns, require_order, same_keys
-from stepframe.sizing import ordinal
+from stepframe.ranges import Ranges, order_rank, plan_ranges
+from stepframe.semantics import Key, names_of, require_columns, require_order, same_keys
 
 _RANGE = "__range"
 
@@ -70,22 +69,6 @@ def _sum_type(kind: T.DataType) -> T.DataType:
     return T.DoubleType()
 
 
-def order_rank(df: DataFrame, keys: Sequence[Key]) -> Column:
-    """A struct that compares like the order keys do."""
-    parts = []
-    for key in keys:
-        if not key.descending:
-            parts.append(F.col(key.name))
-            continue
-        kind = df.schema[key.name].dataType
-        # A double would merge neighbouring decimals.
-        value = F.col(key.name) if isinstance(kind, T.DecimalType) else ordinal(F.col(key.name), kind)
-        if value is None:
-            raise StepError(f"descending key {key.name} must be a number, date or timestamp here")
-        parts.extend([F.col(key.name).isNull().cast("int"), -value])
-    return F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
-
-
 def _earlier(by: Sequence[str], rows: int | None = None):
     """The ranges of a group before the current one."""
     return Window.partitionBy(*by).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding if rows is None else -rows, -1)
@@ -147,19 +130,10 @@ def retain(
 
 def _summaries(rows: DataFrame, by: list[str], keys: list[Key], inputs: dict[str, tuple[str, str]]) -> DataFrame:
     """Each (group, range) folded to one row."""
-    cell = [*by, _RANGE]
     folded = [_fold(kind, F.col(i)).alias(i) for i, (_, kind) in inputs.items() if kind != "latest"]
-    ends = [i for i, (_, kind) in inputs.items() if kind == "latest"]
-    if ends and all(not k.descending or ordinal(F.col(k.name), rows.schema[k.name].dataType) is not None for k in keys):
-        rows = rows.withColumn("__rank", order_rank(rows, keys))
-        folded += [F.max_by(F.when(F.col(i).isNotNull(), F.col(i)), F.when(F.col(i).isNotNull(), F.col("__rank"))).alias(i) for i in ends]
-        ends = []
-    summaries = rows.groupBy(*cell).agg(F.count("*").alias("__rows"), *folded)
-    for i in ends:
-        # No number stands for a descending text key: take the last row of each cell as such.
-        last = last_of_group(rows.filter(F.col(i).isNotNull()).select(*cell, *[k.name for k in keys if k.name not in by], i), cell, keys)
-        summaries = same_keys(summaries, last.select(*cell, i), cell, "left")
-    return summaries
+    rank = order_rank(rows, keys)
+    folded += [F.max_by(i, F.when(F.col(i).isNotNull(), rank)).alias(i) for i, (_, kind) in inputs.items() if kind == "latest"]
+    return rows.groupBy(*by, _RANGE).agg(*folded)
 
 
 def row_numbers(df, by, order_by, name: str = "row_number", **options) -> DataFrame:
@@ -261,18 +235,24 @@ def sequence_ids(df, by, order_by, changes_of: str, name: str = "sequence_id", *
     require_columns(df, [*by, changes_of])
     ranges = ranges if isinstance(ranges, Ranges) else plan_ranges(df, by, keys, count=ranges)
 
-    def with_changes(rows: DataFrame) -> DataFrame:
-        marked = _lagged(rows.withColumn("__here", F.lit(1)), by, keys, {"__before": (changes_of, 1), "__had": ("__here", 1)}, ranges)
-        changed = F.when(F.col("__had").isNull() | ~F.col("__before").eqNullSafe(F.col(changes_of)), 1).otherwise(0).cast("long")
-        return marked.withColumn("__change", changed).drop("__here", "__before", "__had")
-
     cell = [*by, _RANGE]
-    per_range = with_changes(ranges.across_borders(df)).groupBy(*cell).agg(F.sum("__change").alias("__n"))
-    carried = per_range.select(*cell, F.sum("__n").over(_earlier(by)).alias("__from"))
-    so_far = Window.partitionBy(*cell).orderBy(*[k.column() for k in keys]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = with_changes(df).withColumn("__local", F.sum("__change").over(so_far))
+    in_range = Window.partitionBy(*cell).orderBy(*[k.column() for k in keys])
+
+    def with_changes(rows: DataFrame) -> DataFrame:
+        """Changes inside the range; its first row counts as none."""
+        rows = ranges.number(rows, _RANGE).withColumns({"__at": F.row_number().over(in_range), "__before": F.lag(changes_of).over(in_range)})
+        return rows.withColumn("__change", ((F.col("__at") > 1) & ~F.col("__before").eqNullSafe(F.col(changes_of))).cast("long")).drop("__before")
+
+    per_range = with_changes(ranges.across_borders(df)).groupBy(*cell).agg(
+        F.sum("__change").alias("__n"), F.min_by(changes_of, "__at").alias("__first"), F.max_by(changes_of, "__at").alias("__last"))
+    here = Window.partitionBy(*by).orderBy(_RANGE)
+    at_border = F.lag(F.lit(1)).over(here).isNotNull() & ~F.lag("__last").over(here).eqNullSafe(F.col("__first"))
+    per_range = per_range.withColumn("__border", at_border.cast("long"))
+    so_far = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = per_range.select(*cell, (F.coalesce(F.sum("__n").over(_earlier(by)), F.lit(0)) + F.sum("__border").over(so_far)).alias("__from"))
+    local = with_changes(df).withColumn("__local", F.sum("__change").over(in_range.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     joined = _take_over(local, carried, by)
-    return joined.withColumn(name, F.col("__local") + F.coalesce("__from", F.lit(0))).drop("__change", "__local", "__from", _RANGE)
+    return joined.withColumn(name, F.lit(1) + F.col("__local") + F.coalesce("__from", F.lit(0))).drop("__at", "__change", "__local", "__from", _RANGE)
 
 
 def capped_balance(df, by, order_by, amount: str, low: float, high: float, name: str = "balance", start: float = 0.0, *,
