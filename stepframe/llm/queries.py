@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepframe.llm import decontaminate, html_text, langid, lines, minhash, packing, quality, sharding, topk, toxicity, whitening
+from stepframe.llm import conversations, decontaminate, html_text, langid, lines, minhash, packing, quality, sharding, topk, toxicity, whitening
 from stepframe.plans.catalog import table
 from stepframe.sizing import cut_lineage
 
@@ -103,6 +103,10 @@ def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
                        F.element_at(explained, F.col("k") + 1).alias("explained"), F.lit(error).alias("identity_error"))
 
 
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair_damaged(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -115,5 +119,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 ORACLES: dict[str, str] = {"op5_exact_top_k": OP5_SQL}

@@ -11,6 +11,7 @@ COLUMNS = {
     "op6": ["doc_id", "n_shingles", "component_id", "kept"], "op7": ["doc_id", "held_out", "lang_pred", "score"],
     "op9": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"], "op10": ["doc_id", "held_out", "score", "predicted"],
     "op11": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
+    "op12": ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"],
 }
 
 
