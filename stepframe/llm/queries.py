@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepframe.llm import conversations, decontaminate, html_text, langid, lines, minhash, packing, quality, sharding, topk, toxicity, whitening
+from stepframe.llm import conversations, decontaminate, html_text, langid, lines, minhash, packing, quality, sharding, substrings, topk, toxicity, whitening
 from stepframe.plans.catalog import table
 from stepframe.sizing import cut_lineage
 
@@ -107,6 +107,11 @@ def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.repair_damaged(table(spark, folder, "conversations"))
 
 
+def op13_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substrings.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -120,5 +125,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_embedding_whitening": op11_embedding_whitening,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 ORACLES: dict[str, str] = {"op5_exact_top_k": OP5_SQL}

@@ -101,8 +101,8 @@ class Words:
         return mix((self.total[stop] - self.total[self.start]) * powers(_BASE_INVERSE, len(self.raw))[self.start])
 
 
-def word_windows(column: pa.Array, in_word: np.ndarray = IN_WORD) -> Iterator[Words]:
-    """Words as runs of the bytes for which `in_word` holds, window by window."""
+def word_windows(column: pa.Array, in_word: np.ndarray = IN_WORD, letters: np.ndarray = LOWER) -> Iterator[Words]:
+    """Words as runs of the bytes for which `in_word` holds, window by window; `letters` are the bytes as they are hashed."""
     data, offsets = utf8(column)
     for i, j, low, high in windows(data, offsets):
         raw = data[low:high]
@@ -117,15 +117,15 @@ def word_windows(column: pa.Array, in_word: np.ndarray = IN_WORD) -> Iterator[Wo
         last[inner - 1] = inside[inner - 1]
         start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
         total = np.zeros(high - low + 1, dtype=np.uint64)
-        np.cumsum((LOWER[raw].astype(np.uint64) + np.uint64(1)) * powers(_BASE, high - low), out=total[1:])
+        np.cumsum((letters[raw].astype(np.uint64) + np.uint64(1)) * powers(_BASE, high - low), out=total[1:])
         yield Words(i, j, raw, start, stop, np.searchsorted(start, edges), total, edges)
 
 
-def hash_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(column: pa.Array, letters: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word in order, and the number of words of each value."""
     counts = np.zeros(len(column), dtype=np.int64)
     parts = []
-    for w in word_windows(column):
+    for w in word_windows(column, letters=letters):
         parts.append(w.hashes())
         counts[w.first:w.end] += np.diff(w.bounds)
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), counts

@@ -12,6 +12,7 @@ COLUMNS = {
     "op9": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"], "op10": ["doc_id", "held_out", "score", "predicted"],
     "op11": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
     "op12": ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"],
+    "op13": ["doc_id", "n_words", "n_removed", "kept_sha256"],
 }
 
 
@@ -26,6 +27,6 @@ def test_query(spark, name):
         df.count()
 
 
-def test_eleven_queries():
+def test_all_dealt_queries():
     names = {x.split("_")[0] for x in queries()}
-    assert {f"op{n}" for n in range(1, 11)} | {"pipeline"} <= names
+    assert {f"op{n}" for n in range(1, 14)} | {"pipeline"} <= names
