@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,8 +16,8 @@ from stepframe.operators.ordered import positions
 from stepframe.semantics import StepError, is_missing, names_of, require_columns
 from stepframe.sizing import cut_lineage
 
-# `percentile` keeps up to this many values in memory, together over all groups.
-ROWS_IN_MEMORY = 1_000_000
+# Cells that a bracket is counted in, each round.
+_CELLS = 2048
 
 STATISTICS = ("n", "nmiss", "sum", "mean", "std", "min", "max", "median")
 
@@ -27,50 +28,65 @@ def _long(df: DataFrame, by: Sequence[str], variables: Sequence[str]) -> DataFra
     return df.select(*by, F.inline(pairs)).filter(F.col("value").isNotNull())
 
 
-def quantiles(df: DataFrame, by: str | Sequence[str], variables: str | Sequence[str], probabilities: Sequence[float], *,
-              accuracy: int = 10_000, rows_in_memory: int = ROWS_IN_MEMORY) -> DataFrame:
+def _cell(round_number: int) -> Column:
+    """The cell of a value in its bracket: of equal width by turns on the values and on their logarithms, so that neither a
+    far outlier nor a cluster takes many rounds. Grows with the value; infinities have cells of their own."""
+    def scaled(x: Column) -> Column:
+        # Halved, so that no difference of two finite values is infinite.
+        return x / 2 if round_number % 2 == 0 else F.signum(x) * F.log1p(F.abs(x) * 1e150)
+
+    value, low, high = F.col("value"), scaled(F.col("finite_low")), scaled(F.col("finite_high"))
+    place = F.when(high > low, F.floor((scaled(value) - low) / (high - low) * _CELLS)).otherwise(0)
+    return F.when(value == float("-inf"), -1).when(value == float("inf"), _CELLS + 1).otherwise(place)
+
+
+def _ends() -> list[Column]:
+    finite = F.when(F.abs("value") < float("inf"), F.col("value"))
+    return [F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.min(finite).alias("finite_low"), F.max(finite).alias("finite_high")]
+
+
+def quantiles(df: DataFrame, by: str | Sequence[str], variables: str | Sequence[str], probabilities: Sequence[float]) -> DataFrame:
     """Exact quantiles with linear interpolation: one row per (group, variable, p).
 
-    `percentile` keeps all distinct values of a group in one buffer, so it is used only if the whole table is
-    small. Else a bounded sketch brackets each wanted rank, everything below the bracket is counted, and only
-    the values inside it (about 8/accuracy of the group) are put in order.
+    Selection by counting. The ranks of all groups and variables lie in brackets (the smallest and largest value they can be);
+    a round counts each bracket's values in cells, in one map-side combined pass over all rows, and goes on with the cells
+    that hold a rank, until a bracket has one distinct value. No group is gathered or sorted; the brackets (at most two for each
+    group, variable and p) are broadcast if they are small.
     """
     by, variables = names_of(by), names_of(variables)
     require_columns(df, [*by, *variables])
-    long = _long(df, by, variables)
+    long = _long(df, by, variables).toDF(*(group := [f"__g{i}" for i in range(len(by))]), "variable", "value")
+    group.append("variable")
     wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-    group = [*by, "variable"]
-    if df.select(F.count("*")).first()[0] <= rows_in_memory:
-        exact = long.groupBy(*group).agg(F.percentile("value", wanted).alias("q"))
-        return exact.select(*group, F.inline(F.arrays_zip(wanted.alias("p"), F.col("q").alias("quantile")))).toDF(*group, "p", "quantile")
-
-    margin = 4.0 / accuracy
-    bounds = F.array(*[F.lit(min(1.0, max(0.0, p + m))) for p in probabilities for m in (-margin, margin)])
-    sketch = long.groupBy(*group).agg(F.count("*").alias("n"), F.percentile_approx("value", bounds, accuracy).alias("b"))
-    # The margin must span several ranks: in a group of few rows all values are looked at.
-    wide = F.col("n") > 10 * accuracy
-    targets = F.array(*[
-        F.struct(F.lit(float(p)).alias("p"), ((F.col("n") - 1) * p).alias("at"), F.when(wide, F.col("b")[2 * i]).otherwise(-math.inf).alias("low"),
-                 F.when(wide, F.col("b")[2 * i + 1]).otherwise(math.inf).alias("high"))
-        for i, p in enumerate(probabilities)
-    ])
-    sketch = sketch.select(*[F.col(c).alias(f"__t_{c}") for c in group], F.inline(targets))
-    same = [F.col(c).eqNullSafe(F.col(f"__t_{c}")) for c in group]
-    counted = (
-        long.join(sketch, same)
-        .filter(F.col("value") <= F.col("high"))
-        .groupBy(*group, "p", "at", F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value"))
-        .agg(F.count("*").alias("n"))
-    )
-    upto = Window.partitionBy(*group, "p").orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.withColumn("upto", F.sum("n").over(upto))
-    low_value = F.min(F.when(F.col("upto") >= F.floor("at") + 1, F.col("value")))
-    high_value = F.min(F.when(F.col("upto") >= F.ceil("at") + 1, F.col("value")))
-    found = ranked.groupBy(*group, "p", "at").agg(low_value.alias("a"), high_value.alias("b"))
-    # The sketch's error bound puts both ranks inside the bracket; never return a silent NULL if it did not.
-    missed = F.raise_error(F.lit("quantiles: a rank fell outside its bracket")).cast("double")
-    found = found.withColumns({c: F.coalesce(F.col(c), missed) for c in ("a", "b")})
-    return found.select(*group, "p", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("quantile"))
+    spans = cut_lineage(long.groupBy(*group).agg(*_ends()))
+    at = F.transform(wanted, lambda p: (F.col("n") - 1) * p)
+    ranks = F.array_distinct(F.concat(F.transform(at, lambda r: F.floor(r)), F.transform(at, lambda r: F.ceil(r))))
+    bracket = ["low", "high", "finite_low", "finite_high"]
+    open_ones = spans.select(*group, *bracket, F.transform(ranks, lambda r: F.struct(r.alias("rank"), r.alias("rest"))).alias("ranks"))
+    found, round_number = [], 0
+    while True:
+        seen = Observation()
+        state = cut_lineage(open_ones.observe(seen, F.count_if(F.col("low") < F.col("high")).alias("open")))
+        found.append(state.where(F.col("low") == F.col("high")).select(*group, F.col("low").alias("value"), "ranks"))
+        if not seen.get["open"]:
+            break
+        wide = state.where(F.col("low") < F.col("high")).select(*[F.col(c).alias(f"__t{c}") for c in group], *bracket, "ranks")
+        hits = long.join(wide, [*[F.col(c).eqNullSafe(F.col(f"__t{c}")) for c in group], F.col("value").between(F.col("low"), F.col("high"))])
+        cells = hits.groupBy(*group, *[F.col(c).alias(f"__{c}") for c in bracket], "ranks", _cell(round_number).alias("cell")).agg(*_ends())
+        # A bracket has some thousand cells at most.
+        before = Window.partitionBy(*group, "__low").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+        placed = cells.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        inside = F.filter("ranks", lambda r: (r["rest"] >= F.col("before")) & (r["rest"] < F.col("before") + F.col("n")))
+        kept = F.transform(inside, lambda r: F.struct(r["rank"].alias("rank"), (r["rest"] - F.col("before")).alias("rest")))
+        open_ones = placed.select(*group, *bracket, kept.alias("ranks")).where(F.size("ranks") > 0)
+        round_number += 1
+    values = reduce(DataFrame.unionByName, found).select(*[F.col(c).alias(f"__v{c}") for c in group], F.explode("ranks.rank").alias("rank"), "value")
+    values = values.groupBy(*[f"__v{c}" for c in group]).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at_rank"))
+    joined = spans.select(*group, "n").join(values, [F.col(c).eqNullSafe(F.col(f"__v{c}")) for c in group])
+    each = joined.select(*group, "at_rank", F.explode(F.transform(wanted, lambda p: F.struct(p.alias("p"), ((F.col("n") - 1) * p).alias("at")))).alias("x"))
+    low, high = F.col("at_rank")[F.floor("x.at")], F.col("at_rank")[F.ceil("x.at")]
+    # Equal ends are their own interpolation, infinite ones too.
+    return each.select(*group, F.col("x.p").alias("p"), F.when(low == high, low).otherwise(low + (high - low) * (F.col("x.at") - F.floor("x.at"))).alias("quantile")).toDF(*by, "variable", "p", "quantile")
 
 
 def _statistic(df: DataFrame, statistic: str, variable: str) -> Column:
@@ -79,11 +95,11 @@ def _statistic(df: DataFrame, statistic: str, variable: str) -> Column:
         return F.count("*") - F.count(value)
     if statistic == "sum":
         return F.coalesce(F.sum(value), F.lit(0.0))
-    return {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "median": F.median}[statistic](value)
+    return {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}[statistic](value)
 
 
 def means(df: DataFrame, variables: str | Sequence[str], class_vars: str | Sequence[str] = (), statistics: Sequence[str] = STATISTICS, *,
-          missing: bool = False, rows_in_memory: int = ROWS_IN_MEMORY) -> DataFrame:
+          missing: bool = False) -> DataFrame:
     """CLASS x VAR x statistics, one row per class level, columns `<stat>_<var>`.
 
     Rows with a missing class level are left out unless `missing`. Without CLASS there is one row per variable.
@@ -95,11 +111,10 @@ def means(df: DataFrame, variables: str | Sequence[str], class_vars: str | Seque
         raise StepError(f"unknown statistics {unknown}; known: {STATISTICS}")
     if class_vars and not missing:
         df = df.dropna(subset=class_vars)
-    in_memory = "median" not in statistics or df.select(F.count("*")).first()[0] <= rows_in_memory
-    simple = [s for s in statistics if in_memory or s != "median"]
+    simple = [s for s in statistics if s != "median"]
     table = df.groupBy(*class_vars).agg(*[_statistic(df, s, v).alias(f"{s}_{v}") for v in variables for s in simple] or [F.count("*").alias("__n")])
-    if not in_memory:
-        medians = quantiles(df, class_vars, variables, [0.5], rows_in_memory=rows_in_memory)
+    if "median" in statistics:
+        medians = quantiles(df, class_vars, variables, [0.5])
         wide = medians.groupBy(*[F.col(c).alias(f"__m_{c}") for c in class_vars]).agg(
             *[F.max(F.when(F.col("variable") == v, F.col("quantile"))).alias(f"median_{v}") for v in variables])
         same = [F.col(c).eqNullSafe(F.col(f"__m_{c}")) for c in class_vars]

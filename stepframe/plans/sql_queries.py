@@ -318,8 +318,7 @@ UNION ALL SELECT l_returnflag, 'l_extendedprice', 0.05, round(quantile_cont(l_ex
 UNION ALL SELECT l_returnflag, 'l_extendedprice', 0.5, round(quantile_cont(l_extendedprice, 0.5), 4) FROM lineitem GROUP BY 1
 UNION ALL SELECT l_returnflag, 'l_extendedprice', 0.99, round(quantile_cont(l_extendedprice, 0.99), 4) FROM lineitem GROUP BY 1""")
 def pm_1b(spark, d):
-    # The bracket form for large tables, also on a small one.
-    q = summaries.quantiles(table(spark, d, "lineitem"), "l_returnflag", "l_quantity l_extendedprice", [0.05, 0.5, 0.99], rows_in_memory=0)
+    q = summaries.quantiles(table(spark, d, "lineitem"), "l_returnflag", "l_quantity l_extendedprice", [0.05, 0.5, 0.99])
     return q.withColumn("quantile", F.round("quantile", 4))
 
 

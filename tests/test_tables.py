@@ -154,7 +154,7 @@ def test_exact_quantiles_of_large_tables(spark):
     data = [("hot" if rng.random() < 0.8 else rng.choice(["a", None]), rng.choice([rng.gauss(0, 1), 1e9 * rng.random(), 7.0]), rng.randrange(5)) for _ in range(6000)]
     df = spark.createDataFrame(data, "g string, x double, y int").repartition(6)
     ps = [0.0, 0.1, 0.5, 0.9, 1.0]
-    got = {(r.g, r.variable, r.p): r.quantile for r in summaries.quantiles(df, "g", "x y", ps, accuracy=100, rows_in_memory=0).collect()}
+    got = {(r.g, r.variable, r.p): r.quantile for r in summaries.quantiles(df, "g", "x y", ps).collect()}
     for g in ("hot", "a", None):
         for i, v in ((1, "x"), (2, "y")):
             column = [r[i] for r in data if r[0] == g]
@@ -163,16 +163,39 @@ def test_exact_quantiles_of_large_tables(spark):
     assert len(got) == 30
 
 
-@pytest.mark.parametrize("rows_in_memory", [0, 10**6])
-def test_means(spark, rows_in_memory):
+def test_quantiles_of_uneven_values(spark):
+    rng = random.Random(8)
+    columns = {
+        "constant": [7.0] * 3000,
+        "outlier": [1e300, -1e300, *[rng.random() for _ in range(2998)]],
+        "scales": [rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300) for _ in range(3000)],
+        "close": [1.0 + k * 2**-52 for k in range(3000)],
+        "infinite": [float("inf")] * 1000 + [float("-inf")] * 900 + [rng.random() for _ in range(1100)],
+        "tiny": [0.0, 5e-324, 1e-323, -5e-324] * 750,
+        "widest": [1.7e308, -1.7e308, 1e308, 0.0] * 750,
+    }
+    ps = [0.0, 0.001, 0.25, 0.5, 0.75, 0.999, 1.0]
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns)).repartition(7)
+    got = {(r.variable, r.p): r.quantile for r in summaries.quantiles(df, (), list(columns), ps).collect()}
+    for name, values in columns.items():
+        values = sorted(values)
+        for p in ps:
+            at = (len(values) - 1) * p
+            low, high = values[math.floor(at)], values[math.ceil(at)]
+            want = low if low == high else low + (high - low) * (at - math.floor(at))
+            assert got[name, p] == want or got[name, p] == pytest.approx(want, rel=1e-12), (name, p)
+    assert summaries.quantiles(df.limit(0), (), "constant", ps).count() == 0
+
+
+def test_means(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", None), ("a", float("nan")), ("b", 5.0), (None, 9.0)], "g string, x double")
-    got = {r.g: r for r in summaries.means(df, "x", "g", rows_in_memory=rows_in_memory).collect()}
+    got = {r.g: r for r in summaries.means(df, "x", "g").collect()}
     assert set(got) == {"a", "b"}
     a = got["a"]
     assert (a.n_x, a.nmiss_x, a.sum_x, a.mean_x, a.min_x, a.max_x, a.median_x) == (2, 2, 3.0, 1.5, 1.0, 2.0, 1.5)
     assert a.std_x == pytest.approx(statistics.stdev([1.0, 2.0])) and got["b"].std_x is None
-    assert {r.g for r in summaries.means(df, "x", "g", missing=True, rows_in_memory=rows_in_memory).collect()} == {"a", "b", None}
-    overall = summaries.means(df, "x", rows_in_memory=rows_in_memory).first()
+    assert {r.g for r in summaries.means(df, "x", "g", missing=True).collect()} == {"a", "b", None}
+    overall = summaries.means(df, "x").first()
     assert (overall.variable, overall.n, overall.nmiss, overall.median) == ("x", 4, 2, 3.5)
 
 
