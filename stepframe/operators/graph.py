@@ -1,7 +1,8 @@
 """Graph walks as rounds of DataFrame joins: reach, levels, roots and cycles.
 
-The SQL form of recursion lists paths, which explodes on diamonds and never ends on cycles. Here a round
-works on distinct nodes only, and each round's result is written to the shared folder.
+The SQL form of recursion lists paths, which explodes on diamonds and never ends on cycles. Here a round works on distinct
+nodes only and is one job: its result is written to the shared folder, and the same write counts what the next round needs.
+Edges are written once, in buckets of the node they are followed from, so a round shuffles its frontier and not the graph.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepframe.semantics import StepError
-from stepframe.sizing import cut_lineage
+from stepframe.sizing import cut_bucketed, cut_counting, cut_lineage
 
 _COMPACT_EVERY = 8
 
@@ -27,14 +28,15 @@ def _known(parts: list[DataFrame]) -> list[DataFrame]:
 def reach(edges: DataFrame, seeds: DataFrame, *, backwards: bool = False) -> DataFrame:
     """Distinct nodes (`node`, `distance`) reachable along `src -> dst` from the seed column `node`, seeds included."""
     steps = edges.select(F.col("dst" if backwards else "src").alias("node"), F.col("src" if backwards else "dst").alias("next")).distinct()
-    latest = cut_lineage(seeds.select("node").distinct().withColumn("distance", F.lit(0)))
+    steps = cut_bucketed(steps.where(F.col("node").isNotNull()), "node")
+    latest, new = cut_counting(seeds.select("node").distinct().withColumn("distance", F.lit(0)), rows=F.lit(True))
     parts, distance = [latest], 0
-    while not latest.isEmpty():
+    while new["rows"]:
         distance += 1
         parts = _known(parts)
         seen = reduce(DataFrame.unionByName, parts).select("node")
         found = latest.join(steps, "node").select(F.col("next").alias("node")).distinct()
-        latest = cut_lineage(found.join(seen, "node", "left_anti").withColumn("distance", F.lit(distance)))
+        latest, new = cut_counting(found.join(seen, "node", "left_anti").withColumn("distance", F.lit(distance)), rows=F.lit(True))
         parts.append(latest)
     return reduce(DataFrame.unionByName, parts)
 
@@ -43,88 +45,141 @@ def peel(nodes: DataFrame, edges: DataFrame, *, backwards: bool = False) -> tupl
     """Take off nodes without an incoming edge, round by round.
 
     Returns (node, level) of all nodes taken, the nodes left and the edges left; both are empty iff there is
-    no cycle. The level of a node is the length of the longest path to it.
+    no cycle. The level of a node is the length of the longest path to it. Each edge carries how many edges its target
+    has; a round counts down the targets of the nodes just taken, and keeps the counts of those that still wait.
     """
     source, target = ("dst", "src") if backwards else ("src", "dst")
     nodes = nodes.select("node").distinct()
     edges = cut_lineage(edges.filter(F.col("src") != F.col("dst")).select("src", "dst").distinct())
-    targets = edges.select(F.col(target).alias("node")).distinct()
-    free = cut_lineage(nodes.join(targets, "node", "left_anti").withColumn("level", F.lit(0)))
-    parts = [free]
-    level = 0
-    while not free.isEmpty():
+    needs = edges.groupBy(target).agg(F.count("*").alias("need"))
+    carried = cut_bucketed(edges.join(needs, target).select(F.col(source).alias("node"), F.col(target).alias("next"), "need"), "node")
+    free, new = cut_counting(nodes.join(needs.select(F.col(target).alias("node")), "node", "left_anti").withColumn("level", F.lit(0)), rows=F.lit(True))
+    parts, waiting, level = [free], None, 0
+    while new["rows"]:
         level += 1
-        parts = _known(parts)
-        taken = reduce(DataFrame.unionByName, parts).select(F.col("node").alias(source))
-        # Only the edges into this round's candidates are looked at; the graph itself is never written again.
-        fed = edges.join(free.select(F.col("node").alias(source)), source, "left_semi").select(target).distinct()
-        blocked = edges.join(fed, target, "left_semi").join(taken, source, "left_anti").select(target).distinct()
-        free = cut_lineage(fed.join(blocked, target, "left_anti").select(F.col(target).alias("node"), F.lit(level).alias("level")))
-        parts.append(free)
-    taken = reduce(DataFrame.unionByName, parts)
+        met = free.join(carried, "node").select(F.col("next").alias("node"), "need", F.lit(1).cast("long").alias("got"))
+        met = met if waiting is None else met.unionByName(waiting)
+        state, new = cut_counting(met.groupBy("node", "need").agg(F.sum("got").alias("got")), rows=F.col("need") == F.col("got"))
+        free = state.where("need = got").select("node", F.lit(level).alias("level"))
+        waiting = state.where("need > got")
+        parts = _known([*parts, free])
+    taken = cut_lineage(reduce(DataFrame.unionByName, parts))
     rest = cut_lineage(edges.join(taken.select(F.col("node").alias(source)), source, "left_anti"))
     return taken, cut_lineage(nodes.join(taken, "node", "left_anti")), rest
 
 
 def roots(parents: DataFrame) -> DataFrame:
-    """(`node`, `parent` or NULL) -> (`node`, `root`, `depth`) by pointer doubling: log2(depth) joins.
+    """(`node`, `parent` or NULL) -> (`node`, `root`, `depth`) by pointer doubling: log2(depth) joins, one job each.
 
     A parent that is not in the table ends the walk. A circle of parents is an error that names one of its nodes.
     """
     known = parents.select(F.col("node").alias("parent"))
     jumps = parents.select("node", "parent").join(known, "parent", "left_semi").select("node", F.col("parent").alias("jump"))
-    state = cut_lineage(parents.select("node").join(jumps, "node", "left").select(
-        "node", F.coalesce("jump", "node").alias("root"), F.when(F.col("jump").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    state, all_rows = cut_counting(parents.select("node").join(jumps, "node", "left").select(
+        "node", F.coalesce("jump", "node").alias("root"), F.when(F.col("jump").isNull(), 0).otherwise(1).cast("long").alias("depth")), rows=F.lit(True))
     # Doubling reaches every root in this many rounds, for no path is longer than the table.
-    rounds = max(state.count(), 1).bit_length() + 1
-    for left in reversed(range(rounds + 1)):
+    for left in reversed(range(all_rows["rows"].bit_length() + 2)):
         ahead = state.filter("depth > 0").select(F.col("node").alias("root"), F.col("root").alias("further"), F.col("depth").alias("more"))
-        moved = cut_lineage(state.join(ahead, "root", "left").select(
-            "node", F.coalesce("further", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("more").isNotNull().alias("moved")))
-        if moved.filter("moved").isEmpty():
+        moved, new = cut_counting(state.join(ahead, "root", "left").select(
+            "node", F.coalesce("further", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("more").isNotNull().alias("moved")),
+            moved=F.col("moved"))
+        if not new["moved"]:
             return moved.drop("moved")
         if not left:
             raise StepError(f"the parents of {moved.filter('moved').first()['root']!r} form a circle")
         state = moved.drop("moved")
 
 
+def _pass_chains(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Edges that pass over chains of nodes with one edge in and one out; (node, before, after) of the nodes passed over,
+    (node, part) of rings that are nothing but such nodes. None if there are no such nodes.
+
+    A node passed over lies on a cycle iff the chain's two ends are in one part.
+    """
+    ins = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("ins"), F.min("src").alias("before"))
+    outs = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("outs"), F.min("dst").alias("after"))
+    links, found = cut_counting(ins.where("ins = 1").join(outs.where("outs = 1"), "node").select("node", "before", "after"), rows=F.lit(True))
+    if not found["rows"]:
+        return None
+    inner = links.select(F.col("node").alias("before"))
+    follows = links.join(inner, "before", "left_semi").select("node", F.col("before").alias("jump"))
+    state = cut_lineage(links.select("node").join(follows, "node", "left").select(
+        "node", F.coalesce("jump", "node").alias("head"), F.col("jump").isNull().alias("ended"), F.coalesce(F.least("jump", "node"), "node").alias("least")))
+    for _ in range(found["rows"].bit_length() + 1):
+        ahead = state.select(F.col("node").alias("head"), F.col("head").alias("further"), F.col("ended").alias("there"), F.col("least").alias("lower"))
+        state, new = cut_counting(state.where("NOT ended").join(ahead, "head").select(
+            "node", F.col("further").alias("head"), F.col("there").alias("ended"), F.least("least", "lower").alias("least")).unionByName(state.where("ended")),
+            open=~F.col("ended"))
+        if not new["open"]:
+            break
+    # What has not ended after so many doublings goes round; by then the least node of the ring is known.
+    rings = state.where("NOT ended").select("node", F.col("least").alias("part"))
+    placed = state.where("ended").select("node", "head").join(links, "node")
+    ends = placed.groupBy("head").agg(F.max(F.when(F.col("node") == F.col("head"), F.col("before"))).alias("first"), F.count("*").alias("n"))
+    last = placed.join(inner.select(F.col("before").alias("after")), "after", "left_anti").select("head", F.col("after").alias("last"))
+    chains = cut_lineage(ends.join(last, "head").select("head", "first", "last"))
+    passed = cut_lineage(placed.select("node", "head").join(chains, "head").select("node", F.col("first").alias("before"), F.col("last").alias("after")))
+    gone = links.select("node")
+    kept = edges.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+    over = chains.where(F.col("first") != F.col("last")).select(F.col("first").alias("src"), F.col("last").alias("dst"))
+    return cut_lineage(kept.unionByName(over).distinct()), passed, cut_lineage(rings)
+
+
+def _found_parts(left: DataFrame, rest: DataFrame) -> DataFrame:
+    """Some strongly connected parts: nodes take the highest-ranking node that reaches them as colour; those the colour's
+    own node can be reached from, inside the colour, are its part. Ranks are hashes, so that many parts are found at once."""
+    colours = cut_lineage(left.withColumn("colour", F.struct(F.xxhash64("node").alias("rank"), "node")))
+    edges = cut_bucketed(rest, "src")
+    fresh, new = colours, {"rows": 1}
+    while new["rows"]:
+        offered = fresh.withColumnRenamed("node", "src").join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("offer"))
+        state, new = cut_counting(colours.join(offered, "node", "left").select(
+            "node", F.greatest("colour", "offer").alias("colour"), F.coalesce(F.col("offer") > F.col("colour"), F.lit(False)).alias("changed")), rows=F.col("changed"))
+        colours, fresh = state.drop("changed"), state.where("changed").drop("changed")
+    named = colours.select("node", F.col("colour.node").alias("part"))
+    inside = (rest.join(named.select(F.col("node").alias("src"), F.col("part").alias("p1")), "src")
+              .join(named.select(F.col("node").alias("dst"), F.col("part").alias("p2")), "dst").filter("p1 = p2").select("src", "dst"))
+    members = reach(cut_lineage(inside), named.where(F.col("node") == F.col("part")).select("node"), backwards=True).select("node")
+    return cut_lineage(members.join(named, "node"))
+
+
 def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes that can reach themselves, with the smallest node of their cycle group: (`node`, `cycle`).
 
-    Peeling from both ends removes what lies on no cycle. In what is left, nodes take the largest node that
-    reaches them as colour; those a colour's own node can be reached from form one strongly connected part.
+    Chains are passed over (pointer doubling), so rings and long tails of any length take few rounds; peeling from both
+    ends removes what lies on no cycle; parts of what is left are found from pivots all over the graph at once and taken
+    out, until nothing is left. Then the nodes passed over join the part of their two ends.
     """
     own = edges.filter(F.col("src") == F.col("dst")).select(F.col("src").alias("node")).distinct()
-    found = [own.withColumn("part", F.col("node"))]
-    _, left, rest = peel(nodes, edges)
-    _, left, rest = peel(left, rest, backwards=True)
-    while not rest.isEmpty():
-        colours = cut_lineage(left.withColumn("colour", F.col("node")))
-        while True:
-            offered = rest.join(colours.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("offer"))
-            changed = cut_lineage(colours.join(offered, "node", "left").select(
-                "node", F.greatest("colour", "offer").alias("colour"), (F.coalesce("offer", "colour") > F.col("colour")).alias("changed")))
-            colours = changed.drop("changed")
-            if changed.filter("changed").isEmpty():
-                break
-        inside = cut_lineage(
-            rest.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("c1")), "src")
-            .join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst")
-            .filter("c1 = c2").select("src", "dst"))
-        heads = colours.filter("node = colour").select("node")
-        members = reach(inside, heads, backwards=True).select("node")
-        parts = cut_lineage(members.join(colours, "node").select("node", F.col("colour").alias("part")))
-        sizes = parts.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1")
-        found.append(cut_lineage(parts.join(sizes, "part", "left_semi").select("node", "part")))
-        left = left.join(parts, "node", "left_anti")
-        rest = rest.join(parts.select(F.col("node").alias("src")), "src", "left_anti").join(parts.select(F.col("node").alias("dst")), "dst", "left_anti")
+    left, rest = nodes.select("node").distinct(), cut_lineage(edges.filter(F.col("src") != F.col("dst")).select("src", "dst").distinct())
+    found: list[DataFrame] = []
+    passed: list[DataFrame] = []
+    while True:
+        short = _pass_chains(rest)
+        if short is not None:
+            rest, over, rings = short
+            passed.append(over)
+            found.append(rings)
+            left = left.join(over.select("node").unionByName(rings.select("node")), "node", "left_anti")
         _, left, rest = peel(left, rest)
         _, left, rest = peel(left, rest, backwards=True)
+        if rest.isEmpty():
+            break
+        parts = _found_parts(left, rest)
+        found.append(parts.join(parts.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1"), "part", "left_semi").select("node", "part"))
+        left = left.join(parts, "node", "left_anti")
+        rest = cut_lineage(rest.join(parts.select(F.col("node").alias("src")), "src", "left_anti").join(parts.select(F.col("node").alias("dst")), "dst", "left_anti"))
+    members = reduce(DataFrame.unionByName, found) if found else own.withColumn("part", F.col("node")).limit(0)
+    for over in reversed(passed):
+        members = cut_lineage(members)
+        part = lambda end: members.select(F.col("node").alias(end), F.col("part").alias(f"part_{end}"))
+        ends = over.join(part("before"), "before", "left").join(part("after"), "after", "left")
+        # A chain from a node back to itself makes a part of the two, if the node has none.
+        back = ends.where(F.col("before") == F.col("after")).select("node", "before", F.coalesce("part_before", "before").alias("part"))
+        anew = back.select(F.explode(F.array("node", "before")).alias("node"), "part").distinct()
+        closed = ends.where((F.col("before") != F.col("after")) & (F.col("part_before") == F.col("part_after"))).select("node", F.col("part_before").alias("part"))
+        members = members.unionByName(closed).unionByName(anew).distinct()
+    members = cut_lineage(members)
+    named = members.join(members.groupBy("part").agg(F.min("node").alias("cycle")), "part").select("node", "cycle")
     # A node with an edge to itself may also lie on a longer cycle: the longer one names it.
-    members = reduce(DataFrame.unionByName, found[1:]) if len(found) > 1 else None
-    if members is None:
-        return found[0].select("node", F.col("part").alias("cycle"))
-    names = members.groupBy("part").agg(F.min("node").alias("cycle"))
-    named = members.join(names, "part").select("node", "cycle")
-    alone = found[0].join(named, "node", "left_anti").select("node", F.col("part").alias("cycle"))
-    return named.unionByName(alone)
+    return named.unionByName(own.join(named, "node", "left_anti").select("node", F.col("node").alias("cycle")))

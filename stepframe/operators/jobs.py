@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepframe.operators.combine import upsert
-from stepframe.operators.graph import reach
+from stepframe.operators.graph import roots
 from stepframe.operators.ordered import last_of_group, positions, row_numbers
 from stepframe.operators.step import band
 from stepframe.ranges import order_rank
@@ -61,9 +61,10 @@ def changelog_positions(revisions: DataFrame, name: str = "place", **options) ->
 
 def version_history(jobs: DataFrame, job_id) -> DataFrame:
     """All versions of a job's family, from its root down, oldest first, with `is_current`."""
-    edges = jobs.filter(F.col("parent_job_id").isNotNull()).select(F.col("parent_job_id").alias("src"), F.col("id").alias("dst"))
-    start = jobs.filter(F.col("id") == job_id).select(F.col("id").alias("node"))
-    family = reach(edges, reach(edges, start, backwards=True)).select(F.col("node").alias("id"))
+    tree = roots(jobs.select(F.col("id").alias("node"), F.col("parent_job_id").alias("parent")))
+    # One root.
+    own = F.broadcast(tree.filter(F.col("node") == job_id).select("root"))
+    family = tree.join(own, "root", "left_semi").select(F.col("node").alias("id"))
     return jobs.join(family, "id", "left_semi").withColumn("is_current", F.col("id") == job_id)
 
 

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,6 +66,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_counting(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """Written rows and, from the same job, how many of them meet each condition."""
+    seen = Observation()
+    written = cut_lineage(df.observe(seen, *[F.count_if(c).alias(name) for name, c in counts.items()]))
+    return written, {name: (seen.get or {}).get(name) or 0 for name in counts}
+
+
+def cut_bucketed(df: DataFrame, column: str) -> DataFrame:
+    """Written rows in as many buckets of a column as there are shuffle partitions: a join on it moves only the other side.
+
+    The name in the catalog goes at once; the rows stay in the session's part of the shared folder.
+    """
+    spark = df.sparkSession
+    path, buckets = scratch_path(spark, "buckets"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"stepframe_{uuid.uuid4().hex}"
+    df.repartition(buckets, column).write.bucketBy(buckets, column).sortBy(column).option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    # The plan of `table` knows its files and buckets by now.
+    table.schema  # noqa: B018
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def ordinal(column: Column, data_type: T.DataType) -> Column | None:
     """A number that grows with the value, or None for a type without one."""
     if isinstance(data_type, T.DateType):

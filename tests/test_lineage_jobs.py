@@ -36,6 +36,19 @@ def test_cycles_are_strong_components(spark, seed):
     assert {r.node: r.cycle for r in got.collect()} == want
 
 
+def test_rings_tails_and_chains_take_few_rounds(spark):
+    ring = [(i, (i + 1) % 2000) for i in range(2000)]
+    tail = [(-i, -i - 1) for i in range(1, 700)] + [(5, -1)]
+    # 3000 <-> a chain of 40 back to it; 4000 and 4001 joined by two chains one way and one back; a chain between two parts.
+    loop = [(3000 + i, 3000 + (i + 1) % 41) for i in range(41)]
+    double = [(4000, 4100), (4100, 4101), (4101, 4001), (4000, 4200), (4200, 4001), (4001, 4300), (4300, 4000), (3000, 4500), (4500, 4000)]
+    edges = ring + tail + loop + double + [(9000, 9000)]
+    nodes = sorted({n for e in edges for n in e} | {9999})
+    got = {r.node: r.cycle for r in graph.cycles(spark.createDataFrame([(n,) for n in nodes], "node int"), spark.createDataFrame(edges, "src int, dst int")).collect()}
+    want = {i: 0 for i in range(2000)} | {3000 + i: 3000 for i in range(41)} | {n: 4000 for n in (4000, 4001, 4100, 4101, 4200, 4300)} | {9000: 9000}
+    assert got == want
+
+
 def test_reach_and_distance(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (1, 3), (3, 4), (9, 1)], "src int, dst int")
     seed = spark.createDataFrame([(1,)], "node int")
