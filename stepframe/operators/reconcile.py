@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stepframe.operators.digests import differing_hashes, differing_ranges, range_of
 from stepframe.operators.ordered import first_of_group
 from stepframe.operators.summaries import quantiles
 from stepframe.semantics import StepError, names_of, numeric_columns, require_columns, same_keys, value_class
@@ -252,13 +253,26 @@ def duplicate_keys(df: DataFrame, keys: str | Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n_rows")).filter(F.col("n_rows") > 1)
 
 
-def hash_diff(ref: DataFrame, actual: DataFrame, keys: str | Sequence[str], values: Sequence[str] | None = None) -> DataFrame:
+def _opened(ref: DataFrame, actual: DataFrame, keys: Sequence[str], values: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Of both sides the rows in ranges of keys whose digests differ; equal tables cost one scan and shuffle no rows."""
+    key_hash = row_hash(_forms(ref, actual, keys))
+    hashed = [df.select(key_hash.alias("__k"), F.xxhash64(key_hash, row_hash(_forms(ref, actual, values))).alias("__r")) for df in (ref, actual)]
+    bits, ranges = differing_ranges(*hashed)
+    # At most 2**18 numbers.
+    return tuple(df.join(F.broadcast(ranges), range_of(key_hash, bits) == F.col("range"), "left_semi") for df in (ref, actual))
+
+
+def hash_diff(ref: DataFrame, actual: DataFrame, keys: str | Sequence[str], values: Sequence[str] | None = None, *, unique_keys: bool = False) -> DataFrame:
     """Keys whose rows differ: `missing` in actual, `extra` in actual, `changed`, or `duplicate` on a side.
 
-    Only (key, side, hash) is shuffled, once, and combined per key before that.
+    Only (key, side, hash) is shuffled, once, and combined per key before that. Where the keys are known to be unique
+    (`unique_keys`), digests of key ranges are compared first and only ranges that differ are looked into; a key that is
+    repeated alike on both sides is then no difference.
     """
     keys = names_of(keys)
     values = _shared_values(ref, actual, keys, values)
+    if unique_keys:
+        ref, actual = _opened(ref, actual, keys, values)
     sides = [df.select(*keys, F.lit(s).alias("__side"), row_hash(_forms(ref, actual, values)).alias("__h")) for s, df in ((_REF, ref), (_ACT, actual))]
     counted = sides[0].unionByName(sides[1]).groupBy(*keys).agg(
         *[F.count(_on(s, F.lit(1))).alias(f"{s}_n") for s in (_REF, _ACT)],
@@ -278,32 +292,44 @@ def one_sided_keys(ref: DataFrame, actual: DataFrame, keys: str | Sequence[str])
     keys = names_of(keys)
     require_columns(ref, keys, "key")
     require_columns(actual, keys, "key")
+    ref, actual = _opened(ref, actual, keys, [])
     sides = _tagged(ref, actual, [F.col(k) for k in keys]).groupBy(*keys).agg(*[F.count(_on(s, F.lit(1))).alias(s) for s in (_REF, _ACT)])
     found = F.when(F.col(_ACT) == 0, "ref_only").when(F.col(_REF) == 0, "actual_only")
     return sides.select(*keys, found.alias("side")).filter(F.col("side").isNotNull())
 
 
-def multiset_diff(ref: DataFrame, actual: DataFrame) -> DataFrame:
-    """Rows whose number of copies differs: the row, its copies on each side. No key needed."""
+def multiset_diff(ref: DataFrame, actual: DataFrame, **options) -> DataFrame:
+    """Rows whose number of copies differs: the row, its copies on each side. No key needed.
+
+    The hashes of such rows come from the difference of two small tables of hash sums (`digests.differing_hashes`), and
+    the rows are read back by hash, so equal rows are not shuffled. If too many rows differ for that, all are grouped.
+    """
     if set(ref.columns) != set(actual.columns):
         raise StepError(f"different columns: {schema_differences(ref, actual)}")
     columns = ref.columns
-    counted = _tagged(ref, actual, [F.col(c) for c in columns]).groupBy(*columns).agg(
-        *[F.count(_on(s, F.lit(1))).alias(f"{s}_copies") for s in (_REF, _ACT)])
+    both = _tagged(ref, actual, [F.col(c) for c in columns])
+    # NULLs are skipped by the hash, so their places are hashed as well.
+    hashed = both.withColumn("__h", F.xxhash64(*columns, F.concat_ws("", *[F.col(c).isNull().cast("string") for c in columns])))
+    found = differing_hashes(hashed.where(F.col("__side") == _REF), hashed.where(F.col("__side") == _ACT), **options)
+    if found is not None:
+        # At most as many as the cells of the table.
+        wanted = ref.sparkSession.createDataFrame([(h,) for h in found], "__wanted long")
+        both = hashed.join(F.broadcast(wanted), F.col("__h") == F.col("__wanted"), "left_semi").drop("__h")
+    counted = both.groupBy(*columns).agg(*[F.count(_on(s, F.lit(1))).alias(f"{s}_copies") for s in (_REF, _ACT)])
     return counted.filter(F.col("ref_copies") != F.col("actual_copies"))
 
 
 def record_diff(ref: DataFrame, actual: DataFrame, keys: str | Sequence[str], values: Sequence[str] | None = None, *,
-                atol: float = 0.0, rtol: float = 0.0, allow_duplicates: bool = False) -> DataFrame:
+                atol: float = 0.0, rtol: float = 0.0, allow_duplicates: bool = False, unique_keys: bool = False) -> DataFrame:
     """Per differing cell of rows on both sides: key, column, both values as text, delta.
 
     A numeric cell differs when |ref - actual| > atol + rtol * |ref| or one side is missing. Rows are compared by
-    hash first. The changed keys are written to the shared folder, so that their real number decides whether the
+    hash first (with `unique_keys` by digests of key ranges before that). The changed keys are written to the shared folder, so that their real number decides whether the
     wide rows are shuffled at all, and only their values are read again and paired.
     """
     keys = names_of(keys)
     values = _shared_values(ref, actual, keys, values)
-    differences = hash_diff(ref, actual, keys, values)
+    differences = hash_diff(ref, actual, keys, values, unique_keys=unique_keys)
     if not allow_duplicates:
         differences = differences.withColumn("difference", F.when(
             F.col("difference") == "duplicate",

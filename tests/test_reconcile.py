@@ -136,3 +136,50 @@ def test_decimals_keep_all_digits(spark):
         assert rc.record_diff(*pair(*args), "k").count() == 1
     same = pair("2.50", "decimal(38,2)", "2.5", "decimal(38,30)")
     assert rc.hash_diff(*same, "k").count() == 0 and rc.record_diff(*same, "k").count() == 0
+
+
+def test_digests_open_only_what_differs(spark):
+    ref = spark.range(20_000).selectExpr("id AS k", "id * 3 AS v", "CAST(id AS STRING) AS t").repartition(6)
+    same = ref.repartition(3).withColumn("k", F.col("k").cast("int"))
+    assert rc.hash_diff(ref, same, "k", unique_keys=True).count() == 0
+    changed = ref.withColumn("v", F.when(F.col("k") == 777, 1).otherwise(F.col("v"))).where("k <> 5").unionByName(spark.sql("SELECT 99999L AS k, 1L AS v, 'x' AS t"))
+    got = {(r.k, r.difference) for r in rc.hash_diff(ref, changed, "k", unique_keys=True).collect()}
+    assert got == {(777, "changed"), (5, "missing"), (99999, "extra")} == {(r.k, r.difference) for r in rc.hash_diff(ref, changed, "k").collect()}
+    assert {(r.k, r.side) for r in rc.one_sided_keys(ref, changed, "k").collect()} == {(5, "ref_only"), (99999, "actual_only")}
+    assert [(r.k, r.column, r.actual_value) for r in rc.record_diff(ref, changed, "k", unique_keys=True).collect()] == [(777, "v", "1")]
+    everything = ref.withColumn("v", F.col("v") + 1)
+    assert rc.hash_diff(ref, everything, "k", unique_keys=True).count() == 20_000
+
+
+def test_equal_tables_shuffle_no_rows(spark):
+    from stepframe.operators.digests import differing_ranges
+
+    hashed = spark.range(50_000).selectExpr("xxhash64(id) AS __k", "xxhash64(id, 1) AS __r")
+    bits, ranges = differing_ranges(hashed, hashed.repartition(3))
+    assert (bits, ranges.count()) == (9, 0)
+    off = hashed.withColumn("__r", F.when(F.col("__k") % 25_000 == 0, F.lit(0).cast("long")).otherwise(F.col("__r")))
+    bits, ranges = differing_ranges(hashed, off)
+    assert bits == 18 and 1 <= ranges.count() <= 20
+
+
+@pytest.mark.parametrize("sizes", [(2**11, 2**14), (16, 2**11), (16,)])
+def test_multiset_differences_are_peeled(spark, sizes):
+    ref = spark.range(3000).selectExpr("id % 1000 AS a", "IF(id % 1000 = 4, NULL, CAST(id % 1000 AS STRING)) AS b", "CAST(IF(id % 1000 = 9, 'NaN', '1.5') AS DOUBLE) AS c").repartition(5)
+    actual = ref.where("a <> 7").withColumn("b", F.when(F.col("a") % 20 == 3, "off").otherwise(F.col("b"))).unionByName(ref.where("a = 11").limit(1)).repartition(3)
+    got = {(r.a, r.b, str(r.c)): (r.ref_copies, r.actual_copies) for r in rc.multiset_diff(ref, actual, sizes=sizes).collect()}
+    want = {(7, "7", "1.5"): (3, 0), (11, "11", "1.5"): (3, 4)}
+    for a in range(3, 1000, 20):
+        want |= {(a, str(a), "1.5"): (3, 0), (a, "off", "1.5"): (0, 3)}
+    assert got == want
+    assert rc.multiset_diff(ref, ref.repartition(2), sizes=sizes).count() == 0
+
+
+def test_peeling_gets_stuck_when_cells_are_too_few(spark):
+    from stepframe.operators.digests import differing_hashes
+
+    none = spark.range(0).selectExpr("xxhash64(id) AS __h")
+    many = spark.range(500).selectExpr("xxhash64(id) AS __h")
+    assert differing_hashes(many, none, sizes=(16,)) is None
+    found = differing_hashes(many.unionByName(many), none, sizes=(16, 1024))
+    assert len(found) == 500 and set(found.values()) == {2}
+    assert differing_hashes(none, none) == {}
