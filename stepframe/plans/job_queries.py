@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stepframe.operators import corpus, graph, jobs, lineage
+from stepframe.operators.linediff import line_diff
 from stepframe.operators.ordered import positions
 from stepframe.operators.sql import run_sql
 from stepframe.plans.catalog import query, table
@@ -437,6 +438,28 @@ def jb_14(spark, d):
     return jobs.revision_diff(table(spark, d, "conversations"), "conv_id", "turn", "text")
 
 
+# Revisions 1, 3 and 4 of each document, its lines numbered: 3 leaves out every third line, 4 has the first line of 3 at its
+# end (where 3 has over two lines) and a new line in front.
+_NUMBERED = """
+SELECT doc_id, i, concat(CAST(i AS STRING), ': ', line) AS line FROM (SELECT doc_id, posexplode(split(text, chr(10))) AS (i, line) FROM documents)"""
+_REVISED = f"""
+WITH l AS ({_NUMBERED}), third AS (SELECT doc_id, i, line, count(*) OVER (PARTITION BY doc_id) AS n FROM l WHERE i % 3 <> 1)
+SELECT doc_id, 1 AS n, array_join(transform(array_sort(collect_list(struct(i, line))), x -> x.line), chr(10)) AS code FROM l GROUP BY doc_id
+UNION ALL SELECT doc_id, 3, array_join(transform(array_sort(collect_list(struct(i, line))), x -> x.line), chr(10)) FROM third GROUP BY doc_id
+UNION ALL SELECT doc_id, 4, concat('new', chr(10), array_join(transform(array_sort(collect_list(struct(IF(i = 0 AND n > 2, 999999999, i) AS i, line))), x -> x.line), chr(10))) FROM third GROUP BY doc_id"""
+
+
+@query("jb_14_line_diff", """
+WITH l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS i, (i - 1) || ': ' || s[i] AS line FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))),
+  third AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place FROM l WHERE i % 3 <> 1)
+SELECT doc_id, 1 AS n, 'added' AS change, NULL AS old_line, i + 1 AS new_line, line FROM l
+UNION ALL SELECT doc_id, 3, 'removed', i + 1, NULL, line FROM l WHERE i % 3 = 1
+UNION ALL SELECT DISTINCT doc_id, 4, 'added', NULL::INTEGER, 1, 'new' FROM l
+UNION ALL SELECT doc_id, 4, 'moved', 1, n + 1, line FROM third WHERE i = 0 AND n > 2""")
+def jb_14b(spark, d):
+    return line_diff(run_sql(spark, _REVISED, {"documents": table(spark, d, "documents")}), "doc_id", "n", "code")
+
+
 @query("jb_15_audit", """
 SELECT o_orderkey AS job_id, sha256(CAST(o_orderkey AS VARCHAR)) AS input_hash, o_orderpriority AS llm_model, o_orderdate AS created_at, o_orderdate AS updated_at, o_orderstatus AS report FROM orders""")
 def jb_15(spark, d):

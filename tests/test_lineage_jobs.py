@@ -264,3 +264,43 @@ def test_code_in_comments_and_quotes_is_none(spark):
 def test_circle_of_parents_is_named(spark):
     with pytest.raises(StepError, match="circle"):
         graph.roots(spark.createDataFrame([(1, 2), (2, 1), (3, None)], "node int, parent int"))
+
+
+def _longest_common(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_common_lines_against_the_whole_table():
+    from stepframe.operators.linediff import _middle, common_lines
+
+    rng = random.Random(4)
+    for _ in range(1500):
+        alphabet = "abcdefgh" * rng.choice([1, 4]) if rng.random() < 0.6 else [str(x) for x in range(40)]
+        a, b = ([rng.choice(alphabet) for _ in range(rng.randrange(14))] for _ in range(2))
+        found = common_lines(a, b)
+        assert all(a[i] == b[j] for i, j in found)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:]))
+        if a and b and a[0] != b[0]:
+            x, y, u, v = _middle(a, b)
+            assert u - x == v - y and a[x:u] == b[y:v] and _longest_common(a[:x], b[:y]) + u - x + _longest_common(a[u:], b[v:]) == _longest_common(a, b)
+        # With lines that occur once on each side the anchors are the longest common sequence.
+        a, b = rng.sample(range(20), 12), rng.sample(range(20), 12)
+        assert len(common_lines(a, b)) == _longest_common(a, b)
+
+
+def test_line_diff_over_gaps_in_the_numbers(spark):
+    from stepframe.operators.linediff import change_counts, line_diff
+
+    revisions = spark.createDataFrame([("b", 1, "x\ny\nz"), ("b", 4, "y\nz\nx\nnew"), ("b", 9, None), ("c", 2, "p\n\np")], "block string, n int, code string")
+    changes = line_diff(revisions, "block", "n", "code")
+    got = {(r.block, r.n): set() for r in changes.collect()}
+    for r in changes.collect():
+        got[r.block, r.n].add((r.change, r.old_line, r.new_line, r.line))
+    assert got[("b", 4)] == {("moved", 1, 3, "x"), ("added", None, 4, "new")}
+    assert got[("b", 9)] == {("removed", i, None, x) for i, x in enumerate(["y", "z", "x", "new"], 1)}
+    assert got[("c", 2)] == {("added", None, 1, "p"), ("added", None, 2, ""), ("added", None, 3, "p")}
+    assert {(r.block, r.n): (r.added, r.removed, r.moved) for r in change_counts(changes, "block", "n").collect()}[("b", 4)] == (1, 0, 1)
