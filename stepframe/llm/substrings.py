@@ -26,7 +26,7 @@ SEED = 10
 _AS_IS = np.arange(256, dtype=np.uint8)
 # Words in a shard's automaton, about; and the different stretches at one seed from which they are taken window by window.
 SHARD_WORDS = 40_000
-STRETCHES_PER_SEED = 500
+STRETCHES_PER_SEED = 2_000
 
 
 def least_places(values: np.ndarray, span: int) -> np.ndarray:
