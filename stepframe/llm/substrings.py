@@ -234,7 +234,8 @@ def repeated_spans(texts: DataFrame, width: int = WIDTH, seed: int = SEED, shard
     window, each in the shard of its own words, so no shard grows with one seed.
     """
     found = cut_lineage(texts.mapInArrow(_seeded(width, seed), "digest binary, seed long, at long"))
-    twice = found.groupBy("seed").count().where("count > 1").select(F.col("seed").alias("again"))
+    # Written as well: Spark splits a very frequent seed only where both sides of the join are read from shuffles.
+    twice = cut_lineage(found.groupBy("seed").count().where("count > 1").select(F.col("seed").alias("again")))
     wanted = found.join(twice, F.col("seed") == F.col("again")).groupBy("digest").agg(F.collect_set(F.struct("at", "seed")).alias("found"))
     with_text = texts.join(wanted.withColumnRenamed("digest", "of"), F.col("digest") == F.col("of")).select("digest", F.col("text").cast("binary").alias("text"), "found")
     stretches = cut_lineage(with_text.mapInArrow(_stretches(width), _STRETCHES))
