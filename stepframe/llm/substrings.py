@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stepframe.llm import words
-from stepframe.sizing import cut_lineage
+from stepframe.sizing import cut_lineage, delete_scratch, scratch_path
 
 WIDTH = 35
 SEED = 10
@@ -233,12 +233,21 @@ def repeated_spans(texts: DataFrame, width: int = WIDTH, seed: int = SEED, shard
     Spans count words and may overlap. A seed with very many different stretches around it is worked off window by
     window, each in the shard of its own words, so no shard grows with one seed.
     """
-    found = cut_lineage(texts.mapInArrow(_seeded(width, seed), "digest binary, seed long, at long"))
+    spark = texts.sparkSession
+    mine: list[str] = []
+
+    def written(frame: DataFrame) -> DataFrame:
+        mine.append(scratch_path(spark, "seeds"))
+        frame.write.parquet(mine[-1])
+        return spark.read.schema(frame.schema).parquet(mine[-1])
+
+    found = written(texts.mapInArrow(_seeded(width, seed), "digest binary, seed long, at long"))
     # Written as well: Spark splits a very frequent seed only where both sides of the join are read from shuffles.
-    twice = cut_lineage(found.groupBy("seed").count().where("count > 1").select(F.col("seed").alias("again")))
+    twice = written(found.groupBy("seed").count().where("count > 1").select(F.col("seed").alias("again")))
     wanted = found.join(twice, F.col("seed") == F.col("again")).groupBy("digest").agg(F.collect_set(F.struct("at", "seed")).alias("found"))
     with_text = texts.join(wanted.withColumnRenamed("digest", "of"), F.col("digest") == F.col("of")).select("digest", F.col("text").cast("binary").alias("text"), "found")
     stretches = cut_lineage(with_text.mapInArrow(_stretches(width), _STRETCHES))
+    delete_scratch(spark, mine)
     shipped = stretches.where("stretch IS NOT NULL").select("seed", "name", "n", "stretch")
     many = shipped.select("seed", "name").distinct().groupBy("seed").count().where(F.col("count") > stretches_per_seed).select(F.col("seed").alias("crowded"))
     marked = shipped.join(many, F.col("seed") == F.col("crowded"), "left")
