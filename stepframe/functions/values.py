@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepframe.semantics import StepError
+from stepframe.sizing import cut_lineage
 
 
 def joined_name(*parts: Column, separator: str = " ") -> Column:
@@ -49,11 +50,9 @@ def value_labels(column: Column, labels: Mapping[object, str], other: str | None
     return F.when(column.isNull(), F.lit(None)).otherwise(chain.otherwise(default)) if chain is not None else default
 
 
-def label_by_table(df: DataFrame, column: str, labels: DataFrame, value: str, label: str, name: str, *, max_broadcast_rows: int = 100_000) -> DataFrame:
-    """A format kept in a table. It is broadcast only if counted small; else Spark picks the join."""
-    lookup = labels.select(F.col(value).alias("__value"), F.col(label).alias(name))
-    if labels.count() <= max_broadcast_rows:
-        lookup = F.broadcast(lookup)
+def label_by_table(df: DataFrame, column: str, labels: DataFrame, value: str, label: str, name: str) -> DataFrame:
+    """A format kept in a table. It is written first, so that Spark knows its bytes and broadcasts it only if they are few."""
+    lookup = cut_lineage(labels.select(F.col(value).alias("__value"), F.col(label).alias(name)))
     return df.join(lookup, F.col(column) == F.col("__value"), "left").drop("__value")
 
 

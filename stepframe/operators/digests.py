@@ -19,7 +19,7 @@ from stepframe.sizing import cut_counting
 # Bits of the key hash that name a range, level by level: at most 2**18 ranges are ever named, a broadcast of some MB.
 RANGE_BITS = (9, 18)
 # Cells of each of the three parts of a lookup table; a table gives back about as many hashes as a part has cells, twice over.
-PART_CELLS = (2**11, 2**14, 2**17)
+PART_CELLS = (2**14, 2**17)
 _LOW = 0xFFFFFFFF
 
 

@@ -68,6 +68,33 @@ def peel(nodes: DataFrame, edges: DataFrame, *, backwards: bool = False) -> tupl
     return taken, cut_lineage(nodes.join(taken, "node", "left_anti")), rest
 
 
+def trim(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges left when nodes without an edge in, or without one out, are taken off for as long as there are any.
+
+    Both directions count down in one loop. A node that is gone stays in the state, so that it is taken off once.
+    """
+    links = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), F.lit(1).cast("long").alias("ins"), F.lit(0).cast("long").alias("outs")).unionByName(
+        edges.select(F.col("dst").alias("node"), F.col("src").alias("next"), F.lit(0).cast("long").alias("ins"), F.lit(1).cast("long").alias("outs")))
+    needs = links.groupBy("next").agg(F.sum("ins").alias("all_ins"), F.sum("outs").alias("all_outs"))
+    carried = cut_bucketed(links.join(needs, "next"), "node")
+    held = carried.where("all_ins > 0 AND all_outs > 0").select(F.col("next").alias("node")).distinct()
+    free, new = cut_counting(nodes.select("node").distinct().join(held, "node", "left_anti"), rows=F.lit(True))
+    gone, state = [free], None
+    while new["rows"]:
+        met = free.join(carried, "node").where("all_ins > 0 AND all_outs > 0").select(F.col("next").alias("node"), "ins", "outs", "all_ins", "all_outs", F.lit(False).alias("gone"))
+        met = met if state is None else met.unionByName(state)
+        summed = met.groupBy("node", "all_ins", "all_outs").agg(F.sum("ins").alias("ins"), F.sum("outs").alias("outs"), F.max("gone").alias("gone"))
+        now = ~F.col("gone") & ((F.col("ins") == F.col("all_ins")) | (F.col("outs") == F.col("all_outs")))
+        found, new = cut_counting(summed.withColumn("now", now), rows=F.col("now"))
+        free = found.where("now").select("node")
+        state = found.select("node", "ins", "outs", "all_ins", "all_outs", (F.col("gone") | F.col("now")).alias("gone"))
+        gone = _known([*gone, free])
+    off = cut_lineage(reduce(DataFrame.unionByName, gone))
+    left = nodes.select("node").distinct().join(off, "node", "left_anti")
+    rest = edges.join(off.withColumnRenamed("node", "src"), "src", "left_anti").join(off.withColumnRenamed("node", "dst"), "dst", "left_anti")
+    return left, rest
+
+
 def roots(parents: DataFrame) -> DataFrame:
     """(`node`, `parent` or NULL) -> (`node`, `root`, `depth`) by pointer doubling: log2(depth) joins, one job each.
 
@@ -161,10 +188,11 @@ def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             passed.append(over)
             found.append(rings)
             left = left.join(over.select("node").unionByName(rings.select("node")), "node", "left_anti")
-        _, left, rest = peel(left, rest)
-        _, left, rest = peel(left, rest, backwards=True)
-        if rest.isEmpty():
+        left, rest = trim(left, rest)
+        rest, edges_left = cut_counting(rest, rows=F.lit(True))
+        if not edges_left["rows"]:
             break
+        left = cut_lineage(left)
         parts = _found_parts(left, rest)
         found.append(parts.join(parts.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1"), "part", "left_semi").select("node", "part"))
         left = left.join(parts, "node", "left_anti")

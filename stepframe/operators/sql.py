@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stepframe.semantics import StepError, dataset_name
@@ -89,16 +89,29 @@ def scalar(source: DataFrame, aggregate: Column):
     return source.agg(aggregate).first()[0]
 
 
-def recurse(seed: DataFrame, step: Callable[[DataFrame], DataFrame], *, level: str = "level", max_rounds: int = 10_000) -> DataFrame:
+def recurse(seed: DataFrame, step: Callable[[DataFrame], DataFrame], *, level: str = "level") -> DataFrame:
     """WITH RECURSIVE ... UNION ALL without the row and level limits of the SQL form.
 
-    Each round sees only the rows of the round before, which are written to the checkpoint folder.
+    Each round is one job: it sees only the rows of the round before, and its write counts and digests its own. A round
+    with the very rows of an earlier one would go on for ever: that is an error, whatever the number of rounds.
     """
-    rounds = [cut_lineage(seed.withColumn(level, F.lit(0)))]
+    rounds: list[DataFrame] = []
+    seen: dict[tuple, int] = {}
+    latest = seed
     while True:
-        latest = cut_lineage(step(rounds[-1].drop(level)).withColumn(level, F.lit(len(rounds))))
-        if latest.isEmpty():
+        columns = latest.columns
+        digest = F.xxhash64(*columns, F.concat_ws("", *[F.col(c).isNull().cast("string") for c in columns]))
+        facts = Observation()
+        # Two halves of order-free sums stand for the rows; decimals, because longs could overflow.
+        marked = latest.observe(facts, F.count("*").alias("n"), F.sum(digest.cast("decimal(20,0)")).alias("sum"), F.sum(F.xxhash64(digest).cast("decimal(20,0)")).alias("check"))
+        written = cut_lineage(marked.withColumn(level, F.lit(len(rounds))))
+        state = (facts.get["n"], facts.get["sum"], facts.get["check"])
+        if not state[0] and rounds:
             return reduce(DataFrame.unionByName, rounds)
-        rounds.append(latest)
-        if len(rounds) > max_rounds:
-            raise StepError(f"no end after {max_rounds} rounds: does the recursion run in a circle?")
+        if state[0] and state in seen:
+            raise StepError(f"round {len(rounds)} has the rows of round {seen[state]}: the recursion runs in a circle")
+        seen[state] = len(rounds)
+        rounds.append(written)
+        if not state[0]:
+            return written
+        latest = step(written.drop(level))

@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stepframe.semantics import StepError, by_keys, names_of, require_columns
 
@@ -104,10 +105,26 @@ def output_rows(df: DataFrame, rows: Sequence[Mapping[str, Column]]) -> DataFram
 
 
 def split_outputs(df: DataFrame, conditions: Mapping[str, Column]) -> dict[str, DataFrame]:
-    """DATA a b c: one lazy filter per output over the same input; a row may go to several outputs."""
+    """DATA a b c: one lazy filter per output over the same input; a row may go to several outputs.
+
+    For outputs that are wanted together, `tag_outputs` and `write_outputs` read the input once.
+    """
     return {name: df.filter(condition) for name, condition in conditions.items()}
 
 
+def tag_outputs(df: DataFrame, conditions: Mapping[str, Column], tag: str = "output") -> DataFrame:
+    """All outputs in one pass: each row once for each output it goes to, with the output's name."""
+    names = [F.when(F.coalesce(condition, F.lit(False)), F.lit(name)) for name, condition in conditions.items()]
+    return df.withColumn(tag, F.explode(F.filter(F.array(*names), lambda x: x.isNotNull())))
+
+
+def write_outputs(df: DataFrame, conditions: Mapping[str, Column], path: str, tag: str = "output") -> dict[str, DataFrame]:
+    """All outputs written in one pass, partitioned by their names; each frame reads its own folder."""
+    tag_outputs(df, conditions, tag).write.mode("overwrite").partitionBy(tag).parquet(path)
+    whole = df.sparkSession.read.schema(T.StructType([*[f for f in df.schema.fields if f.name != tag], T.StructField(tag, T.StringType())])).parquet(path)
+    return {name: whole.filter(F.col(tag) == name).drop(tag) for name in conditions}
+
+
 def with_metadata(df: DataFrame, formats: Mapping[str, Mapping[str, object]]) -> DataFrame:
     """Keep LENGTH, FORMAT, INFORMAT and LABEL as column metadata."""
     require_columns(df, formats)

@@ -17,7 +17,7 @@ from stepframe.semantics import StepError, is_missing, names_of, require_columns
 from stepframe.sizing import cut_lineage
 
 # Cells that a bracket is counted in, each round.
-_CELLS = 2048
+_CELLS = 8192
 
 STATISTICS = ("n", "nmiss", "sum", "mean", "std", "min", "max", "median")
 
@@ -73,7 +73,7 @@ def quantiles(df: DataFrame, by: str | Sequence[str], variables: str | Sequence[
         wide = state.where(F.col("low") < F.col("high")).select(*[F.col(c).alias(f"__t{c}") for c in group], *bracket, "ranks")
         hits = long.join(wide, [*[F.col(c).eqNullSafe(F.col(f"__t{c}")) for c in group], F.col("value").between(F.col("low"), F.col("high"))])
         cells = hits.groupBy(*group, *[F.col(c).alias(f"__{c}") for c in bracket], "ranks", _cell(round_number).alias("cell")).agg(*_ends())
-        # A bracket has some thousand cells at most.
+        # A bracket has 8194 cells at most.
         before = Window.partitionBy(*group, "__low").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
         placed = cells.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
         inside = F.filter("ranks", lambda r: (r["rest"] >= F.col("before")) & (r["rest"] < F.col("before") + F.col("n")))

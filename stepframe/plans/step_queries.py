@@ -61,12 +61,18 @@ def io_6(spark, d):
 
 
 @query("io_7_choose_reference", """
-SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY c_mktsegment""")
+SELECT 'both' AS given, c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY c_mktsegment
+UNION ALL SELECT 'csv', c_mktsegment, count(*), round(sum(c_acctbal), 2) FROM customer WHERE c_acctbal > 0 GROUP BY c_mktsegment UNION ALL SELECT 'none', NULL, 0, NULL""")
 def io_7(spark, d):
-    csv = scratch_path(spark, "reference")
-    table(spark, d, "customer").write.option("header", True).csv(csv)
-    chosen = files.choose_reference(spark, csv=csv, schema=CUSTOMER)
-    return chosen.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+    """The typed file wins where both are given, though the CSV beside it holds other rows."""
+    csv, typed = scratch_path(spark, "reference"), f"{d}/customer.parquet"
+    table(spark, d, "customer").filter("c_acctbal > 0").write.option("header", True).csv(csv)
+    found = None
+    for given, chosen in {"both": files.choose_reference(spark, typed, csv, CUSTOMER), "csv": files.choose_reference(spark, csv=csv, schema=CUSTOMER)}.items():
+        rows = chosen.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance")).select(F.lit(given).alias("given"), "c_mktsegment", "n", "balance")
+        found = rows if found is None else found.unionByName(rows)
+    nothing = files.choose_reference(spark) is None
+    return found.unionByName(spark.createDataFrame([("none" if nothing else "something", None, 0, None)], found.schema))
 
 
 @query("io_8_report_json", """
@@ -195,21 +201,45 @@ def ds_13(spark, d):
     return rows.select("l_orderkey", "l_partkey", "l_linenumber", "part_no", F.round(F.col("l_extendedprice") / F.col("l_linenumber"), 6).alias("instalment"))
 
 
+_OUTPUTS = {"open": F.col("o_orderstatus") == "O", "big": F.col("o_totalprice") > 250000, "urgent": F.col("o_orderpriority") == "1-URGENT"}
+
+
 @query("ds_14_multi_output", """
 SELECT 'open' AS output, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O'
 UNION ALL SELECT 'big', o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 250000
 UNION ALL SELECT 'urgent', o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT'""")
 def ds_14(spark, d):
-    outputs = step.split_outputs(table(spark, d, "orders"), {
-        "open": F.col("o_orderstatus") == "O", "big": F.col("o_totalprice") > 250000, "urgent": F.col("o_orderpriority") == "1-URGENT"})
-    tagged = [df.select(F.lit(name).alias("output"), "o_orderkey", "o_totalprice") for name, df in outputs.items()]
-    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+    return step.tag_outputs(table(spark, d, "orders"), _OUTPUTS).select("output", "o_orderkey", "o_totalprice")
+
+
+@query("ds_14_written_outputs", """
+SELECT 'open' AS output, count(*) AS n, min(o_orderkey) AS least FROM orders WHERE o_orderstatus = 'O'
+UNION ALL SELECT 'big', count(*), min(o_orderkey) FROM orders WHERE o_totalprice > 250000 UNION ALL SELECT 'urgent', count(*), min(o_orderkey) FROM orders WHERE o_orderpriority = '1-URGENT'""")
+def ds_14b(spark, d):
+    outputs = step.write_outputs(table(spark, d, "orders"), _OUTPUTS, scratch_path(spark, "outputs"))
+    counts = [df.agg(F.count("*").alias("n"), F.min("o_orderkey").alias("least")).select(F.lit(name).alias("output"), "n", "least") for name, df in outputs.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query("ds_14_filtered_outputs", """
+SELECT 'open' AS output, count(*) AS n FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 'big', count(*) FROM orders WHERE o_totalprice > 250000""")
+def ds_14c(spark, d):
+    outputs = step.split_outputs(table(spark, d, "orders"), {"open": F.col("o_orderstatus") == "O", "big": F.col("o_totalprice") > 250000})
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("output"), "n") for name, df in outputs.items()]
+    return counts[0].unionByName(counts[1])
 
 
-@query("ds_16_metadata", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+@query("ds_16_metadata", """
+SELECT 0 AS position, 'c_custkey' AS name, 'bigint' AS type, '' AS facts, count(c_custkey) AS n FROM customer UNION ALL SELECT 1, 'c_name', 'string', 'length=25', count(c_name) FROM customer
+UNION ALL SELECT 2, 'c_acctbal', 'double', 'format=COMMA12.2; label=Balance', count(c_acctbal) FROM customer""")
 def ds_16(spark, d):
+    """The facts stay with their columns through a filter, a rename and back."""
     kept = step.keep(table(spark, d, "customer"), "c_custkey c_name c_acctbal")
-    return step.with_metadata(kept, {"c_acctbal": {"format": "COMMA12.2", "label": "Balance"}, "c_name": {"length": 25}})
+    described = step.with_metadata(kept, {"c_acctbal": {"format": "COMMA12.2", "label": "Balance"}, "c_name": {"length": 25}})
+    described = described.filter(F.col("c_custkey").isNotNull()).withColumnRenamed("c_name", "x").withColumnRenamed("x", "c_name")
+    counts = described.agg(*[F.count(c).alias(c) for c in described.columns]).unpivot([], list(described.columns), "name", "n")
+    entries = F.array_sort(F.transform(F.map_entries("metadata"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return step.metadata_table(described).join(counts, "name").select("position", "name", "type", F.array_join(entries, "; ").alias("facts"), "n")
 
 
 @query("ds_17_scalar_from_data", """

@@ -144,7 +144,7 @@ def test_recursion(spark):
     assert sorted(tuple(r) for r in rows) == [(1, 0), (2, 1), (3, 1), (3, 2)]
     ring = spark.createDataFrame([(1, 2), (2, 1)], "a int, b int")
     with pytest.raises(StepError, match="circle"):
-        recurse(spark.createDataFrame([(1,)], "n int"), lambda above: ring.join(above.withColumnRenamed("n", "a"), "a").select(F.col("b").alias("n")), max_rounds=3)
+        recurse(spark.createDataFrame([(1,)], "n int"), lambda above: ring.join(above.withColumnRenamed("n", "a"), "a").select(F.col("b").alias("n")))
     sql = run_sql(spark, "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT b FROM r JOIN e ON e.a = r.n) SELECT n FROM r", {"e": edges})
     assert sorted(r.n for r in sql.collect()) == [1, 2, 3, 3]
 
@@ -280,3 +280,32 @@ def test_scalar_functions(spark):
 def test_function_names_are_checked(spark):
     with pytest.raises(StepError, match="not a name"):
         values.define_function(spark, "x; DROP", {}, "int", "1")
+
+
+def test_products_on_a_grid(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(60, 40)), rng.normal(size=(40, 25))
+    a[rng.random(a.shape) < 0.6], b[rng.random(b.shape) < 0.6] = 0, 0
+    # One inner index that all rows and columns have.
+    a[:, 3], b[3] = 2.0, -1.0
+    frames = [spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))], "i long, j int, v double") for m in (a, b)]
+    frames[1] = frames[1].withColumn("i", F.col("i").cast("int"))
+    for block in (512, 7):
+        got = {(r.i, r.j): r.v for r in matrix.multiply(*frames, block=block).collect()}
+        assert set(got) == {(i, j) for i in range(60) for j in range(25)} and all(got[i, j] == pytest.approx((a @ b)[i, j]) for i, j in got)
+    odd = spark.createDataFrame([(1, 0, None), (2, 0, float("inf")), (3, 1, 1.0), (None, 1, 4.0), (5, 9, 1.0)], "i long, j int, v double")
+    other = spark.createDataFrame([(0, 0, 2.0), (0, 1, None), (1, 0, 3.0), (None, 1, 1.0)], "i int, j int, v double")
+    got = {(r.i, r.j): r.v for r in matrix.multiply(odd, other).collect()}
+    assert got == {(1, 0): None, (1, 1): None, (2, 0): float("inf"), (2, 1): None, (3, 0): 3.0, (None, 0): 12.0}
+    assert matrix.multiply(odd.limit(0), other).count() == 0
+
+
+@pytest.mark.parametrize("width", [1, 2, 9, 400])
+def test_gram_in_two_steps(spark, width):
+    rows = np.random.default_rng(width).normal(size=(70, width)) + 3
+    df = spark.createDataFrame([(r.tolist(),) for r in rows], "x array<double>").repartition(9)
+    got = np.full((width, width), np.nan)
+    for r in matrix.gram(df, "x", centred=True).collect():
+        got[r.i, r.j] = r.v
+    centred = rows - rows.mean(axis=0)
+    assert np.allclose(got, centred.T @ centred, atol=1e-8)
