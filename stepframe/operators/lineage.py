@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepframe.operators.graph import cycles, peel, reach
+from stepframe.operators.ordered import counter, retain
 
 
 def _inputs(steps: DataFrame) -> DataFrame:
@@ -97,14 +98,39 @@ def merge_parallel_edges(file_edges: DataFrame) -> DataFrame:
     return file_edges.groupBy("source_file", "target_file").agg(F.array_join(F.array_sort(F.collect_set(words)), ", ").alias("label"))
 
 
-def step_edges(stages: DataFrame) -> DataFrame:
-    """(source, target, label): an earlier stage's outputs that a later stage reads. Needs step_id, position, inputs, outputs."""
-    written = stages.select(F.col("step_id").alias("source"), F.col("position").alias("p"), F.explode(F.array_distinct("outputs")).alias("dataset"))
-    read = stages.select(F.col("step_id").alias("target"), F.col("position").alias("q"), F.explode(F.array_distinct("inputs")).alias("dataset"))
+def _written_and_read(stages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    placed = stages.where(F.col("position").isNotNull())
+    return (placed.select(F.col("step_id").alias("source"), F.col("position").alias("p"), F.explode(F.array_distinct("outputs")).alias("dataset")),
+            placed.select(F.col("step_id").alias("target"), F.col("position").alias("q"), F.explode(F.array_distinct("inputs")).alias("dataset")))
+
+
+def step_edges(stages: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """(source, target, label): an earlier stage's outputs that a later stage reads. Needs step_id, position, inputs, outputs.
+
+    As many rows as pairs; with `targets` (column `node`) only the edges into those stages. `step_links` counts all of
+    them without forming a pair.
+    """
+    written, read = _written_and_read(stages)
+    if targets is not None:
+        read = read.join(targets.select(F.col("node").alias("target")).distinct(), "target", "left_semi")
     shared = written.join(read, "dataset").filter(F.col("p") < F.col("q"))
     return shared.groupBy("source", "target").agg(F.array_join(F.array_sort(F.collect_list("dataset")), ", ").alias("label"))
 
 
+def step_links(stages: DataFrame) -> DataFrame:
+    """(dataset, target, n_sources): how many earlier stages write what a stage reads, by a sweep over positions.
+
+    Writers and readers of a dataset stay one row each: at a reader's position the writers before it are counted. A dataset with
+    very many of both is cut into ranges like any other order.
+    """
+    written, read = _written_and_read(stages)
+    # At one position reads come first, for a stage reads what earlier ones wrote.
+    events = read.select("dataset", F.col("q").alias("position"), F.lit(0).alias("writes"), F.col("target").alias("step")).unionByName(
+        written.select("dataset", F.col("p").alias("position"), F.lit(1).alias("writes"), F.col("source").alias("step")))
+    counted = retain(events, "dataset", "position writes step", {"n_sources": counter(F.when(F.col("writes") == 1, 1))})
+    return counted.where("writes = 0 AND n_sources > 0").select("dataset", F.col("step").alias("target"), "n_sources")
+
+
 def flow_counts(flows: DataFrame, column_flows: DataFrame) -> DataFrame:
     """Flow edges with the number of column flows made by their source step."""
     counts = column_flows.groupBy(F.col("via_block_id").alias("source")).agg(F.count("*").alias("n"))

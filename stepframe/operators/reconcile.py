@@ -10,6 +10,7 @@ from __future__ import annotations
 import textwrap
 import traceback
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -147,6 +148,32 @@ def reconcile(ref: DataFrame, actual: DataFrame, rtol: float = RELATIVE_TOLERANC
     return _totals(ref, actual).select(F.inline(checks))
 
 
+def full_report(ref: DataFrame, actual: DataFrame, keys: str | Sequence[str], rtol: float = RELATIVE_TOLERANCE, *, per_column: int = 3, unique_keys: bool = False) -> DataFrame:
+    """All checks as rows (seq, name, status, detail): those of `reconcile`, then count_parity, mean_parity, row_hash,
+    distribution and sample, which shows the first mismatches of each column. Tables of the same columns only.
+    """
+    keys = names_of(keys)
+
+    def row(seq: int, name: str, failures: DataFrame, order: Sequence[str], words: Column) -> DataFrame:
+        texts = F.array_sort(F.collect_list(F.struct(*order, words.alias("__words"))))
+        return failures.agg(F.array_join(F.transform(texts, lambda x: x["__words"]), "; ").alias("d")).select(F.inline(F.array(_check(seq, name, F.col("d")))))
+
+    totals = cut_lineage(aggregate_comparison(ref, actual, rtol))
+    kinds = hash_diff(ref, actual, keys, unique_keys=unique_keys).groupBy("difference").agg(F.count("*").alias("n"))
+    far = distribution_comparison(ref, actual, rtol=rtol).where("status = 'fail'")
+    cells = mismatch_sample(record_diff(ref, actual, keys, allow_duplicates=True, unique_keys=unique_keys), keys, per_column)
+    key = F.concat_ws(",", *[F.col(k).cast("string") for k in keys])
+    parts = [
+        row(4, "count_parity", totals.where("count_status = 'fail'"), ["column"], F.format_string("%s: ref_count=%d, actual_count=%d", "column", "ref_count", "actual_count")),
+        row(5, "mean_parity", totals.where("avg_status = 'fail'"), ["column"], F.format_string("%s: ref_mean=%.4f, actual_mean=%.4f", "column", "ref_avg", "actual_avg")),
+        row(6, "row_hash", kinds, ["difference"], F.format_string("%s=%d", "difference", "n")),
+        row(7, "distribution", far, ["column", "p"], F.format_string("%s p%d: ref=%.4f, actual=%.4f", "column", (F.col("p") * 100).cast("int"), "ref_value", "actual_value")),
+        # As many cells as columns times `per_column`.
+        row(8, "sample", cells, ["column", *keys], F.format_string("%s at %s: ref=%s, actual=%s", "column", key, "ref_value", "actual_value")),
+    ]
+    return reduce(DataFrame.unionByName, parts, reconcile(ref, actual, rtol))
+
+
 def no_checks(spark) -> DataFrame:
     return spark.createDataFrame([], CHECKS)
 

@@ -94,15 +94,28 @@ def ln_7(spark, d):
     return lineage.merge_parallel_edges(_ask(spark, d, _FILE_EDGES, "orders", "customer"))
 
 
+_STAGES = """
+SELECT 's' || p_partkey AS step_id, p_partkey AS position, array('d' || p_partkey, 'e' || (p_partkey // 4)) AS outputs,
+  array('d' || (p_partkey // 2), 'e' || (p_partkey // 9), 'd' || (p_partkey + 1)) AS inputs FROM part"""
+
+
 @query("ln_8_stage_edges", """
 WITH o AS (SELECT p_partkey AS p, 'd' || p_partkey AS dataset FROM part UNION ALL SELECT p_partkey, 'e' || (p_partkey // 4) FROM part),
   i AS (SELECT DISTINCT p_partkey AS q, u.dataset FROM part, unnest(['d' || (p_partkey // 2), 'e' || (p_partkey // 9), 'd' || (p_partkey + 1)]) AS u(dataset))
 SELECT 's' || p AS source, 's' || q AS target, string_agg(dataset, ', ' ORDER BY dataset) AS label FROM o JOIN i USING (dataset) WHERE p < q GROUP BY 1, 2""")
 def ln_8(spark, d):
-    stages = _ask(spark, d, """
-        SELECT 's' || p_partkey AS step_id, p_partkey AS position, array('d' || p_partkey, 'e' || (p_partkey // 4)) AS outputs,
-          array('d' || (p_partkey // 2), 'e' || (p_partkey // 9), 'd' || (p_partkey + 1)) AS inputs FROM part""", "part")
-    return lineage.step_edges(stages)
+    return lineage.step_edges(_ask(spark, d, _STAGES, "part"))
+
+
+@query("ln_8_stage_links", """
+WITH o AS (SELECT p_partkey AS p, 'd' || p_partkey AS dataset FROM part UNION ALL SELECT p_partkey, 'brand ' || p_brand FROM part),
+  i AS (SELECT p_partkey AS q, 'd' || (p_partkey // 2) AS dataset FROM part UNION ALL SELECT p_partkey, 'brand ' || p_brand FROM part)
+SELECT dataset, 's' || q AS target, count(*) AS n_sources FROM o JOIN i USING (dataset) WHERE p < q GROUP BY 1, 2""")
+def ln_8b(spark, d):
+    """Every step reads and writes its brand's dataset: the pairs grow with the square, the links do not."""
+    return lineage.step_links(_ask(spark, d, """
+        SELECT 's' || p_partkey AS step_id, p_partkey AS position, array('d' || p_partkey, 'brand ' || p_brand) AS outputs,
+          array('d' || (p_partkey // 2), 'brand ' || p_brand) AS inputs FROM part""", "part"))
 
 
 @query("ln_9_flow_counts", f"""

@@ -505,6 +505,13 @@ def fn_8(spark, d):
     return table(spark, d, "customer").join(o, "c_custkey", "left").select("c_custkey", values.missing(F.col("n")).alias("no_order"), F.coalesce("n", F.lit(0)).alias("n_orders"))
 
 
+@query("fn_9_read_number", "SELECT o_orderkey, round(o_totalprice, 2) AS price, CAST(NULL AS DOUBLE) AS no_number FROM orders")
+def fn_9b(spark, d):
+    """Prices printed with separators and read again; what is no number is missing."""
+    shown = table(spark, d, "orders").select("o_orderkey", values.picture(F.col("o_totalprice")).alias("text"), "o_orderstatus")
+    return shown.select("o_orderkey", values.read_number(F.col("text")).alias("price"), values.read_number(F.concat(F.lit("no. "), "o_orderstatus")).alias("no_number"))
+
+
 @query("fn_9_value_labels", """
 SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'Filled' WHEN 'O' THEN 'Open' ELSE 'Other' END AS status, n_name AS nation,
   CASE WHEN o_totalprice < 100000 THEN 'small' WHEN o_totalprice < 300000 THEN 'medium' ELSE 'large' END AS size_label, format('{:t,}', CAST(floor(o_totalprice) AS BIGINT)) AS shown

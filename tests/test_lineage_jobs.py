@@ -304,3 +304,21 @@ def test_line_diff_over_gaps_in_the_numbers(spark):
     assert got[("b", 9)] == {("removed", i, None, x) for i, x in enumerate(["y", "z", "x", "new"], 1)}
     assert got[("c", 2)] == {("added", None, 1, "p"), ("added", None, 2, ""), ("added", None, 3, "p")}
     assert {(r.block, r.n): (r.added, r.removed, r.moved) for r in change_counts(changes, "block", "n").collect()}[("b", 4)] == (1, 0, 1)
+
+
+def test_stage_links_are_the_pairs_counted(spark):
+    rng = random.Random(6)
+    stages = [(f"s{i}", rng.choice([None, *range(12)]), rng.sample("abcd", rng.randrange(4)), rng.sample("abcd", rng.randrange(4))) for i in range(60)]
+    df = spark.createDataFrame(stages, "step_id string, position int, inputs array<string>, outputs array<string>")
+    got = {(r.dataset, r.target): r.n_sources for r in lineage.step_links(df).collect()}
+    want = {}
+    for target, q, reads, _ in stages:
+        for x in reads:
+            n = sum(q is not None and p is not None and p < q and x in writes for _, p, _, writes in stages)
+            if n:
+                want[x, target] = n
+    assert got == want
+    asked = spark.createDataFrame([("s7",), ("s8",)], "node string")
+    assert {tuple(r) for r in lineage.step_edges(df, asked).collect()} == {tuple(r) for r in lineage.step_edges(df).collect() if r.target in ("s7", "s8")}
+    many = spark.range(30_000).selectExpr("CAST(id AS STRING) AS step_id", "id AS position", "array('x') AS inputs", "array('x') AS outputs")
+    assert lineage.step_links(many).selectExpr("sum(n_sources)", "count(*)").first()[:] == (30_000 * 29_999 // 2, 29_999)

@@ -183,3 +183,17 @@ def test_peeling_gets_stuck_when_cells_are_too_few(spark):
     found = differing_hashes(many.unionByName(many), none, sizes=(16, 1024))
     assert len(found) == 500 and set(found.values()) == {2}
     assert differing_hashes(none, none) == {}
+
+
+def test_full_report(spark):
+    ref = spark.createDataFrame([(i, float(i), "t") for i in range(100)], "k int, v double, t string")
+    same = {r.name: (r.status, r.detail) for r in rc.full_report(ref, ref, "k").collect()}
+    assert list(same) == ["schema_parity", "row_count", "aggregate_parity", "count_parity", "mean_parity", "row_hash", "distribution", "sample"]
+    assert set(same.values()) == {("pass", None)}
+    off = ref.withColumn("v", F.when(F.col("k") >= 90, F.col("v") * 2).when(F.col("k") != 3, F.col("v"))).where("k <> 50")
+    got = {r.name: (r.status, r.detail) for r in rc.full_report(ref, off, "k", per_column=2).collect()}
+    assert got["row_hash"] == ("fail", "changed=11; missing=1")
+    assert got["count_parity"] == ("fail", "k: ref_count=100, actual_count=99; v: ref_count=100, actual_count=98")
+    assert got["mean_parity"][0] == "fail" and got["mean_parity"][1].startswith("v: ref_mean=49.5000") or "v: ref_mean=49.5000" in got["mean_parity"][1]
+    assert "v p95: ref=94.0500" in got["distribution"][1]
+    assert got["sample"] == ("fail", "v at 3: ref=3.0, actual=; v at 90: ref=90.0, actual=180.0") or "v at 90: ref=90.0, actual=180.0" in got["sample"][1]
