@@ -201,7 +201,8 @@ def ds_13(spark, d):
     return rows.select("l_orderkey", "l_partkey", "l_linenumber", "part_no", F.round(F.col("l_extendedprice") / F.col("l_linenumber"), 6).alias("instalment"))
 
 
-_OUTPUTS = {"open": F.col("o_orderstatus") == "O", "big": F.col("o_totalprice") > 250000, "urgent": F.col("o_orderpriority") == "1-URGENT"}
+def _outputs():
+    return {"open": F.col("o_orderstatus") == "O", "big": F.col("o_totalprice") > 250000, "urgent": F.col("o_orderpriority") == "1-URGENT"}
 
 
 @query("ds_14_multi_output", """
@@ -209,14 +210,14 @@ SELECT 'open' AS output, o_orderkey, o_totalprice FROM orders WHERE o_orderstatu
 UNION ALL SELECT 'big', o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 250000
 UNION ALL SELECT 'urgent', o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT'""")
 def ds_14(spark, d):
-    return step.tag_outputs(table(spark, d, "orders"), _OUTPUTS).select("output", "o_orderkey", "o_totalprice")
+    return step.tag_outputs(table(spark, d, "orders"), _outputs()).select("output", "o_orderkey", "o_totalprice")
 
 
 @query("ds_14_written_outputs", """
 SELECT 'open' AS output, count(*) AS n, min(o_orderkey) AS least FROM orders WHERE o_orderstatus = 'O'
 UNION ALL SELECT 'big', count(*), min(o_orderkey) FROM orders WHERE o_totalprice > 250000 UNION ALL SELECT 'urgent', count(*), min(o_orderkey) FROM orders WHERE o_orderpriority = '1-URGENT'""")
 def ds_14b(spark, d):
-    outputs = step.write_outputs(table(spark, d, "orders"), _OUTPUTS, scratch_path(spark, "outputs"))
+    outputs = step.write_outputs(table(spark, d, "orders"), _outputs(), scratch_path(spark, "outputs"))
     counts = [df.agg(F.count("*").alias("n"), F.min("o_orderkey").alias("least")).select(F.lit(name).alias("output"), "n", "least") for name, df in outputs.items()]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
