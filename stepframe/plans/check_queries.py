@@ -8,6 +8,7 @@ from stepframe.operators import reconcile as rc
 from stepframe.plans.catalog import query, table
 from stepframe.sizing import scratch_path
 from stepframe.streaming.batches import read_reports, reconcile_stream
+from stepframe.streaming.running import group_reports, reconcile_running
 
 # Orders as a faulty job would write them: some prices off, some rows lost, some rows twice under a new key.
 _DAMAGED = """
@@ -294,3 +295,19 @@ def ss_1(spark, d):
 
     reconcile_stream(stream, reference, reports, progress, transform=wrong)
     return read_reports(spark, reports).groupBy("name", "status").agg(F.count_distinct("batch_id").alias("n_batches"))
+
+
+@query("ss_1_running_groups", """
+WITH a AS (SELECT * REPLACE (CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice) FROM orders WHERE NOT (o_orderpriority = '5-LOW' AND o_orderkey % 10 = 0))
+SELECT r.o_orderpriority, CASE WHEN x.n < r.n THEN 'open' WHEN abs(r.s - x.s) / r.s > 0.001 THEN 'fail' ELSE 'pass' END AS status, r.n AS ref_rows, x.n AS actual_rows
+FROM (SELECT o_orderpriority, count(*) AS n, sum(o_totalprice) AS s FROM orders GROUP BY 1) r JOIN (SELECT o_orderpriority, count(*) AS n, sum(o_totalprice) AS s FROM a GROUP BY 1) x USING (o_orderpriority)""")
+def ss_1b(spark, d):
+    """Each priority's orders arrive in four batches; some prices are off, some orders never come."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    sent = orders.filter(~((F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderkey") % 10 == 0))).withColumn("o_totalprice", F.when(urgent, F.col("o_totalprice") * 2).otherwise(F.col("o_totalprice")))
+    arrived, reports, progress = (scratch_path(spark, label) for label in ("arrived", "reports", "progress"))
+    sent.repartitionByRange(4, "o_orderkey").write.parquet(arrived)
+    stream = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(arrived)
+    reconcile_running(stream, orders, "o_orderpriority", reports, progress)
+    return group_reports(spark, reports, orders, "o_orderpriority").select("o_orderpriority", "status", "ref_rows", "actual_rows")

@@ -25,13 +25,17 @@ def closure(edges, nodes):
     return reach
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_cycles_are_strong_components(spark, seed):
-    rng = random.Random(seed)
-    nodes = list(range(24))
-    edges = sorted({(rng.choice(nodes), rng.choice(nodes)) for _ in range(26)} | {(5, 5)})
-    reach = closure(edges, nodes)
-    want = {n: min(m for m in nodes if m in reach[n] and n in reach[m]) for n in nodes if n in reach[n]}
+def test_cycles_are_strong_components(spark):
+    """Three random graphs side by side."""
+    nodes, edges, want = [], [], {}
+    for seed in (1, 2, 3):
+        rng = random.Random(seed)
+        own = list(range(24))
+        pairs = sorted({(rng.choice(own), rng.choice(own)) for _ in range(26)} | {(5, 5)})
+        reach = closure(pairs, own)
+        want |= {100 * seed + n: 100 * seed + min(m for m in own if m in reach[n] and n in reach[m]) for n in own if n in reach[n]}
+        nodes += [100 * seed + n for n in own]
+        edges += [(100 * seed + a, 100 * seed + b) for a, b in pairs]
     got = graph.cycles(spark.createDataFrame([(n,) for n in nodes], "node int"), spark.createDataFrame(edges, "src int, dst int"))
     assert {r.node: r.cycle for r in got.collect()} == want
 

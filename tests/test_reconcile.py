@@ -197,3 +197,33 @@ def test_full_report(spark):
     assert got["mean_parity"][0] == "fail" and got["mean_parity"][1].startswith("v: ref_mean=49.5000") or "v: ref_mean=49.5000" in got["mean_parity"][1]
     assert "v p95: ref=94.0500" in got["distribution"][1]
     assert got["sample"] == ("fail", "v at 3: ref=3.0, actual=; v at 90: ref=90.0, actual=180.0") or "v at 90: ref=90.0, actual=180.0" in got["sample"][1]
+
+
+def test_groups_are_judged_as_their_rows_arrive(spark):
+    import os
+
+    from stepframe.streaming.running import group_reports, reconcile_running
+
+    folder, reports, progress = (scratch_path(spark, x) for x in ("in", "rep", "cp"))
+    reference = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 5.0), ("c", None), (None, 7.0), ("never", 1.0)], "g string, v double")
+
+    def send(*rows):
+        spark.createDataFrame(list(rows), "g string, v double").coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(reference.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        reconcile_running(stream, reference, "g", reports, progress)
+        return {r.g: (r.status, r.actual_rows, r.detail) for r in group_reports(spark, reports, reference, "g").collect()}
+
+    first = send(("a", 1.0), ("b", 6.0), (None, 7.0), ("x", 1.0))
+    assert first == {"a": ("open", 1, None), "b": ("fail", 1, "v: ref_sum=5.0000, actual_sum=6.0000"), None: ("pass", 1, None), "x": ("unexpected", 1, None),
+                     "c": ("missing", 0, None), "never": ("missing", 0, None)}
+    # A late row completes its group, another is one too many.
+    second = send(("a", 2.0), ("b", 5.0), ("c", None))
+    want = first | {"a": ("pass", 2, None), "b": ("fail", 2, "ref=1, actual=2"), "c": ("pass", 1, None)}
+    assert second == want
+    # The driver was lost before the batch was noted as done: it is run again.
+    commits = f"{progress.removeprefix('file:')}/commits"
+    last = max(int(x) for x in os.listdir(commits) if x.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        if os.path.exists(f"{commits}/{name}"):
+            os.remove(f"{commits}/{name}")
+    assert send(("never", 1.0)) == want | {"never": ("pass", 1, None)}
