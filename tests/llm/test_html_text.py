@@ -1,4 +1,6 @@
-import pyarrow as pa
+import random
+import time
+
 import pytest
 
 from stepframe.llm import html_text
@@ -46,3 +48,54 @@ def test_the_run_decides_inside_an_article():
     assert text == WANT
     long = "<p>" + "Words of a comment that is much longer than the text. " * 30 + "</p>"
     assert html_text.main_text(f'<body><div>{BODY}</div><div class="comments">{long}</div></body>', {}) == WANT
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 330_000, '<a "x>" ' * 120_000 + '"', "<! " * 330_000, "<a '" * 250_000 + ">", "<" * 1_000_000, "<!--" * 250_000, "<script></script " * 60_000,
+    "<div>" * 100_000 + "</b>" * 100_000, "<b>" * 100_000 + "<p>x</p>" * 80_000, "<a><p>" + "<b>" * 150_000 + "</a>" * 100_000, "<p><li><td>" * 90_000,
+    "<nav>" * 100_000 + "<p>word</p>" * 40_000, "<form>" * 100_000 + "<p>word</p>" * 40_000, "<article>" * 60_000 + "<h1>x</h1>" * 30_000,
+], ids=lambda page: page[:12])
+def test_a_malformed_megabyte_is_quick(page):
+    start = time.process_time()
+    html_text.main_text(page, {})
+    assert time.process_time() - start < 3
+
+
+def test_tags_left_open():
+    assert html_text.main_text("<p>one two</p>less < more <b", {}) == "one two\nless < more <b"
+    assert html_text.main_text('<p class="x>one two</p><p>three four</p>', {}) == "one two\nthree four"
+    assert html_text.main_text("<p>one two<!-- three > four", {}) == "one two"
+    assert html_text.main_text("<p>one two<!-->three<script>four</p>", {}) == "one twothree"
+
+
+def test_best_run_is_the_maximum_of_all_runs():
+    rnd = random.Random(4)
+    for _ in range(300):
+        scores = [rnd.randint(-5, 5) for _ in range(rnd.randint(0, 14))]
+        runs = [(sum(scores[i:j + 1]), (i, j)) for i in range(len(scores)) for j in range(i, len(scores))]
+        got = html_text.best_run(scores)
+        best = max([x for x, _ in runs] + [0])
+        assert got is None if best == 0 else (best, got) in runs
+
+
+TEASERS = "".join(f"<article><h2>Other story {k}</h2><p>Teaser of some other story that one could read next.</p></article>" for k in range(4))
+REMARKS = '<section class="thread">' + "".join(f'<article class="entry"><p>Remark of reader {k} who liked it very much.</p></article>' for k in range(4)) + "</section>"
+
+
+@pytest.mark.parametrize("fitted", [False, True])
+@pytest.mark.parametrize("wrapper", ["<article>%s</article>", "<div>%s</div>", "<div class='message'><article>%s</article></div>"])
+def test_other_articles_are_not_the_text(spark, fitted, wrapper):
+    rows = [(k, f"u{k}", PAGE % f"<article>{BODY}</article>") for k in range(20)]
+    weights = html_text.fit(spark.createDataFrame(rows, "page_id long, url string, html string")) if fitted else {}
+    page = PAGE % (wrapper % BODY)
+    assert html_text.main_text(page.replace("</body>", f"<aside>{TEASERS}</aside></body>"), weights) == WANT
+    if "article" in wrapper:
+        assert html_text.main_text(page.replace("</body>", f"{REMARKS}</body>"), html_text.fit(spark.createDataFrame(rows, "page_id long, url string, html string"))) == WANT
+        assert html_text.main_text(page.replace("</article>", f"{REMARKS}</article>"), {**weights, "x nested": -3.0}) == WANT
+
+
+def test_fit_reads_a_bounded_number_of_pages(spark):
+    rows = [(k, f"u{k}", PAGE % f"<article>{BODY}</article>") for k in range(40)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    few, all_rows = html_text.fit(frame, sample=10), html_text.fit(frame)
+    assert few.keys() == all_rows.keys() and html_text.fit(frame.union(frame), sample=40) == html_text.fit(frame.union(frame))
