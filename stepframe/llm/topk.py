@@ -4,78 +4,118 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepframe.sizing import cut_lineage
 
 
-def sorted_access(queries: np.ndarray, items: np.ndarray, k: int, steps: int = 4) -> list[np.ndarray]:
-    """For each query the places of all items that can be among its k best, ties included.
+# Shares of the lists after which bounds are formed: each leaves half as much unread as the one before.
+DEPTHS = (1 / 2, 3 / 4, 7 / 8, 15 / 16, 1.0)
+# A query stops where at most this share of the items can still qualify, or 4 k of them.
+OPEN = 1 / 16
 
-    Each component has its list of items by falling and by rising value; a query reads the falling one where its weight
-    is positive and the rising one where it is negative. At depth t an item's score lies between bounds: the
-    components seen so far count as they are, and an unseen one at least as the list's last value and at most as the
-    value at t. A query stops when its k-th lower bound is above the upper bound of every item not among those kept;
-    what is kept is then an item whose upper bound reaches the k-th lower bound. All queries of a block read at the
-    same depths, so a step is a few matrix products.
+
+class Lists:
+    """Each component's list of a block of items, by falling value for positive weights and by rising value for negative ones."""
+
+    def __init__(self, items: np.ndarray, kind: type):
+        self.n, width = items.shape
+        self.x = items.astype(kind)
+        order = np.argsort(self.x, axis=0, kind="stable")
+        self.rising = np.empty_like(order)
+        np.put_along_axis(self.rising, order, np.arange(self.n)[:, None].repeat(width, axis=1), axis=0)
+        self.ordered = np.take_along_axis(self.x, order, axis=0)
+        self.squares = self.x * self.x
+        self.norms = self.squares.sum(axis=1)
+
+    def bounds(self, queries: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of all scores (items x queries) after `depth` entries of each list.
+
+        Entries read count as they are. Those that are not lie between the list's last value and the last one read, and
+        their products sum to no more, up or down, than the length of the query's part times that of the item's
+        part (Cauchy-Schwarz); the item's is known from its whole length, which is stored with it.
+        """
+        plus, minus = np.maximum(queries, 0).T, np.minimum(queries, 0).T
+        down, up = self.rising >= self.n - depth, self.rising < depth
+        least, most = self.ordered[0], self.ordered[-1]
+        read = np.where(down, self.x, 0) @ plus + np.where(up, self.x, 0) @ minus
+        if depth == self.n:
+            return read, read
+        no_down, no_up = (~down).astype(self.x.dtype), (~up).astype(self.x.dtype)
+        high = (no_down * self.ordered[self.n - depth]) @ plus + (no_up * self.ordered[depth - 1]) @ minus
+        low = (no_down * least) @ plus + (no_up * most) @ minus
+        asked = no_down @ (plus * plus) + no_up @ (minus * minus)
+        seen = (self.squares * down) @ (plus > 0).astype(self.x.dtype) + (self.squares * up) @ (minus < 0).astype(self.x.dtype)
+        # Roots are rounded; the bound is not.
+        reach = np.sqrt(asked * np.maximum(self.norms[:, None] - seen, 0)) * self.x.dtype.type(1.00001) + 1
+        return read + np.maximum(low, -reach), read + np.minimum(high, reach)
+
+
+def read_lists(queries: np.ndarray, items: np.ndarray, k: int, scouts: int = 16) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each query the places of all items that can be among its k best, ties included, and the share of its lists read.
+
+    Lists are read in step to the depths of `DEPTHS`. A query stops when the upper bounds of all but a few items
+    (`OPEN`) are below its k-th lower bound; those few are left to be resolved. All queries of a block read at the same
+    depths, so a step is a few matrix products. The first `scouts` queries form bounds at every depth; the others do so from the
+    first one on at which a scout stopped, and have read what lies before.
     """
     n, width = items.shape
     if n <= k:
-        return [np.arange(n)] * len(queries)
+        return [np.arange(n)] * len(queries), np.ones(len(queries))
     # Whole numbers and their sums are exact in single precision up to 2**24, in double up to 2**53.
-    largest = int(np.abs(items).max(initial=0)) * int(np.abs(queries).max(initial=0)) * width
+    largest = max(int(np.abs(items).max(initial=0)), int(np.abs(queries).max(initial=0))) ** 2 * width
     kind = np.float32 if largest < 1 << 24 else np.float64
-    x = items.astype(kind)
-    order = np.argsort(x, axis=0, kind="stable")
-    rising = np.empty_like(order)
-    np.put_along_axis(rising, order, np.arange(n)[:, None].repeat(width, axis=1), axis=0)
-    ordered = np.take_along_axis(x, order, axis=0)
-    low_end, high_end = ordered[0], ordered[-1]
-    plus, minus = np.maximum(queries, 0).astype(kind), np.minimum(queries, 0).astype(kind)
+    lists, weights = Lists(items, kind), queries.astype(kind)
     kept: list[np.ndarray | None] = [None] * len(queries)
-    active = np.arange(len(queries))
-    for step in range(1, steps + 1):
-        depth = n if step == steps else max(k, n * step // steps)
-        seen_down, seen_up = rising >= n - depth, rising < depth
-        at_down, at_up = ordered[n - depth], ordered[depth - 1]
-        # Rows: items. A falling list is read from the top for positive weights, a rising one for negative weights.
-        p, m = plus[active], minus[active]
-        upper = np.where(seen_down, x, at_down) @ p.T + np.where(seen_up, x, at_up) @ m.T
-        lower = np.where(seen_down, x, low_end) @ p.T + np.where(seen_up, x, high_end) @ m.T
-        floor = np.partition(lower, n - k, axis=0)[n - k]
-        possible = upper >= floor
-        # Few enough are left to resolve, or all lists have been read.
-        done = (possible.sum(axis=0) <= max(4 * k, n // 50)) if step < steps else np.ones(len(active), bool)
-        for j in np.flatnonzero(done).tolist():
-            kept[active[j]] = np.flatnonzero(possible[:, j])
-        active = active[~done]
-        if not len(active):
-            break
-    return kept
+    share = np.ones(len(queries))
+
+    def read(active: np.ndarray, depths: tuple[float, ...]) -> None:
+        for part in depths:
+            if not len(active):
+                return
+            lower, upper = lists.bounds(weights[active], n if part == 1 else max(k, int(n * part)))
+            floor = np.partition(lower, n - k, axis=0)[n - k]
+            possible = upper >= floor
+            done = possible.sum(axis=0) <= max(4 * k, n * OPEN)
+            if part == 1:
+                done[:] = True
+            for j in np.flatnonzero(done).tolist():
+                kept[active[j]] = np.flatnonzero(possible[:, j])
+            share[active[done]] = part
+            active = active[~done]
+
+    places = np.arange(len(queries))
+    read(places[:scouts], DEPTHS)
+    first = min(share[:scouts], default=1.0)
+    read(places[scouts:], tuple(d for d in DEPTHS if d >= first))
+    return kept, share
+
+
+def sorted_access(queries: np.ndarray, items: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each query the places of all items that can be among its k best, ties included."""
+    return read_lists(queries, items, k)[0]
 
 
 def best_of_block(query_ids: np.ndarray, queries: np.ndarray, item_ids: np.ndarray, items: np.ndarray, k: int) -> pd.DataFrame:
-    """Each query's k best items of a block, without itself: by score, then by id; final scores of what is left are exact."""
+    """Each query's k best items of a block, without itself: by score, then by id; final scores of what is left are exact. `share`: of the lists read."""
     out = []
     # As many more candidates as rows bear the query's own id, for all of those are left out.
     names, copies = np.unique(item_ids, return_counts=True)
     at = np.minimum(np.searchsorted(names, query_ids), len(names) - 1)
     own = np.maximum(np.where(names[at] == query_ids, copies[at], 0), 1)
-    candidates = {}
     for m in np.unique(own).tolist():
         alike = np.flatnonzero(own == m)
-        candidates |= zip(alike.tolist(), sorted_access(queries[alike], items, k + m))
-    for i, places in candidates.items():
-        places = places[item_ids[places] != query_ids[i]]
-        scores = items[places] @ queries[i]
-        top = np.lexsort((item_ids[places], -scores))[:k]
-        out.append(pd.DataFrame({"query_id": query_ids[i], "vec_id": item_ids[places][top], "score": scores[top]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        for i, places, share in zip(alike.tolist(), *read_lists(queries[alike], items, k + m)):
+            places = places[item_ids[places] != query_ids[i]]
+            scores = items[places] @ queries[i]
+            top = np.lexsort((item_ids[places], -scores))[:k]
+            out.append(pd.DataFrame({"query_id": query_ids[i], "vec_id": item_ids[places][top], "score": scores[top], "share": share}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "share": []})
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, per_block: int = 4096, queries_per_block: int = 2048) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each query row the k other rows with the largest integer inner products.
+def block_results(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, per_block: int = 4096, queries_per_block: int = 2048) -> DataFrame:
+    """(query_id, block, size, vec_id, score, share): each query's k best rows of each block, the block's rows, and the share of its lists that was read.
 
     Components x become floor(scale * x); ties go to the smaller id. Rows fall into blocks by a hash, a block of
     queries meets every block of rows, each pair in a task of its own; per query and block at most k rows come back. The
@@ -89,7 +129,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, per_block:
     rows = vectors.where(F.col("vec_id").isNotNull() & sound & (F.size("embedding") > 0))
     rows = cut_lineage(rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.coalesce(is_query, F.lit(False)).alias("asks"), value.alias("v")))
     widths = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    schema = "query_id long, rank int, vec_id long, score long"
+    schema = "query_id long, block int, size int, vec_id long, score long, share double"
     if widths is None:
         return spark.createDataFrame([], schema)
     rows = rows.where(F.size("v") == widths.w)
@@ -99,14 +139,26 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, per_block:
     block = F.pmod(F.xxhash64(F.lit("rows"), "vec_id"), F.lit(n_blocks)).cast("int")
     q_block = F.pmod(F.xxhash64(F.lit("queries"), "vec_id"), F.lit(q_blocks)).cast("int")
     items = rows.select(block.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q"), "vec_id", "v")
-    asked = asking.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"), q_block.alias("q"), "vec_id", "v")
+    asked = asking.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"), q_block.alias("q"), F.col("vec_id").alias("query_id"), F.col("v").alias("weights"))
 
     def meet(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         if not len(mine) or not len(others):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return best_of_block(mine.vec_id.to_numpy(), np.stack(mine.v.to_numpy()), others.vec_id.to_numpy(), np.stack(others.v.to_numpy()), k)
+            return pd.DataFrame({name.split(" ")[0]: [] for name in schema.split(", ")})
+        best = best_of_block(mine.query_id.to_numpy(), np.stack(mine.weights.to_numpy()), others.vec_id.to_numpy(), np.stack(others.v.to_numpy()), k)
+        return best.assign(block=mine.b.iloc[0], size=len(others))
+
+    return asked.groupBy("b", "q").cogroup(items.groupBy("b", "q")).applyInPandas(meet, schema)
 
-    parts = asked.groupBy("b", "q").cogroup(items.groupBy("b", "q")).applyInPandas(meet, "query_id long, vec_id long, score long")
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, per_block: int = 4096, queries_per_block: int = 2048) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each query row the k other rows with the largest integer inner products, see `block_results`."""
+    parts = block_results(vectors, is_query, k, scale, per_block, queries_per_block)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = parts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def share_read(parts: DataFrame) -> DataFrame:
+    """(query_id, share): how much of all list entries each query read before it stopped, from `block_results`."""
+    read = parts.groupBy("query_id", "block").agg(F.max("size").alias("size"), F.max("share").alias("share"))
+    return read.groupBy("query_id").agg((F.sum(F.col("size") * F.col("share")) / F.sum("size")).alias("share"))

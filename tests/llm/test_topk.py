@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from stepframe.llm.topk import best_of_block, sorted_access, top_k
+from stepframe.llm.topk import Lists, best_of_block, block_results, read_lists, share_read, sorted_access, top_k
 
 
 def test_no_better_item_is_left_out():
@@ -40,3 +40,32 @@ def test_rows_that_repeat_the_query_take_no_place():
         want = sorted((-int(v @ vector), int(c)) for c, v in zip(ids, items) if c != q)[:5]
         mine = got[got.query_id == q]
         assert sorted(zip((-mine.score).tolist(), mine.vec_id.tolist())) == want
+
+
+def test_bounds_hold_at_every_depth():
+    rnd = np.random.default_rng(11)
+    for n, width in [(60, 1), (200, 7), (300, 24)]:
+        items, queries = rnd.integers(-37, 37, (n, width)), rnd.integers(-37, 37, (12, width))
+        lists, scores = Lists(items, np.float32), items @ queries.T
+        for depth in (1, n // 3, n // 2, n - 1, n):
+            lower, upper = lists.bounds(queries.astype(np.float32), depth)
+            assert (lower <= scores).all() and (scores <= upper).all()
+    zero = Lists(np.zeros((30, 4), int), np.float32).bounds(np.ones((2, 4), np.float32), 10)
+    assert (zero[0] <= 0).all() and (zero[1] >= 0).all()
+
+
+def test_queries_stop_before_the_end_of_their_lists(spark):
+    rnd = np.random.default_rng(13)
+    vectors = rnd.normal(size=(1500, 32))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    kept, share = read_lists(np.floor(64 * vectors[:100]).astype(int), np.floor(64 * vectors).astype(int), 21)
+    assert (share < 1).mean() > 0.9 and all(len(x) <= 1500 / 16 for x in kept)
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    read = share_read(block_results(frame, F.col("vec_id") % 20 == 0, per_block=800)).collect()
+    assert len(read) == 75 and sum(r["share"] < 1 for r in read) > 60 and all(0.5 <= r["share"] <= 1 for r in read)
+
+
+def test_equal_items_and_null_weights_are_read_to_the_end_or_kept_whole():
+    items = np.ones((100, 3), int)
+    for places, share in zip(*read_lists(np.array([[1, 2, 3], [0, 0, 0], [-1, 0, 1]]), items, 5)):
+        assert share == 1 and len(places) == 100
