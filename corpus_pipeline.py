@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepframe.llm import decontaminate, lines, minhash, packing, quality
@@ -36,36 +36,58 @@ def tidy(stage: Stage) -> Stage:
     return run_stage
 
 
+def row_key(docs: DataFrame) -> Column:
+    """Tells documents apart: the id, or where any id has different texts, a hash of id and text. Null where the id is."""
+    texts = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high"))
+    if not texts.where("low < high").limit(1).count():
+        return F.col("doc_id").cast("long")
+    return F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+
+
+def free_name(docs: DataFrame) -> str:
+    """A column name that no input column has."""
+    return "row_" + "_" * max(len(c) for c in docs.columns)
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject; equal rows share a decision."""
     judged = quality.classify(docs, table(spark, sf_dir, "labels"))
-    rejected = judged.where(~F.col("kept")).select("key").distinct()
-    return docs.withColumn("key", quality.row_key()).join(rejected, "key", "left_anti").select(*docs.columns)
+    key = free_name(docs)
+    rejected = judged.where(~F.col("kept")).select(F.col("key").alias(key)).distinct()
+    return docs.withColumn(key, quality.row_key()).join(rejected, key, "left_anti").select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat an earlier one; a document that loses all its words goes, an empty one stays."""
-    left = lines.dedupe_lines(docs)
-    left = left.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    """Documents without lines that repeat an earlier one; a document that loses all its words goes, an empty one stays.
+
+    Rows that repeat an id with another text are documents of their own, in the order of their keys.
+    """
+    key = free_name(docs)
+    apart = {c: key + c for c in ("n_lines", "n_removed")}
+    left = lines.dedupe_lines(docs.withColumn(key, row_key(docs)).withColumnsRenamed(apart), id_column=key)
+    left = left.where((F.col("n_removed") == 0) | (F.trim("text") != "")).drop(*apart).withColumnsRenamed({b: a for a, b in apart.items()})
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; of rows that repeat an id the first by the text's hash. Null ids stay."""
-    found = cut_lineage(minhash.near_duplicates(docs).where("doc_id is not null").select("doc_id", "kept"))
-    gone = found.where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-        left = left.withColumn("copy", F.row_number().over(one)).where("copy = 1 or doc_id is null").select(*docs.columns)
-    return left
+    """One document of each group of near duplicates, and one of rows equal in id and text. Null ids stay.
+
+    Rows that repeat an id with another text are documents of their own and go only for their own text.
+    """
+    key = free_name(docs)
+    keyed = docs.withColumn(key, row_key(docs))
+    found = cut_lineage(minhash.near_duplicates(keyed, id_column=key).where("doc_id is not null").select(F.col("doc_id").alias(key), "kept"))
+    left = keyed.join(found.where("not kept").select(key).distinct(), key, "left_anti")
+    if found.groupBy(key).count().where("count > 1").limit(1).count():
+        left = left.where(F.col(key).isNull()).unionByName(left.where(F.col(key).isNotNull()).dropDuplicates([key]))
+    return left.select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of a test item, edited or not."""
-    key = F.xxhash64("doc_id", "text")
+    key, name = F.xxhash64("doc_id", "text"), free_name(docs)
     leaks = decontaminate.contaminated(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return docs.withColumn("key", key).join(leaks.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select(*docs.columns)
+    return docs.withColumn(name, key).join(leaks.select(F.col("doc_id").alias(name)).distinct(), name, "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
