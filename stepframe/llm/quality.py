@@ -28,6 +28,8 @@ _UPPER = (_byte >= 65) & (_byte <= 90)
 START, END, AGAIN, SHAPES, KNOWN = 0, 1, 2, 12, 64
 # Tokens that never occur share what unigrams leave evenly, with at least 1 << BITS tokens.
 BITS = 16
+# Bits of a key that requests leave out.
+_CUT = np.uint64(16)
 # Two token numbers make one pair.
 WIDE = 32
 
@@ -143,6 +145,24 @@ def _by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(shard, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
 
 
+def _squeeze(keys: np.ndarray) -> bytes:
+    """The upper 48 bits of ascending keys, by their differences: four lower bytes as they are, two upper ones packed.
+
+    Within a shard, whose number the lower bits give, a strange key is taken for one of m others with probability m / 2**48.
+    """
+    steps = np.diff(keys >> _CUT, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)
+    return len(keys).to_bytes(8, "little") + steps[:, :4].tobytes() + zlib.compress(steps[:, 4:6].T.tobytes(), 1)
+
+
+def _stretch(packed: bytes) -> np.ndarray:
+    """What `_squeeze` packed: upper 48 bits, ascending."""
+    n = int.from_bytes(packed[:8], "little")
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :4] = np.frombuffer(packed, np.uint8, 4 * n, 8).reshape(n, 4)
+    steps[:, 4:6] = np.frombuffer(zlib.decompress(packed[8 + 4 * n:]), np.uint8).reshape(2, n).T
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _ask(known: np.ndarray, shards: int):
     """The distinct n-grams of all texts of a task, which is one block: as many as occur in it, each once, a row per shard."""
 
@@ -160,7 +180,7 @@ def _ask(known: np.ndarray, shards: int):
         dealt = [_by_shard(x, shards) for x in keys]
         for at in range(0, shards if block is not None else 0, 64):
             numbers = range(at, min(at + 64, shards))
-            packed = [pa.array([x[order[edges[k]:edges[k + 1]]].tobytes() for k in numbers], pa.binary()) for x, (order, edges) in zip(keys, dealt)]
+            packed = [pa.array([_squeeze(x[order[edges[k]:edges[k + 1]]]) for k in numbers], pa.binary()) for x, (order, edges) in zip(keys, dealt)]
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(numbers), pa.int32()), pa.array(numbers, pa.int32()), *packed], names=["block", "shard", "k1", "k2", "k3"])
 
     return run
@@ -172,12 +192,13 @@ def _keyed(shards: int):
     def packed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         slot, keys, values = (np.concatenate(x) for x in zip(*parts))
         shard = (keys % np.uint64(shards)).astype(np.int64)
-        order = np.lexsort((slot, shard))
+        order = np.lexsort((keys, slot, shard))
         group = (shard * 8 + slot)[order]
         start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         pieces = np.split(order, start[1:])
         columns = [pa.array(group[start] // 8, pa.int32()), pa.array(group[start] % 8, pa.int32())]
-        return pa.RecordBatch.from_arrays([*columns, *(pa.array([x[p].tobytes() for p in pieces], pa.binary()) for x in (keys, values))], names=["shard", "slot", "keys", "shares"])
+        told = [pa.array([_squeeze(keys[p]) for p in pieces], pa.binary()), pa.array([values[p].tobytes() for p in pieces], pa.binary())]
+        return pa.RecordBatch.from_arrays([*columns, *told], names=["shard", "slot", "keys", "shares"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -201,14 +222,14 @@ def _answer(asked: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
     held = []
     for slot in range(5):
         mine = model[model.slot == slot]
-        keys, shares = np.frombuffer(b"".join(mine["keys"]), np.uint64), np.frombuffer(b"".join(mine["shares"]), np.float32)
+        keys, shares = np.concatenate([np.zeros(0, np.uint64), *map(_stretch, mine["keys"])]), np.frombuffer(b"".join(mine["shares"]), np.float32)
         order = np.argsort(keys)
         held.append((keys[order], shares[order]))
     told = []
     for row in asked.itertuples(index=False):
         out = []
         for packed, slots in zip((row.k1, row.k2, row.k3), _SLOTS):
-            want = np.frombuffer(packed, np.uint64)
+            want = _stretch(packed)
             out.append(np.bitwise_xor.reduce(want).tobytes())
             for slot in slots:
                 keys, shares = held[slot]
@@ -229,7 +250,7 @@ def _hear(keys: list[np.ndarray], told: pd.DataFrame, shards: int) -> list[np.nd
         raw, at = np.frombuffer(packed, np.uint8), 0
         for x, (order, edges), slots in zip(keys, dealt, _SLOTS):
             places = order[edges[shard]:edges[shard + 1]]
-            if raw[at:at + 8].tobytes() != np.bitwise_xor.reduce(x[places]).tobytes():
+            if raw[at:at + 8].tobytes() != np.bitwise_xor.reduce(x[places] >> _CUT).tobytes():
                 raise RuntimeError("the documents were read in other parts than before")
             at += 8
             for slot in slots:

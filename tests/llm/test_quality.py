@@ -84,3 +84,12 @@ def test_more_names_than_sixteen_bits(spark):
     known = np.unique(np.concatenate([r[3] for r in quality._runs(pa.array(texts))]))
     ids = np.concatenate([x[2:-1] for x in quality._tokens(pa.array(texts), known)])
     assert len(set(ids.tolist())) == 30_000 and np.array_equal(quality._unpack(quality._pack(ids)), ids)
+
+
+def test_packed_requests_are_whole():
+    rnd = np.random.default_rng(6)
+    for n in (0, 1, 2, 1000, 50_000):
+        keys = np.sort(rnd.integers(0, 2**64, n, dtype=np.uint64))
+        assert np.array_equal(quality._stretch(quality._squeeze(keys)), keys >> np.uint64(16))
+    keys = rnd.integers(2**63, 2**64, 100_000, dtype=np.uint64)
+    assert len(quality._squeeze(np.sort(keys))) < 5 * len(keys)
