@@ -33,9 +33,10 @@ _CUT = np.uint64(16)
 # Two token numbers make one pair.
 WIDE = 32
 
-# What the model tells: the share of a unigram and what it leaves as a context, the same of a bigram, the share of a trigram.
-P1, REST2, P2, REST3, P3 = range(5)
-_SLOTS = ((P1, REST2), (P2, REST3), (P3,))
+# What the model tells: the share of a unigram, what it leaves as a context and how often it is one; the discounted count of a
+# bigram, and the same two as a context; the discounted count of a trigram.
+P1, REST2, WHOLE2, CUT2, REST3, WHOLE3, CUT3 = range(7)
+_SLOTS = ((P1, REST2, WHOLE2), (CUT2, REST3, WHOLE3), (CUT3,))
 
 
 def _runs(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -205,7 +206,7 @@ def _keyed(shards: int):
         for batch in batches:
             slot, pair, word, value = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
             key = mix(pair.astype(np.int64).view(np.uint64))
-            key = np.where(slot == P3, mix(key * _JOIN + word.astype(np.uint64)), key)
+            key = np.where(slot == CUT3, mix(key * _JOIN + word.astype(np.uint64)), key)
             parts.append((slot.astype(np.int64), key, value.astype(np.float32)))
             size += len(key)
             if size > 1 << 20:
@@ -220,7 +221,7 @@ def _keyed(shards: int):
 def _answer(asked: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
     """To each block, for the keys in its order: which the model has (bits), then its numbers for those, slot by slot."""
     held = []
-    for slot in range(5):
+    for slot in range(CUT3 + 1):
         mine = model[model.slot == slot]
         keys, shares = np.concatenate([np.zeros(0, np.uint64), *map(_stretch, mine["keys"])]), np.frombuffer(b"".join(mine["shares"]), np.float32)
         order = np.argsort(keys)
@@ -264,9 +265,10 @@ def _hear(keys: list[np.ndarray], told: pd.DataFrame, shards: int) -> list[np.nd
 
 
 def _discounted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(context, word, p), the discounted share of each n-gram, and (context, rest), what a context leaves for shorter n-grams.
+    """(context, word, cut), the discounted counts, and (context, rest, whole), what a context leaves for shorter n-grams and its count.
 
-    Discounts for counts of 1, 2 and 3 or more follow from the numbers of n-grams that occur 1, 2, 3 and 4 times.
+    Discounts for counts of 1, 2 and 3 or more follow from the numbers of n-grams that occur 1, 2, 3 and 4 times. Shares
+    are formed where a text asks for them, so n-grams and contexts aren't joined here.
     """
     of = counts.agg(*[F.sum((F.col("n") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
     n = [max(float(of[f"n{k}"] or 0), 1.0) for k in (1, 2, 3, 4)]
@@ -274,8 +276,7 @@ def _discounted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     d = [min(max((k + 1) - (k + 2) * y * n[k + 1] / n[k], 0.1), (k + 1) * 0.9) for k in range(3)]
     discount = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
     contexts = counts.groupBy("context").agg(F.sum("n").alias("whole"), F.sum(discount).alias("left"))
-    both = counts.withColumn("cut", F.col("n") - discount).join(contexts, "context")
-    return both.select("context", "word", (F.col("cut") / F.col("whole")).alias("p")), contexts.select("context", (F.col("left") / F.col("whole")).alias("rest"))
+    return counts.select("context", "word", (F.col("n") - discount).alias("cut")), contexts.select("context", (F.col("left") / F.col("whole")).alias("rest"), "whole")
 
 
 def train(texts: DataFrame, known: np.ndarray) -> tuple[DataFrame, float]:
@@ -284,12 +285,20 @@ def train(texts: DataFrame, known: np.ndarray) -> tuple[DataFrame, float]:
     tri = cut_lineage(tri)
     bi = cut_lineage(tri.groupBy(F.col("context").bitwiseAND((1 << WIDE) - 1).alias("context"), "word").agg(F.count("*").alias("n")))
     uni = cut_lineage(bi.groupBy("word").agg(F.count("*").alias("n")).select(F.lit(0).cast("long").alias("context"), "word", "n"))
-    (p3, rest3), (p2, rest2), (p1, rest1) = _discounted(tri), _discounted(bi), _discounted(uni)
-    pair = F.shiftleft("context", WIDE).bitwiseOR(F.col("word"))
-    told = [(P1, p1, F.col("word"), "p"), (REST2, rest2, F.col("context"), "rest"), (P2, p2, pair, "p"), (REST3, rest3, F.col("context"), "rest"), (P3, p3, F.col("context"), "p")]
-    rows = [df.select(F.lit(slot).alias("slot"), key.alias("pair"), (F.col("word") if slot == P3 else F.lit(0).cast("long")).alias("word"), F.col(value).cast("float").alias("value")) for slot, df, key, value in told]
-    left = rest1.first()
-    return reduce(DataFrame.unionAll, rows), left.rest if left else 1.0
+    (cut3, contexts3), (cut2, contexts2), (cut1, contexts1) = _discounted(tri), _discounted(bi), _discounted(uni)
+    top = contexts1.first()
+    pair, word, zero = F.shiftleft("context", WIDE).bitwiseOR(F.col("word")), F.col("word"), F.lit(0).cast("long")
+
+    def told(df: DataFrame, slot: int, pair: Column, word: Column, value: Column) -> DataFrame:
+        return df.select(F.lit(slot).alias("slot"), pair.alias("pair"), word.alias("word"), value.cast("float").alias("value"))
+
+    def of_contexts(df: DataFrame, rest: int, whole: int) -> DataFrame:
+        both = F.array(*[F.struct(F.lit(slot).alias("slot"), F.col(name).cast("float").alias("value")) for slot, name in ((rest, "rest"), (whole, "whole"))])
+        return df.select("context", F.explode(both).alias("x")).select("x.slot", F.col("context").alias("pair"), zero.alias("word"), "x.value")
+
+    parts = [told(cut1, P1, word, zero, F.col("cut") / F.lit(float(top.whole) if top else 1.0)), of_contexts(contexts2, REST2, WHOLE2), told(cut2, CUT2, pair, zero, F.col("cut")),
+             of_contexts(contexts3, REST3, WHOLE3), told(cut3, CUT3, F.col("context"), word, F.col("cut"))]
+    return reduce(DataFrame.unionAll, parts), top.rest if top else 1.0
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, least: int = 2) -> DataFrame:
@@ -317,12 +326,14 @@ def perplexities(docs: DataFrame, trusted: DataFrame, least: int = 2) -> DataFra
 
     def add_up(mine: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         keys = _distinct(map(_unpack, mine.ids))
-        p1, rest2, p2, rest3, p3 = _hear(keys, told, shards)
-        rest2[rest2 == 0], rest3[rest3 == 0] = 1, 1
+        p1, rest2, whole2, cut2, rest3, whole3, cut3 = _hear(keys, told, shards)
+        for x in (rest2, whole2, rest3, whole3):
+            x[x == 0] = 1
         mean = []
         for ids in mine.ids:
             one, two, three = (np.searchsorted(x, g) for x, g in zip(keys, _grams(_unpack(ids))))
-            p = p3[three] + rest3[two[:-1]] * (p2[two[1:]] + rest2[one[1:-1]] * (p1[one[2:]] + even))
+            first, second = two[:-1], one[1:-1]
+            p = cut3[three] / whole3[first] + rest3[first] * (cut2[two[1:]] / whole2[second] + rest2[second] * (p1[one[2:]] + even))
             mean.append(np.log(p).mean())
         return pd.DataFrame({"key": mine.key, "doc_id": mine.doc_id, "lang": mine.lang, "perplexity": np.exp(-np.array(mean))})
 
