@@ -57,6 +57,23 @@ def _number(column: str) -> Column:
     return F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
 
 
+def _summed(column: str, data_type: T.DataType) -> Column:
+    """The sum as a double. Whole and decimal numbers are added exactly and rounded once, so that the order of the rows,
+    which decides the last digits of a sum of doubles beyond 2**53, plays no part."""
+    if isinstance(data_type, T.IntegralType):
+        return F.sum(F.col(column).cast("decimal(19,0)")).cast("double")
+    if isinstance(data_type, T.DecimalType) and data_type.precision <= 28:
+        return F.sum(column).cast("double")
+    return F.sum(_number(column))
+
+
+def _fixed(value: Column, digits: int = 4) -> Column:
+    """A double with `digits` decimal places. From 2**53 on doubles are whole and all their digits are shown, where
+    format_string would fill up with zeros."""
+    whole = (F.abs(value) >= 2.0**53) & (F.abs(value) < 2.0**63)
+    return F.when(whole, F.concat(value.try_cast("long").cast("string"), F.lit("." + "0" * digits))).otherwise(F.format_string(f"%.{digits}f", value))
+
+
 def _tagged(ref: DataFrame, actual: DataFrame, columns: Sequence[Column]) -> DataFrame:
     return ref.select(F.lit(_REF).alias("__side"), *columns).unionByName(actual.select(F.lit(_ACT).alias("__side"), *columns))
 
@@ -76,7 +93,7 @@ def _totals(ref: DataFrame, actual: DataFrame) -> DataFrame:
     def side(tag: str, df: DataFrame) -> DataFrame:
         values = [F.count("*")]
         for c in columns:
-            values += [F.coalesce(F.sum(_number(c)), F.lit(0.0)), F.count(_number(c))]
+            values += [F.coalesce(_summed(c, df.schema[c].dataType), F.lit(0.0)), F.count(_number(c))]
         return df.agg(*[v.alias(n) for v, n in zip(values, names, strict=True)]).withColumn("__side", F.lit(tag))
 
     both = side(_REF, ref).unionByName(side(_ACT, actual))
@@ -136,7 +153,7 @@ def reconcile(ref: DataFrame, actual: DataFrame, rtol: float = RELATIVE_TOLERANC
             continue
         r, a = F.col(f"{_REF}_sum_{c}"), F.col(f"{_ACT}_sum_{c}")
         zero = F.concat(F.lit(f"{c}: ref=0, actual="), a.cast("string"))
-        off = F.concat(F.lit(f"{c}: "), F.format_string("ref_sum=%.4f, actual_sum=%.4f, rel_diff=%.6f", r, a, F.coalesce(_relative(r, a), F.lit(0.0))))
+        off = F.concat(F.lit(f"{c}: "), F.format_string("ref_sum=%s, actual_sum=%s, rel_diff=%.6f", _fixed(r), _fixed(a), F.coalesce(_relative(r, a), F.lit(0.0))))
         parts.append(F.when(_off(r, a, rtol), F.when(r == 0, zero).otherwise(off)))
     rows = F.when(F.col("ref_rows") != F.col("actual_rows"),
                   F.concat(F.lit("ref="), F.col("ref_rows").cast("string"), F.lit(", actual="), F.col("actual_rows").cast("string"))).otherwise("")

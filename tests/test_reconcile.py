@@ -227,3 +227,19 @@ def test_groups_are_judged_as_their_rows_arrive(spark):
         if os.path.exists(f"{commits}/{name}"):
             os.remove(f"{commits}/{name}")
     assert send(("never", 1.0)) == want | {"never": ("pass", 1, None)}
+
+
+def test_sums_of_whole_numbers_do_not_depend_on_the_order_of_rows(spark):
+    numbers = [10**17 + 7, *[1] * 40, 10**17 + 9, *[3] * 40]
+    texts = set()
+    for order in (numbers, numbers[::-1], sorted(numbers)):
+        actual = spark.createDataFrame([(n,) for n in order], "v long").coalesce(1)
+        texts.add(rc.reconcile(spark.createDataFrame([(5,)], "v long"), actual).filter("seq = 3").first()["detail"])
+    # The nearest double of 200000000000000176, with all its digits.
+    assert {t.split(", ")[1] for t in texts} == {"actual_sum=200000000000000192.0000"} and len(texts) == 1
+
+
+def test_sums_past_a_long_and_of_decimals(spark):
+    ref = spark.createDataFrame([(2**62, None)] * 4, "v long, d decimal(10,2)").withColumn("d", F.lit("0.10").cast("decimal(10,2)"))
+    got = {r.column: r.ref_sum for r in rc.aggregate_comparison(ref, ref).collect()}
+    assert got == {"v": 2.0**64, "d": 0.4}
