@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stepframe.operators import reconcile as rc
+from stepframe.plans import catalog
 from stepframe.semantics import StepError
 from stepframe.sizing import scratch_path
 from stepframe.streaming.batches import read_reports, reconcile_stream
@@ -243,3 +244,11 @@ def test_sums_past_a_long_and_of_decimals(spark):
     ref = spark.createDataFrame([(2**62, None)] * 4, "v long, d decimal(10,2)").withColumn("d", F.lit("0.10").cast("decimal(10,2)"))
     got = {r.column: r.ref_sum for r in rc.aggregate_comparison(ref, ref).collect()}
     assert got == {"v": 2.0**64, "d": 0.4}
+
+
+def test_schema_parity_counts_the_rows_of_each_variant(spark):
+    catalog.load_all()
+    folder = "/root/testdata/sf0.001"
+    rows = catalog.QUERIES["rc_1_schema_parity"](spark, folder).collect()
+    n = spark.read.parquet(f"{folder}/customer.parquet").count()
+    assert [(r.seq, r.status, r.n_rows) for r in sorted(rows)] == [(1, "fail", n), (2, "fail", n), (3, "pass", n)]
