@@ -16,6 +16,8 @@ from stepframe.semantics import StepError
 from stepframe.sizing import cut_bucketed, cut_counting, cut_lineage
 
 _COMPACT_EVERY = 8
+# Rows that share a key from which on the key is broadcast.
+_MANY = 20_000
 
 
 def _known(parts: list[DataFrame]) -> list[DataFrame]:
@@ -95,26 +97,50 @@ def trim(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return left, rest
 
 
+def _looked_up(rows: DataFrame, targets: DataFrame, key: str) -> DataFrame:
+    """`rows` with what `targets` holds for their key (unique there, NULL if it holds nothing).
+
+    The keys are counted first. One that many rows share is looked up once and its answer broadcast, so that no task gets
+    all rows of a key; the other rows meet theirs in a shuffle.
+    """
+    wanted = rows.groupBy(key).agg(F.count("*").alias("__n"))
+    answers = cut_lineage(wanted.join(targets, key, "left"))
+    # At most one key for each _MANY rows.
+    often = answers.where(F.col("__n") > _MANY).withColumn("__hit", F.lit(True)).drop("__n")
+    seldom = answers.where(F.col("__n") <= _MANY).drop("__n")
+    met = rows.join(F.broadcast(often), key, "left")
+    return met.where("__hit").drop("__hit").unionByName(met.where("__hit IS NULL").select(*rows.columns).join(seldom, key))
+
+
 def roots(parents: DataFrame) -> DataFrame:
-    """(`node`, `parent` or NULL) -> (`node`, `root`, `depth`) by pointer doubling: log2(depth) joins, one job each.
+    """(`node`, `parent` or NULL) -> (`node`, `root`, `depth`) by pointer doubling: log2(depth) rounds.
 
-    A parent that is not in the table ends the walk. A circle of parents is an error that names one of its nodes.
+    A parent that is not in the table ends the walk. A circle of parents is an error that names one of its nodes. A node
+    whose root is known takes no part in later rounds, except that others may jump to it.
     """
-    known = parents.select(F.col("node").alias("parent"))
-    jumps = parents.select("node", "parent").join(known, "parent", "left_semi").select("node", F.col("parent").alias("jump"))
-    state, all_rows = cut_counting(parents.select("node").join(jumps, "node", "left").select(
-        "node", F.coalesce("jump", "node").alias("root"), F.when(F.col("jump").isNull(), 0).otherwise(1).cast("long").alias("depth")), rows=F.lit(True))
+    parents = parents.select("node", "parent")
+    zero, one = (F.lit(n).cast("long") for n in (0, 1))
+    known = parents.where("node IS NOT NULL").select(F.col("node").alias("parent"), F.lit(True).alias("known"))
+    alone = parents.where("parent IS NULL").select("node", F.col("node").alias("root"), zero.alias("depth"), F.lit(True).alias("ended"))
+    first = _looked_up(parents.where("parent IS NOT NULL"), known, "parent").select(
+        "node", F.when(F.col("known"), F.col("parent")).otherwise(F.col("node")).alias("root"), F.when(F.col("known"), one).otherwise(zero).alias("depth"), F.col("known").isNull().alias("ended"))
+    state, new = cut_counting(alone.unionByName(first), rows=F.lit(True), open=~F.col("ended"))
+    done: list[DataFrame] = []
     # Doubling reaches every root in this many rounds, for no path is longer than the table.
-    for left in reversed(range(all_rows["rows"].bit_length() + 2)):
-        ahead = state.filter("depth > 0").select(F.col("node").alias("root"), F.col("root").alias("further"), F.col("depth").alias("more"))
-        moved, new = cut_counting(state.join(ahead, "root", "left").select(
-            "node", F.coalesce("further", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("more").isNotNull().alias("moved")),
-            moved=F.col("moved"))
-        if not new["moved"]:
-            return moved.drop("moved")
-        if not left:
-            raise StepError(f"the parents of {moved.filter('moved').first()['root']!r} form a circle")
-        state = moved.drop("moved")
+    for left in reversed(range(new["rows"].bit_length() + 2)):
+        done = _known([*done, state.where("ended")])
+        if not new["open"]:
+            break
+        walking = state.where("NOT ended").select("node", "root", "depth")
+        ahead = reduce(DataFrame.unionByName, [*done, state.where("NOT ended")]).select(
+            F.col("node").alias("root"), F.col("root").alias("further"), F.col("depth").alias("more"), F.col("ended").alias("there"))
+        state, new = cut_counting(_looked_up(walking, ahead, "root").select(
+            "node", F.col("further").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.col("there").alias("ended")), open=~F.col("ended"))
+        if not left and new["open"]:
+            raise StepError(f"the parents of {state.where('NOT ended').first()['root']!r} form a circle")
+    else:
+        done.append(state.where("ended"))
+    return reduce(DataFrame.unionByName, done).select("node", "root", "depth")
 
 
 def _pass_chains(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:

@@ -70,6 +70,22 @@ def test_long_chains(spark):
     assert {r.node: (r.root, r.depth) for r in graph.roots(parents).collect()} == {**{i: (0, i) for i in range(100)}, 200: (200, 0)}
 
 
+def test_a_parent_of_many_is_met_where_its_children_lie(spark):
+    # All walks end at node 0; a shuffle on the root would send every row to one task.
+    rows = spark.range(0, 60_000, 1, 8).select(F.col("id").alias("node"), F.lit(-1).cast("long").alias("root"))
+    met = graph._looked_up(rows, spark.createDataFrame([(-1, 7)], "root long, further long"), "root")
+    sizes = [r["count"] for r in met.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 60_000 and max(sizes) < 10_000 and met.where("further = 7").count() == 60_000
+
+
+def test_roots_of_shared_parents(spark, monkeypatch):
+    monkeypatch.setattr(graph, "_MANY", 3)
+    parents = [(0, None), *[(i, 0) for i in range(1, 9)], *[(i, 8) for i in range(10, 30)], *[(i, 777) for i in range(40, 50)], (60, 29), (None, None)]
+    expected = {0: (0, 0), **{i: (0, 1) for i in range(1, 9)}, **{i: (0, 2) for i in range(10, 30)}, **{i: (i, 0) for i in range(40, 50)}, 60: (0, 3), None: (None, 0)}
+    got = graph.roots(spark.createDataFrame(parents, "node int, parent int")).collect()
+    assert len(got) == len(parents) and {r.node: (r.root, r.depth) for r in got} == expected
+
+
 STEPS = "node string, seq int, file string, inputs array<string>, outputs array<string>"
 
 
