@@ -19,6 +19,12 @@ _REFERENCE = r"&(\w+)"
 _BLOCK_TYPE = "array<struct<start:int,end:int,procedure:string,statements:array<string>>>"
 
 
+def _spread(scripts: DataFrame) -> DataFrame:
+    """(path, text) dealt over as many tasks as the shuffle has. Reading is quick and a scan of a script is not: a million
+    small scripts may lie in one file, which is read by a task or two."""
+    return scripts.select("path", "text").repartition(int(scripts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+
+
 def _breaks(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
@@ -65,9 +71,9 @@ def blocks(scripts: DataFrame) -> DataFrame:
     """(block_id = path:line, path, start_line, end_line, ordinal, block_type, raw, statements) of every block, in file order.
 
     Comments are left out and don't open blocks; semicolons in quotes end no statement. `raw` is the block's code. A
-    block is put together inside its script's row, so nothing is shuffled.
+    block is put together inside its script's row: the scripts are shuffled once, to spread the work, and nothing after that.
     """
-    found = scripts.select("path", F.posexplode(_grouped(_statements("text"))).alias("ordinal", "b"))
+    found = _spread(scripts).select("path", F.posexplode(_grouped(_statements("text"))).alias("ordinal", "b"))
     known = F.create_map(*[F.lit(x) for pair in PROCEDURES.items() for x in pair])
     kind = F.when(F.col("b.procedure") == "", "DATA_STEP").otherwise(F.coalesce(known[F.col("b.procedure")], F.lit("PROC_UNKNOWN")))
     raw = F.trim(F.translate(F.concat(F.array_join("b.statements", ";"), F.lit(";")), _MASK, ";"))
@@ -160,7 +166,7 @@ def _declared() -> Column:
 
 def macro_variables(scripts: DataFrame) -> DataFrame:
     """(path, name, raw_value) of every %LET."""
-    return scripts.select("path", F.inline(_declared())).toDF("path", "name", "raw_value")
+    return _spread(scripts).select("path", F.inline(_declared())).toDF("path", "name", "raw_value")
 
 
 def macro_usages(scripts: DataFrame) -> DataFrame:
@@ -169,7 +175,7 @@ def macro_usages(scripts: DataFrame) -> DataFrame:
     The same file's last declaration wins, else the last one by path.
     """
     used = blocks(scripts).select("path", "block_id", F.explode(F.array_distinct(_all(F.upper("raw"), _REFERENCE))).alias("macro_name"))
-    lets = scripts.select("path", F.posexplode(_declared()).alias("at", "let"))
+    lets = _spread(scripts).select("path", F.posexplode(_declared()).alias("at", "let"))
     lets = lets.select("path", "at", F.upper(F.col("let")["n"]).alias("macro_name"), F.col("let")["v"].alias("v"))
     local = lets.groupBy("path", "macro_name").agg(F.max_by("v", "at").alias("local_value"))
     anywhere = lets.groupBy("macro_name").agg(F.max_by("v", F.struct("path", "at")).alias("any_value"))

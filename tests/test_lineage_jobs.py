@@ -281,6 +281,16 @@ def test_code_in_comments_and_quotes_is_none(spark):
         (2, 4, "DATA_STEP", ["s1", "s2"], ["a", "b"]), (5, 5, "PROC_SQL", ["t1", "t2", "t3", "t4"], ["q"]), (6, 6, "PROC_MEANS", ["m"], ["o1", "o2"])]
 
 
+def test_scripts_of_one_file_are_scanned_by_many_tasks(spark):
+    text = "%LET size = 1;\nDATA a; SET b; x = &size &other; RUN;\n"
+    scripts = spark.range(0, 400, 1, 1).select(F.concat(F.lit("p"), "id").alias("path"), F.lit(text).alias("text"))
+    assert scripts.rdd.getNumPartitions() == 1
+    for found, rows in ((corpus.blocks(scripts), 400), (corpus.dataset_usage(scripts), 800), (corpus.macro_variables(scripts), 400), (corpus.risk_flags(corpus.blocks(scripts)), 400)):
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == rows and len(sizes) == 8 and max(sizes) < rows / 4
+    assert {(r.macro_name, r["count"]) for r in corpus.unresolved_macros(scripts).groupBy("macro_name").count().collect()} == {("OTHER", 400)}
+
+
 def test_circle_of_parents_is_named(spark):
     with pytest.raises(StepError, match="circle"):
         graph.roots(spark.createDataFrame([(1, 2), (2, 1), (3, None)], "node int, parent int"))
