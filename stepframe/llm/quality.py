@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepframe.llm.words import _BASE, _BASE_INVERSE, _JOIN, LOWER, mix, powers, utf8, windows
-from stepframe.sizing import cut_lineage
+from stepframe.sizing import cut_bucketed, cut_lineage, delete_scratch, scratch_paths
 
 _byte = np.arange(256)
 _SPACE, _LETTER, _DIGIT, _SIGN = range(4)
@@ -28,8 +28,11 @@ _UPPER = (_byte >= 65) & (_byte <= 90)
 START, END, AGAIN, SHAPES, KNOWN = 0, 1, 2, 12, 64
 # Tokens that never occur share what unigrams leave evenly, with at least 1 << BITS tokens.
 BITS = 16
-# Bits of a key that requests leave out.
+# Bits of a key that requests leave out; they tell its shard.
 _CUT = np.uint64(16)
+_LOW = np.uint64((1 << 16) - 1)
+# Bytes of text that are asked for at once, unless the documents have more than _PASSES times as many.
+_PASS_BYTES, _PASSES = 1 << 26, 5
 # Two token numbers make one pair.
 WIDE = 32
 
@@ -91,25 +94,164 @@ def _tokens(column: pa.Array, known: np.ndarray) -> list[np.ndarray]:
     return [np.concatenate([np.array([START, START], np.uint32), *x, np.array([END], np.uint32)]) for x in out]
 
 
+def _pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Two token numbers as one number."""
+    return (first.astype(np.uint64) << np.uint64(WIDE)) | second.astype(np.uint64)
+
+
+def _join(pair: np.ndarray, word: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Key of a trigram from those of its first two tokens and of its last two, which gives the bits that tell the shard."""
+    return (mix(pair * _JOIN + word.astype(np.uint64)) & ~_LOW) | (last & _LOW)
+
+
 def _grams(ids: np.ndarray) -> list[np.ndarray]:
     """Keys of the unigrams, bigrams and trigrams of a text; those of unigrams and bigrams are one to one."""
-    x = ids.astype(np.uint64)
-    pair = mix((x[:-1] << np.uint64(WIDE)) | x[1:])
-    return [mix(x), pair, mix(pair[:-1] * _JOIN + x[2:])]
+    pair = mix(_pairs(ids[:-1], ids[1:]))
+    return [mix(ids.astype(np.uint64)), pair, _join(pair[:-1], ids[2:], pair[1:])]
+
+
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    return ((keys & _LOW) % np.uint64(shards)).astype(np.int64)
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where equal rows of sorted columns begin."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = reduce(np.logical_or, [x[1:] != x[:-1] for x in columns])
+    return np.flatnonzero(new)
+
+
+def _sums(values: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, start) if len(start) else values[:0]
+
+
+def _write(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers, none negative: as many bytes as the largest one needs, all lowest bytes first, and so on."""
+    out = []
+    for x in columns:
+        width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+        packed = zlib.compress(x.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes(), 1)
+        out.append(width.to_bytes(1, "little") + len(x).to_bytes(8, "little") + len(packed).to_bytes(8, "little") + packed)
+    return b"".join(out)
+
+
+def _read(packed: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(packed):
+        width, n, size = packed[at], int.from_bytes(packed[at + 1:at + 9], "little"), int.from_bytes(packed[at + 9:at + 17], "little")
+        full = np.zeros((n, 8), np.uint8)
+        full[:, :width] = np.frombuffer(zlib.decompress(packed[at + 17:at + 17 + size]), np.uint8).reshape(width, n).T
+        out.append(full.view(np.uint64).ravel())
+        at += 17 + size
+    return out
+
+
+def _write_ascending(keys: np.ndarray, *columns: np.ndarray) -> bytes:
+    return _write(np.diff(keys, prepend=np.uint64(0)), *columns)
+
+
+def _read_ascending(packed: Iterable[bytes], columns: int) -> list[np.ndarray]:
+    """What `_write_ascending` wrote, several of them after each other."""
+    parts = [[np.cumsum(x[0], dtype=np.uint64), *x[1:]] for x in map(_read, packed)]
+    return [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.uint64) for _ in range(columns)]
+
+
+def _classes(n: np.ndarray) -> list[np.ndarray]:
+    """1 where the count is 1, 2, and 3 or more."""
+    return [(n == 1).astype(np.uint64), (n == 2).astype(np.uint64), (n > 2).astype(np.uint64)]
+
+
+def _seldom(n: np.ndarray) -> list[int]:
+    """How many counts are 1, 2, 3 and 4."""
+    return [int((n == k).sum()) for k in range(1, 5)]
+
+
+def _trigram_counts(last: np.ndarray, first: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Each trigram once, in the order of its last two tokens (one number), then of the first."""
+    # Two sorts of numbers take less time than one of rows.
+    order = np.argsort(last)
+    rank = np.zeros(len(last), np.uint64)
+    rank[1:] = np.cumsum(last[order[1:]] != last[order[:-1]])
+    order = order[np.argsort(_pairs(rank, first[order]))]
+    last, first = last[order], first[order]
+    start = _starts(last, first) if len(last) else np.zeros(0, np.int64)
+    return [last[start], first[start], _sums(n[order], start)]
+
+
+def _count_trigrams(known: np.ndarray, shards: int):
+    """Trigrams of a stretch of texts with their counts, a row per shard."""
+
+    def counted(texts: list[np.ndarray]) -> pa.RecordBatch:
+        a, b, c = (np.concatenate([x[k:len(x) - 2 + k] for x in texts]) for k in range(3))
+        last, first, n = _trigram_counts(_pairs(b, c), a.astype(np.uint64), np.ones(len(a), np.uint64))
+        order, edges = _by_shard(mix(last), shards)
+        slices = [order[edges[k]:edges[k + 1]] for k in range(shards)]
+        packed = [_write_ascending(last[x], first[x], n[x]) for x in slices]
+        return pa.RecordBatch.from_arrays([pa.array(range(shards), pa.int32()), pa.array(packed, pa.binary())], names=["shard", "grams"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, size = [], 0
+        for batch in batches:
+            for x in _tokens(batch.column(0), known):
+                texts.append(x)
+                size += len(x)
+                if size > 1 << 21:
+                    yield counted(texts)
+                    texts, size = [], 0
+        if texts:
+            yield counted(texts)
+
+    return run
+
+
+def _merge_trigrams(parts: pd.DataFrame) -> pd.DataFrame:
+    """All trigrams of a shard, and how many of them, and of the bigrams at their end, have small counts."""
+    last, first, n = _trigram_counts(*_read_ascending(parts.grams, 3))
+    many = np.diff(np.append(_starts(last), len(last)))
+    return pd.DataFrame({"shard": parts.shard[:1], "grams": [_write_ascending(last, first, n)], "seldom3": [_seldom(n)], "seldom2": [_seldom(many)]})
+
 
+def _added(keys: np.ndarray, columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Ascending distinct keys and the sums of the columns."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    start = _starts(keys) if len(keys) else np.zeros(0, np.int64)
+    return [keys[start], *[_sums(x[order], start) for x in columns]]
+
+
+def _contexts(shards: int):
+    """What trigrams tell of the shorter n-grams before their ends, a row per shard of those.
+
+    pairs: of the first two tokens the count, and how many counts of 1, 2 and more follow. words: the same of the middle
+    token, from the bigrams at the end of trigrams; and how many such bigrams a token ends.
+    """
 
-def _count_trigrams(known: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _tokens(batch.column(0), known)
-            if texts:
-                _, first, n = np.unique(np.concatenate([_grams(x)[2] for x in texts]), return_index=True, return_counts=True)
-                a, b, c = (np.concatenate([x[k:len(x) - 2 + k] for x in texts])[first].astype(np.int64) for k in range(3))
-                yield pa.RecordBatch.from_arrays([pa.array((a << WIDE) | b), pa.array(c), pa.array(n)], names=["context", "word", "n"])
+            for packed in batch.column(0).to_pylist():
+                last, first, n = _read_ascending([packed], 3)
+                start = _starts(last)
+                ends, many = last[start], np.diff(np.append(start, len(last))).astype(np.uint64)
+                middle, word, none = ends >> np.uint64(WIDE), ends & np.uint64((1 << WIDE) - 1), np.zeros(len(ends), np.uint64)
+                pairs = _added(mix(_pairs(first, last >> np.uint64(WIDE))), [n, *_classes(n)])
+                both = [np.concatenate(x) for x in zip([many, *_classes(many), none], [none] * 4 + [none + np.uint64(1)])]
+                words = _added(mix(np.concatenate([middle, word])), both)
+                rows = []
+                for keys, *columns in (pairs, words):
+                    order, edges = _by_shard(keys, shards)
+                    rows.append([_write_ascending(*[x[order[edges[k]:edges[k + 1]]] for x in (keys, *columns)]) for k in range(shards)])
+                yield pa.RecordBatch.from_arrays([pa.array(range(shards), pa.int32()), *[pa.array(x, pa.binary()) for x in rows]], names=["shard", "pairs", "words"])
 
     return run
 
 
+def _merge_contexts(parts: pd.DataFrame) -> pd.DataFrame:
+    pairs, words = (_added(x[0], x[1:]) for x in (_read_ascending(parts.pairs, 5), _read_ascending(parts.words, 6)))
+    ended = words[5][words[5] > 0]
+    return pd.DataFrame({"shard": parts.shard[:1], "pairs": [_write_ascending(*pairs)], "words": [_write_ascending(*words)],
+                         "seldom1": [_seldom(ended)], "whole1": [int(ended.sum())], "kinds1": [len(ended)]})
+
+
 def _pack(ids: np.ndarray) -> bytes:
     """Token numbers, all their lowest bytes first, and so on."""
     return zlib.compress(ids.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
@@ -128,6 +270,20 @@ def _encode(known: np.ndarray):
     return run
 
 
+def _unique(keys: np.ndarray) -> np.ndarray:
+    # Sorting takes a tenth of the time that np.unique takes for its hash table.
+    keys = np.sort(keys)
+    return keys[_starts(keys)] if len(keys) else keys
+
+
+def _places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where the wanted keys are among sorted ones; looked for in ascending order, which is much faster."""
+    order = np.argsort(wanted)
+    at = np.empty(len(wanted), np.int64)
+    at[order] = np.searchsorted(keys, wanted[order])
+    return np.minimum(at, max(len(keys) - 1, 0))
+
+
 def _distinct(texts: Iterable[np.ndarray]) -> list[np.ndarray]:
     """The sorted distinct keys of all unigrams, bigrams and trigrams of some texts."""
     seen, size = [[np.zeros(0, np.uint64)] for _ in range(3)], 0
@@ -136,14 +292,14 @@ def _distinct(texts: Iterable[np.ndarray]) -> list[np.ndarray]:
             keys.append(more)
         size += len(ids)
         if size > 1 << 22:
-            seen, size = [[np.unique(np.concatenate(keys))] for keys in seen], 0
-    return [np.unique(np.concatenate(keys)) for keys in seen]
+            seen, size = [[_unique(np.concatenate(keys))] for keys in seen], 0
+    return [_unique(np.concatenate(keys)) for keys in seen]
 
 
 def _by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the keys in the order of their shards, and where each shard begins and ends."""
-    shard = (keys % np.uint64(shards)).astype(np.int64)
-    return np.argsort(shard, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
+    shard = _shard(keys, shards)
+    return np.argsort(shard.astype(np.uint16), kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
 
 
 def _squeeze(keys: np.ndarray) -> bytes:
@@ -187,60 +343,56 @@ def _ask(known: np.ndarray, shards: int):
     return run
 
 
-def _keyed(shards: int):
-    """The model's numbers by the keys of their n-grams, many to a row."""
+def _held(grams: Iterable[bytes], pairs: Iterable[bytes], words: Iterable[bytes], cuts: list[list[float]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Keys, ascending and without their lowest bits, and the model's numbers of a shard, slot by slot."""
 
-    def packed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        slot, keys, values = (np.concatenate(x) for x in zip(*parts))
-        shard = (keys % np.uint64(shards)).astype(np.int64)
-        order = np.lexsort((keys, slot, shard))
-        group = (shard * 8 + slot)[order]
-        start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        pieces = np.split(order, start[1:])
-        columns = [pa.array(group[start] // 8, pa.int32()), pa.array(group[start] % 8, pa.int32())]
-        told = [pa.array([_squeeze(keys[p]) for p in pieces], pa.binary()), pa.array([values[p].tobytes() for p in pieces], pa.binary())]
-        return pa.RecordBatch.from_arrays([*columns, *told], names=["shard", "slot", "keys", "shares"])
+    def discount(n: np.ndarray, cut: list[float]) -> np.ndarray:
+        return np.where(n == 1, cut[0], np.where(n == 2, cut[1], cut[2]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
-        for batch in batches:
-            slot, pair, word, value = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            key = mix(pair.astype(np.int64).view(np.uint64))
-            key = np.where(slot == CUT3, mix(key * _JOIN + word.astype(np.uint64)), key)
-            parts.append((slot.astype(np.int64), key, value.astype(np.float32)))
-            size += len(key)
-            if size > 1 << 20:
-                yield packed(parts)
-                parts, size = [], 0
-        if size:
-            yield packed(parts)
+    def sorted_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(keys)
+        return keys[order] >> _CUT, values[order].astype(np.float32)
+
+    cut1, cut2, cut3 = cuts
+    last, first, n = _read_ascending(grams, 3)
+    ends = mix(last)
+    keys = _join(mix(_pairs(first, last >> np.uint64(WIDE))), last & np.uint64((1 << WIDE) - 1), ends)
+    start = _starts(last) if len(last) else np.zeros(0, np.int64)
+    many = np.diff(np.append(start, len(last)))
+    pair, whole3, *classes3 = _read_ascending(pairs, 5)
+    word, whole2, *classes2, count = _read_ascending(words, 6)
+    is_word, is_context = count > 0, whole2 > 0
+    rest3 = sum(x * y for x, y in zip(classes3, cut3)) / np.maximum(whole3, 1)
+    rest2 = sum(x * y for x, y in zip(classes2, cut2)) / np.maximum(whole2, 1)
+    context = word[is_context]
+    # Pairs and words are in the order of their keys.
+    rows = [(word[is_word], count[is_word] - discount(count[is_word], cut1)), (context, rest2[is_context]), (context, whole2[is_context])]
+    rows = [(k >> _CUT, x.astype(np.float32)) for k, x in [*rows, (pair, rest3), (pair, whole3)]]
+    return [*rows[:3], sorted_by(ends[start], many - discount(many, cut2)), *rows[3:], sorted_by(keys, n - discount(n, cut3))]
+
+
+def _answer(cuts: list[list[float]]):
+    def run(asked: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        """To each block, for the keys in its order: which the model has (bits), then its numbers for those, slot by slot."""
+        if not len(asked):
+            return pd.DataFrame({"block": [], "shard": [], "told": []})
+        held, told = _held(model.grams, model.pairs, model.words, cuts), []
+        for row in asked.itertuples(index=False):
+            out = []
+            for packed, slots in zip((row.k1, row.k2, row.k3), _SLOTS):
+                want = _stretch(packed)
+                out.append(np.bitwise_xor.reduce(want).tobytes())
+                for slot in slots:
+                    keys, shares = held[slot]
+                    at = np.minimum(np.searchsorted(keys, want), max(len(keys) - 1, 0))
+                    has = keys[at] == want if len(keys) else np.zeros(len(want), bool)
+                    out += [np.packbits(has).tobytes(), shares[at[has]].tobytes()]
+            told.append(b"".join(out))
+        return pd.DataFrame({"block": asked.block, "shard": asked.shard, "told": told})
 
     return run
 
 
-def _answer(asked: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-    """To each block, for the keys in its order: which the model has (bits), then its numbers for those, slot by slot."""
-    held = []
-    for slot in range(CUT3 + 1):
-        mine = model[model.slot == slot]
-        keys, shares = np.concatenate([np.zeros(0, np.uint64), *map(_stretch, mine["keys"])]), np.frombuffer(b"".join(mine["shares"]), np.float32)
-        order = np.argsort(keys)
-        held.append((keys[order], shares[order]))
-    told = []
-    for row in asked.itertuples(index=False):
-        out = []
-        for packed, slots in zip((row.k1, row.k2, row.k3), _SLOTS):
-            want = _stretch(packed)
-            out.append(np.bitwise_xor.reduce(want).tobytes())
-            for slot in slots:
-                keys, shares = held[slot]
-                at = np.minimum(np.searchsorted(keys, want), max(len(keys) - 1, 0))
-                has = keys[at] == want if len(keys) else np.zeros(len(want), bool)
-                out += [np.packbits(has).tobytes(), shares[at[has]].tobytes()]
-        told.append(b"".join(out))
-    return pd.DataFrame({"block": asked.block, "shard": asked.shard, "told": told})
-
-
 def _hear(keys: list[np.ndarray], told: pd.DataFrame, shards: int) -> list[np.ndarray]:
     """The model's numbers for sorted keys, slot by slot; 0 for what it has not."""
     dealt = [_by_shard(x, shards) for x in keys]
@@ -264,41 +416,35 @@ def _hear(keys: list[np.ndarray], told: pd.DataFrame, shards: int) -> list[np.nd
     return values
 
 
-def _discounted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(context, word, cut), the discounted counts, and (context, rest, whole), what a context leaves for shorter n-grams and its count.
-
-    Discounts for counts of 1, 2 and 3 or more follow from the numbers of n-grams that occur 1, 2, 3 and 4 times. Shares
-    are formed where a text asks for them, so n-grams and contexts aren't joined here.
-    """
-    of = counts.agg(*[F.sum((F.col("n") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-    n = [max(float(of[f"n{k}"] or 0), 1.0) for k in (1, 2, 3, 4)]
+def _cuts(seldom: list[int]) -> list[float]:
+    """Discounts for counts of 1, 2 and 3 or more, from the numbers of n-grams that occur 1, 2, 3 and 4 times."""
+    n = [max(float(k or 0), 1.0) for k in seldom]
     y = n[0] / (n[0] + 2 * n[1])
-    d = [min(max((k + 1) - (k + 2) * y * n[k + 1] / n[k], 0.1), (k + 1) * 0.9) for k in range(3)]
-    discount = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-    contexts = counts.groupBy("context").agg(F.sum("n").alias("whole"), F.sum(discount).alias("left"))
-    return counts.select("context", "word", (F.col("n") - discount).alias("cut")), contexts.select("context", (F.col("left") / F.col("whole")).alias("rest"), "whole")
+    return [min(max((k + 1) - (k + 2) * y * n[k + 1] / n[k], 0.1), (k + 1) * 0.9) for k in range(3)]
 
 
-def train(texts: DataFrame, known: np.ndarray) -> tuple[DataFrame, float]:
-    """((slot, pair, word, value) of the model, what unigrams leave), the shorter n-grams from continuation counts; `texts` has `text`."""
-    tri = texts.select("text").mapInArrow(_count_trigrams(known), "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
-    tri = cut_lineage(tri)
-    bi = cut_lineage(tri.groupBy(F.col("context").bitwiseAND((1 << WIDE) - 1).alias("context"), "word").agg(F.count("*").alias("n")))
-    uni = cut_lineage(bi.groupBy("word").agg(F.count("*").alias("n")).select(F.lit(0).cast("long").alias("context"), "word", "n"))
-    (cut3, contexts3), (cut2, contexts2), (cut1, contexts1) = _discounted(tri), _discounted(bi), _discounted(uni)
-    top = contexts1.first()
-    pair, word, zero = F.shiftleft("context", WIDE).bitwiseOR(F.col("word")), F.col("word"), F.lit(0).cast("long")
+def train(texts: DataFrame, known: np.ndarray, shards: int) -> tuple[DataFrame, list[list[float]], float, float]:
+    """((shard, grams, pairs, words) of the model, discounts of uni-, bi- and trigrams, count of unigrams, what they leave).
 
-    def told(df: DataFrame, slot: int, pair: Column, word: Column, value: Column) -> DataFrame:
-        return df.select(F.lit(slot).alias("slot"), pair.alias("pair"), word.alias("word"), value.cast("float").alias("value"))
+    Counts of the shorter n-grams are continuation counts. A shard holds the trigrams whose last two tokens fall to it, so
+    it counts those pairs, too; what trigrams tell of their first two tokens and of single ones is added up in a second
+    exchange. `texts` has `text`. The tables are written in buckets of the shard: to answer moves the questions only.
+    """
 
-    def of_contexts(df: DataFrame, rest: int, whole: int) -> DataFrame:
-        both = F.array(*[F.struct(F.lit(slot).alias("slot"), F.col(name).cast("float").alias("value")) for slot, name in ((rest, "rest"), (whole, "whole"))])
-        return df.select("context", F.explode(both).alias("x")).select("x.slot", F.col("context").alias("pair"), zero.alias("word"), "x.value")
+    def added(name: str) -> list[Column]:
+        return [F.sum(F.col(name)[k]).alias(f"{name}_{k}") for k in range(4)]
 
-    parts = [told(cut1, P1, word, zero, F.col("cut") / F.lit(float(top.whole) if top else 1.0)), of_contexts(contexts2, REST2, WHOLE2), told(cut2, CUT2, pair, zero, F.col("cut")),
-             of_contexts(contexts3, REST3, WHOLE3), told(cut3, CUT3, F.col("context"), word, F.col("cut"))]
-    return reduce(DataFrame.unionAll, parts), top.rest if top else 1.0
+    parts = texts.select("text").mapInArrow(_count_trigrams(known, shards), "shard int, grams binary")
+    grams = cut_bucketed(parts.groupBy("shard").applyInPandas(_merge_trigrams, "shard int, grams binary, seldom3 array<long>, seldom2 array<long>"), "shard")
+    parts = grams.select("grams").mapInArrow(_contexts(shards), "shard int, pairs binary, words binary")
+    shorter = cut_bucketed(parts.groupBy("shard").applyInPandas(
+        _merge_contexts, "shard int, pairs binary, words binary, seldom1 array<long>, whole1 long, kinds1 long"), "shard")
+    long = grams.agg(*added("seldom2"), *added("seldom3")).first()
+    short = shorter.agg(*added("seldom1"), F.sum("whole1"), F.sum("kinds1")).first()
+    cuts = [_cuts(x) for x in (short[:4], long[:4], long[4:])]
+    whole, kinds, few = short[4] or 0, short[5] or 0, [x or 0 for x in short[:2]]
+    left = sum(x * y for x, y in zip(cuts[0], [*few, kinds - sum(few)])) / whole if whole else 1.0
+    return grams.select("shard", "grams").join(shorter.select("shard", "pairs", "words"), "shard"), cuts, float(whole or 1), left
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, least: int = 2) -> DataFrame:
@@ -308,37 +454,58 @@ def perplexities(docs: DataFrame, trusted: DataFrame, least: int = 2) -> DataFra
     shape; from the third equal word in a row on the token is the length of the run. The list of named strings goes to each
     task, 8 bytes a string. Counts are distributed tables. Each task's part of the documents is a block, which asks once
     for each distinct n-gram in it; requests and counts meet by the shard of their keys (64-bit hashes), and the answers
-    go back to their block, where they are added up per document. No task needs the whole model. Null texts count as
+    go back to their block, where they are added up per document. No task needs the whole model. Blocks are asked for in
+    up to `_PASSES` turns, each of which is written before the next, so that their questions need less room. Null texts count as
     empty: two starts and an end. `docs` must come straight from files, for it is read twice in the same parts
     (`sizing.cut_lineage` writes what doesn't); else this is an error.
     """
     counts = trusted.select("text").mapInArrow(_count_strings, "string long, n long").groupBy("string").agg(F.sum("n").alias("n"))
     named = counts.where(F.col("n") >= least).select("string").toArrow().column(0)
     known = np.sort(named.to_numpy().astype(np.int64).view(np.uint64))
-    model, left = train(trusted, known)
+    shards = min(max(2 * docs.rdd.getNumPartitions(), 1), 1 << 16)
+    before = len(scratch_paths())
+    model, cuts, whole1, left = train(trusted, known, shards)
+    tables = scratch_paths()[before:]
     even = left / max(1 << BITS, KNOWN + 3 * len(known))
-    shards = max(2 * docs.rdd.getNumPartitions(), 1)
+    passes = min(max((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // _PASS_BYTES, 1), _PASSES)
 
-    placed = docs.select(F.spark_partition_id().alias("block"), row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    asked = placed.select("block", "text").mapInArrow(_ask(known, shards), "block int, shard int, k1 binary, k2 binary, k3 binary")
-    held = model.mapInArrow(_keyed(shards), "shard int, slot int, keys binary, shares binary")
-    answers = asked.groupBy("shard").cogroup(held.groupBy("shard")).applyInPandas(_answer, "block int, shard int, told binary")
+    placed = docs.select(F.spark_partition_id().alias("block"), "doc_id", "lang", "text")
 
     def add_up(mine: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         keys = _distinct(map(_unpack, mine.ids))
         p1, rest2, whole2, cut2, rest3, whole3, cut3 = _hear(keys, told, shards)
         for x in (rest2, whole2, rest3, whole3):
             x[x == 0] = 1
+        # Tokens are few and small numbers: their places are looked up once.
+        tokens = _unique(np.concatenate([np.zeros(0, np.uint32), *map(_unpack, mine.ids)]))
+        place = np.zeros(int(tokens[-1]) + 1 if len(tokens) else 0, np.int64)
+        place[tokens] = _places(keys[0], mix(tokens.astype(np.uint64)))
         mean = []
-        for ids in mine.ids:
-            one, two, three = (np.searchsorted(x, g) for x, g in zip(keys, _grams(_unpack(ids))))
-            first, second = two[:-1], one[1:-1]
-            p = cut3[three] / whole3[first] + rest3[first] * (cut2[two[1:]] / whole2[second] + rest2[second] * (p1[one[2:]] + even))
-            mean.append(np.log(p).mean())
-        return pd.DataFrame({"key": mine.key, "doc_id": mine.doc_id, "lang": mine.lang, "perplexity": np.exp(-np.array(mean))})
-
-    encoded = placed.mapInArrow(_encode(known), "block int, key long, doc_id long, lang string, ids binary")
-    return encoded.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(add_up, "key long, doc_id long, lang string, perplexity double")
+        for at in range(0, len(mine), 256):
+            texts = [_unpack(x) for x in mine.ids[at:at + 256]]
+            end = np.cumsum([len(x) for x in texts])
+            inside = np.ones(end[-1], bool)
+            inside[end - 1] = inside[end - 2] = False
+            here = np.flatnonzero(inside)
+            ids = np.concatenate(texts)
+            one, (two, three) = place[ids], (_places(x, g) for x, g in zip(keys[1:], _grams(ids)[1:]))
+            first, second = two[here], one[here + 1]
+            p = cut3[three[here]] / whole3[first] + rest3[first] * (cut2[two[here + 1]] / whole2[second] + rest2[second] * (p1[one[here + 2]] / whole1 + even))
+            count = np.diff(end, prepend=0) - 2
+            mean.append(np.add.reduceat(np.log(p), np.cumsum(count) - count) / count)
+        return pd.DataFrame({"key": mine.key, "doc_id": mine.doc_id, "lang": mine.lang, "perplexity": np.exp(-np.concatenate([np.zeros(0), *mean]))})
+
+    def scored(turn: int) -> DataFrame:
+        mine = placed.where(F.pmod("block", F.lit(passes)) == turn)
+        asked = mine.select("block", "text").mapInArrow(_ask(known, shards), "block int, shard int, k1 binary, k2 binary, k3 binary")
+        answers = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInPandas(_answer(cuts), "block int, shard int, told binary")
+        encoded = mine.select("block", row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+        encoded = encoded.mapInArrow(_encode(known), "block int, key long, doc_id long, lang string, ids binary")
+        return cut_lineage(encoded.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(add_up, "key long, doc_id long, lang string, perplexity double"))
+
+    found = reduce(DataFrame.unionAll, [scored(turn) for turn in range(passes)])
+    delete_scratch(docs.sparkSession, tables)
+    return found
 
 
 def row_key() -> Column:
@@ -362,7 +529,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, margin
     def side(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if good.count() <= broadcast_ids else df
 
-    scored = cut_lineage(perplexities(docs, docs.join(side(good.where("not apart")), "doc_id", "left_semi").select("text").where("text is not null")))
+    scored = perplexities(docs, docs.join(side(good.where("not apart")), "doc_id", "left_semi").select("text").where("text is not null"))
     sure = scored.join(good.where("apart"), "doc_id", "left_semi")
     whole = sure.agg(F.percentile_approx("perplexity", quantile, 100_000)).first()[0]
     by_lang = sure.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 100_000).alias("limit"), F.count("*").alias("n")).where("n >= 50")

@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from stepframe.llm import quality
+from stepframe.sizing import cut_lineage
 
 
 def brute(train, docs, known):
@@ -93,3 +94,37 @@ def test_packed_requests_are_whole():
         assert np.array_equal(quality._stretch(quality._squeeze(keys)), keys >> np.uint64(16))
     keys = rnd.integers(2**63, 2**64, 100_000, dtype=np.uint64)
     assert len(quality._squeeze(np.sort(keys))) < 5 * len(keys)
+
+
+def test_turns_give_what_one_gives(spark, monkeypatch):
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice(["the", "of", "in", "House", "tree,"]) for _ in range(30)) for _ in range(40)]
+    frame = cut_lineage(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(7))
+    told = lambda: {r.doc_id: r.perplexity for r in quality.perplexities(frame, frame.select("text")).collect()}
+    whole = told()
+    monkeypatch.setattr(quality, "_PASS_BYTES", 1000)
+    turns = told()
+    assert len(whole) == 40 and turns.keys() == whole.keys() and all(np.isclose(turns[i], whole[i]) for i in whole)
+
+
+def test_the_model_takes_few_bytes(spark):
+    rnd = random.Random(9)
+    words = [f"{a}{b}{c}" for a in "bcdfghjklm" for b in "aeiou" for c in "bcdfghjklmnprst"]
+    texts = [" ".join(rnd.choices(words, k=4000)) for _ in range(20)]
+    known = np.unique(np.concatenate([r[3] for r in quality._runs(pa.array(texts))]))
+    model, *_ = quality.train(spark.createDataFrame([(t,) for t in texts], "text string"), known, 4)
+    size, n = 0, 0
+    for row in model.collect():
+        size += len(row.grams) + len(row.pairs) + len(row.words)
+        n += len(quality._read(row.grams)[0])
+    assert n > 70_000 and size < 10 * n
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    files = lambda: {x for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split() if "/shuffle_" in x}
+    before = files()
+    spark.range(1000).repartition(5).write.format("noop").mode("overwrite").save()
+    assert files() - before
+    before = files()
+    assert sorted(r["count"] for r in cut_lineage(spark.range(1000).repartition(5).groupBy((F.col("id") % 10).alias("k")).count()).collect()) == [100] * 10
+    assert not files() - before
