@@ -94,6 +94,12 @@ def _tokens(column: pa.Array, known: np.ndarray) -> list[np.ndarray]:
     return [np.concatenate([np.array([START, START], np.uint32), *x, np.array([END], np.uint32)]) for x in out]
 
 
+def _token_runs(column: pa.Array, known: np.ndarray) -> Iterator[np.ndarray]:
+    """`_tokens`, of some values at a time."""
+    for at in range(0, len(column), 512):
+        yield from _tokens(column.slice(at, 512), known)
+
+
 def _pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """Two token numbers as one number."""
     return (first.astype(np.uint64) << np.uint64(WIDE)) | second.astype(np.uint64)
@@ -192,10 +198,10 @@ def _count_trigrams(known: np.ndarray, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, size = [], 0
         for batch in batches:
-            for x in _tokens(batch.column(0), known):
+            for x in _token_runs(batch.column(0), known):
                 texts.append(x)
                 size += len(x)
-                if size > 1 << 21:
+                if size > 1 << 20:
                     yield counted(texts)
                     texts, size = [], 0
         if texts:
@@ -264,15 +270,15 @@ def _unpack(packed: bytes) -> np.ndarray:
 def _encode(known: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [_pack(x) for x in _tokens(batch.column(4), known)]
+            ids = [_pack(x) for x in _token_runs(batch.column(4), known)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ids, pa.binary())], names=["block", "key", "doc_id", "lang", "ids"])
 
     return run
 
 
 def _unique(keys: np.ndarray) -> np.ndarray:
-    # Sorting takes a tenth of the time that np.unique takes for its hash table.
-    keys = np.sort(keys)
+    """The keys, which are sorted in place, each once: in a tenth of the time that np.unique takes for its hash table."""
+    keys.sort()
     return keys[_starts(keys)] if len(keys) else keys
 
 
@@ -291,8 +297,10 @@ def _distinct(texts: Iterable[np.ndarray]) -> list[np.ndarray]:
         for keys, more in zip(seen, _grams(ids)):
             keys.append(more)
         size += len(ids)
-        if size > 1 << 22:
-            seen, size = [[_unique(np.concatenate(keys))] for keys in seen], 0
+        if size > 1 << 20:
+            for keys in seen:
+                keys[:] = [_unique(np.concatenate(keys))]
+            size = 0
     return [_unique(np.concatenate(keys)) for keys in seen]
 
 
@@ -331,7 +339,7 @@ def _ask(known: np.ndarray, shards: int):
             for batch in batches:
                 if batch.num_rows:
                     block = batch.column(0)[0].as_py()
-                    yield from _tokens(batch.column(1), known)
+                    yield from _token_runs(batch.column(1), known)
 
         keys = _distinct(texts())
         dealt = [_by_shard(x, shards) for x in keys]
@@ -396,7 +404,7 @@ def _answer(cuts: list[list[float]]):
 def _hear(keys: list[np.ndarray], told: pd.DataFrame, shards: int) -> list[np.ndarray]:
     """The model's numbers for sorted keys, slot by slot; 0 for what it has not."""
     dealt = [_by_shard(x, shards) for x in keys]
-    values = [np.zeros(len(keys[n])) for n, slots in enumerate(_SLOTS) for _ in slots]
+    values = [np.zeros(len(keys[n]), np.float32) for n, slots in enumerate(_SLOTS) for _ in slots]
     if len(told) != shards:
         raise RuntimeError("the documents were read in other parts than before")
     for shard, packed in zip(told.shard, told.told):
@@ -489,8 +497,9 @@ def perplexities(docs: DataFrame, trusted: DataFrame, least: int = 2) -> DataFra
             here = np.flatnonzero(inside)
             ids = np.concatenate(texts)
             one, (two, three) = place[ids], (_places(x, g) for x, g in zip(keys[1:], _grams(ids)[1:]))
-            first, second = two[here], one[here + 1]
-            p = cut3[three[here]] / whole3[first] + rest3[first] * (cut2[two[here + 1]] / whole2[second] + rest2[second] * (p1[one[here + 2]] / whole1 + even))
+            three, pair, first, second, last = three[here], two[here + 1], two[here], one[here + 1], one[here + 2]
+            c3, w3, r3, c2, w2, r2, c1 = (x[i].astype(float) for x, i in ((cut3, three), (whole3, first), (rest3, first), (cut2, pair), (whole2, second), (rest2, second), (p1, last)))
+            p = c3 / w3 + r3 * (c2 / w2 + r2 * (c1 / whole1 + even))
             count = np.diff(end, prepend=0) - 2
             mean.append(np.add.reduceat(np.log(p), np.cumsum(count) - count) / count)
         return pd.DataFrame({"key": mine.key, "doc_id": mine.doc_id, "lang": mine.lang, "perplexity": np.exp(-np.concatenate([np.zeros(0), *mean]))})
