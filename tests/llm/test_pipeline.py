@@ -82,3 +82,22 @@ def test_empty_tables_long_texts_and_other_columns(spark, tmp_path):
         docs = cut_lineage(stage(spark, docs, str(tmp_path / "long")))
         assert docs.columns == columns, name
     assert [(r.doc_id, r.key, r.kept, r.n_removed, r.row_key, r.id) for r in docs.orderBy("doc_id").collect()] == [(1, 0, 1, 2, 3, 4), (3, 0, 1, 2, 3, 4)]
+
+
+def test_line_dedup_holds_no_tokens_and_moves_texts_once(spark, tmp_path, monkeypatch, capsys):
+    rnd = random.Random(31)
+    text = lambda: "\n".join(" ".join(f"w{rnd.randrange(5000)}" for _ in range(30)) for _ in range(3))
+    texts = [text() for _ in range(20)]
+    rows = [*enumerate(texts), (30, texts[3]), (31, texts[4].split("\n")[0] + "\nnew words"), (None, texts[5]), (32, None)]
+    docs = _folder(spark, tmp_path, [(i, t, "en", "s", 0) for i, t in rows])
+
+    def held(self, *_):
+        raise AssertionError("the tokens of all lines are held")
+
+    monkeypatch.setattr(type(docs), "persist", held)
+    left = dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, str(tmp_path))
+    assert {r.doc_id: r.text for r in left.collect()} == {**dict(enumerate(texts)), 31: "new words", None: texts[5], 32: None}
+    # The texts are read where their buckets lie.
+    capsys.readouterr()
+    left.explain()
+    assert "Bucketed: true" in capsys.readouterr().out
